@@ -146,3 +146,39 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 def crc32_of(column: Column) -> Column:
     """crc32 of a value's text."""
     return F.crc32(column.cast("string").cast("binary"))
+
+
+def shingle_hashes(word_hash: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word index of every run of ``k`` words inside a row."""
+    n = len(word_hash) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.full(n, k, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            h = h * BASE + word_hash[j : j + n]
+    at = np.flatnonzero(rows[:n] == rows[k - 1 :])
+    return mix(h[at]), at
+
+
+class Bitmap:
+    """A one-hash filter of fixed size (``1 << bits`` bits) for 64-bit hashes; false positives only."""
+
+    def __init__(self, bits: int = 23, data: np.ndarray | None = None):
+        self.bits = bits
+        self.data = np.zeros((1 << bits) >> 3, np.uint8) if data is None else data
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str, bits: int = 23) -> Bitmap:
+        """Gathered from a long column: at most ``1 << (bits - 6)`` rows reach the driver, whatever the input's size."""
+        at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+        one = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
+        rows = df.select(F.shiftright(at, 6).alias("at"), one.alias("one")).groupBy("at").agg(F.expr("bit_or(one)").alias("word"))
+        table = rows.toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[table["at"].to_numpy()] = table["word"].to_numpy().astype(np.int64).view(np.uint64)
+        return cls(bits, words.view(np.uint8))
+
+    def test(self, h: np.ndarray) -> np.ndarray:
+        at = h & np.uint64((1 << self.bits) - 1)
+        return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0

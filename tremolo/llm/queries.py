@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tremolo.llm import mixing
+from tremolo.llm import decontam, mixing
 
 QUERIES = {
+    "op3_decontamination": decontam.op3_decontamination,
     "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLES = {
+    "op3_decontamination": decontam.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
 }
