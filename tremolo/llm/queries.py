@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tremolo.llm import decontam, mixing
+from tremolo.llm import decontam, mixing, tokens
 
 QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op7_mixing": mixing.op7_mixing,
+    "op8_token_ids": tokens.op8_token_ids,
 }
 
 ORACLES = {
