@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tremolo.llm import decontam, mixing, tokens
+from tremolo.llm import decontam, media, mixing, tokens
 
 QUERIES = {
+    "op1_media_chunks": media.op1_media_chunks,
     "op3_decontamination": decontam.op3_decontamination,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_ids": tokens.op8_token_ids,
