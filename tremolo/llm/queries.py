@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tremolo.llm import decontam, media, mixing, tokens
+from tremolo.llm import decontam, langid, media, mixing, tokens
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
     "op3_decontamination": decontam.op3_decontamination,
+    "op5_language": langid.op5_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_ids": tokens.op8_token_ids,
 }
