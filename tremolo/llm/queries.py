@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremolo.llm import decontam, langid, media, mixing, quality, tokens
+from tremolo.llm import decontam, langid, media, mixing, near, quality, tokens
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language": langid.op5_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_ids": tokens.op8_token_ids,
+    "op9_near_duplicates": near.op9_near_duplicates,
     "op10_quality": quality.op10_quality,
 }
 
