@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tremolo.llm import decontam, langid, media, mixing, near, quality, tokens
+from tremolo.llm import decontam, langid, media, mixing, near, quality, suffix, tokens
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
     "op3_decontamination": decontam.op3_decontamination,
+    "op4_suffix_dedup": suffix.op4_suffix_dedup,
     "op5_language": langid.op5_language,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_ids": tokens.op8_token_ids,
