@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tremolo.llm import decontam, langid, media, mixing, near, quality, suffix, tokens
+from tremolo.llm import decontam, langid, media, mixing, near, pii, quality, suffix, tokens
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
+    "op2_pii": pii.op2_pii,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_suffix_dedup": suffix.op4_suffix_dedup,
     "op5_language": langid.op5_language,
