@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremolo.llm import decontam, langid, media, mixing, near, pii, quality, suffix, tokens
+from tremolo.llm import decontam, langid, lines, media, mixing, near, pii, quality, suffix, tokens
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op4_suffix_dedup": suffix.op4_suffix_dedup,
     "op5_language": langid.op5_language,
+    "op6_line_dedup": lines.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_ids": tokens.op8_token_ids,
     "op9_near_duplicates": near.op9_near_duplicates,
