@@ -153,6 +153,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_k
     return out.select(F.col("doc_id").alias(key), "n_words", zero.alias("n_hit"), F.size(names).cast("long").alias("n_items"), names.alias("items"), (zero > 0).alias("contaminated"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, item_key: str = "item_id") -> DataFrame:
+    """The rows of ``docs``, columns unchanged, without a window of any item."""
+    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
+    hit = contamination(rows, items, "__row", item_key).where("contaminated").select("__row")
+    return rows.join(hit, "__row", "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
+
+
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     found = contamination(docs, items)

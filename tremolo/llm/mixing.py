@@ -97,28 +97,41 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.col("low").alias("threshold"))
 
 
-def mix_counts(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per document: key, source, size, source_size, target of its source, and copies (how often the mix takes it)."""
-    d = own(docs, key, "text", "source")
-    sizes = stage(d.select(key, "source", size_of(F.col("text")).alias("size"), hash_of(F.col(key)).alias("hash")), "mix-sizes")
+def mix_rule(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row per source: source, source_size, target, whole (copies of every row) and threshold (rows whose hash is
+    below it get one more). ``sizes`` has source, size, hash."""
     targets = stage(source_targets(sizes, weights, share, most), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     cut = thresholds(sizes, plan.select("source", "budget"))
-    rule = plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source"))).select("p.*", "c.threshold")
-    extra = (F.col("d.hash") < F.col("r.threshold")) & (F.col("r.whole") < F.lit(int(most)))
+    below = F.when(F.col("p.whole") < F.lit(int(most)), F.col("c.threshold")).otherwise(F.lit(0))
+    return plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source"))).select("p.source", "p.source_size", "p.target", "p.whole", below.alias("threshold"))
+
+
+def _sizes(docs: DataFrame, key: str) -> DataFrame:
+    d = own(docs, key, "text", "source")
+    return stage(d.select(key, "source", size_of(F.col("text")).alias("size"), hash_of(F.col(key)).alias("hash")), "mix-sizes")
+
+
+def mix_counts(docs: DataFrame, key: str = "doc_id", **rules) -> DataFrame:
+    """Per document: key, source, size, source_size, target of its source, and copies (how often the mix takes it)."""
+    sizes = _sizes(docs, key)
+    copies = F.col("r.whole") + (F.col("d.hash") < F.col("r.threshold")).cast("long")
     return (
         sizes.alias("d")
-        .join(rule.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-        .select(f"d.{key}", "d.source", "d.size", "r.source_size", "r.target", (F.col("r.whole") + extra.cast("long")).alias("copies"))
+        .join(mix_rule(sizes, **rules).alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
+        .select(f"d.{key}", "d.source", "d.size", "r.source_size", "r.target", copies.alias("copies"))
     )
 
 
 def mix(docs: DataFrame, key: str = "doc_id", **rules) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    taken = mix_counts(docs, key, **rules).where(F.col("copies") > 0).groupBy(F.col(key).alias("__id")).agg(F.max("copies").alias("__copies"))
-    rows = docs.join(taken, docs[key].eqNullSafe(taken["__id"]))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    """The rows of ``docs``, columns unchanged, each as often as the mix takes it. The texts are not shuffled: a
+    row's copies follow from its hash and its source's rule."""
+    rule = mix_rule(_sizes(docs, key), **rules).select(F.col("source").alias("__source"), "whole", "threshold")
+    copies = rule["whole"] + (hash_of(docs[f"`{key}`"]) < rule["threshold"]).cast("long")
+    rows = docs.join(rule, docs["source"].eqNullSafe(rule["__source"])).withColumn("__copies", copies).where("__copies > 0")
+    each = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    return each.select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tremolo.llm.common import Spans, list_array, map_texts, mix, own, shingle_hashes, stage, utf8, words
+from tremolo.llm.common import Spans, list_array, map_texts, mix, shingle_hashes, stage, utf8, words
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, BAND_ROWS, STEP, BLOCK = 24, 3, 12, 256
@@ -138,9 +139,13 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray) -> list[int]:
     return [top(x) for x in range(n)]
 
 
-def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Staged: uid, key, text, n (shingles of the set), h1 and h2 (hashes of the set), sig. Texts without words: n = 0."""
-    d = own(docs, key, "text").withColumn("uid", F.monotonically_increasing_id())
+def signatures(docs: DataFrame, key: str = "doc_id", carry: bool = False) -> DataFrame:
+    """Staged: uid, key, text, n (shingles of the set), h1 and h2 (hashes of the set), sig. Texts without words: n = 0.
+
+    With ``carry`` a struct ``row`` holds all columns but the text, by number.
+    """
+    other = [F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"]).alias("row")] if carry else []
+    d = docs.select(docs[f"`{key}`"].alias(key), docs["text"].alias("text"), *other).withColumn("uid", F.monotonically_increasing_id())
 
     def run(part):
         h, row = shingles(*utf8(part.column("text")))
@@ -164,7 +169,11 @@ def signatures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         )
 
     kind = d.schema[key].dataType.simpleString()
-    return stage(map_texts(d, run, f"uid bigint, `{key}` {kind}, text string, n bigint, h1 bigint, h2 bigint, sig binary"), "near-signatures")
+    schema = T.StructType.fromDDL(f"uid bigint, `{key}` {kind}, text string, n bigint, h1 bigint, h2 bigint, sig binary")
+    if carry:
+        schema = schema.add(d.schema["row"])
+    with_row = lambda part: pa.RecordBatch.from_arrays([*run(part).columns, part.column("row")], schema.names) if carry else run(part)
+    return stage(map_texts(d, with_row, schema), "near-signatures")
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
@@ -277,9 +286,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = now
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, keep_uid: bool = False) -> DataFrame:
-    """Per document: key, class_id (least key of its class), n_links, n_copies (documents of its set), class_size."""
-    signed = signatures(docs, key)
+def near_classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """Per document: key, class_id (least key of its class), n_links, n_copies (documents of its set), class_size,
+    and is_first: whether the document is the one of its class with the least key."""
+    return _classes(signatures(docs, key), key, threshold, tolerance).drop("uid")
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that have the least key of their class of near duplicates."""
+    signed = signatures(docs, key, carry=True)
+    rest = _classes(signed, key, threshold, tolerance).where("not is_first").select("uid")
+    kept = signed.join(rest, "uid", "left_anti")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _classes(signed: DataFrame, key: str, threshold: float, tolerance: float) -> DataFrame:
     copies = stage(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("n_copies")), "near-copies")
     reps = signed.select("uid", "sig").join(copies.select(F.col("rep").alias("uid")), "uid")
     links = verified_links(candidate_tasks(reps, threshold, tolerance), signed, threshold)
@@ -293,10 +314,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESH
     )
     member = stage(member, "near-members")
     first = member.groupBy("class").agg(F.min(F.struct(F.col(key).isNull(), key, "uid")).alias("first"), F.count("*").alias("class_size"))
-    out = member.join(first, "class").select(
+    return member.join(first, "class").select(
         key, F.col(f"first.{key}").alias("class_id"), "n_links", "n_copies", "class_size", (F.col("uid") == F.col("first.uid")).alias("is_first"), "uid"
     )
-    return out if keep_uid else out.drop("uid")
 
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:

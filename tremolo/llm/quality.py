@@ -222,6 +222,19 @@ def score_documents(docs: DataFrame, model: Model | None, keep: tuple[str, ...]
     return map_texts(d, run, f"{kinds}, score double, predicted int, n_lines bigint" + ", line_good array<double>" * with_lines)
 
 
+def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that the model does not reject (all of them without a model)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(part):
+        if shared.value is None:
+            return part
+        p, length, counts = shared.value.lines(*utf8(part.column("text")))
+        return part.filter(pa.array(shared.value.scores(shared.value.raw(p, length, counts)) >= 0.5))
+
+    return map_texts(docs, run, docs.schema)
+
+
 def held_out(key="doc_id"):
     return F.pmod(crc32_of(F.col(key)), F.lit(3)) == 1
 
