@@ -1,6 +1,6 @@
-"""Queries of the library's operators on the driver's tables, each with DuckDB SQL for the same rows."""
+"""All queries of the library on the driver's tables, and the SQL for the same rows."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from tremolo.plans import intervals  # noqa: F401
+from tremolo.plans.registry import ORACLES, QUERIES  # noqa: F401
