@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,14 @@ from pyspark.sql import types as T
 from tremolo.llm.common import list_array, own, slices, stage, utf8
 
 CHUNK_BITS, RANK_STEP = 8, 512
-BLOCK_TOKENS, CACHE_PIECES = 1 << 18, 300_000
+BLOCK_TOKENS, CACHE_PIECES = 1 << 18, 1_000_000
 #: Texts of these characters only are cut into the tokenizer's pieces here and each piece is encoded once per worker;
-#: all other texts go to the tokenizer whole. The pattern is the byte-level pre-tokenizer's published one (fixed value).
+#: all other texts go to the tokenizer whole. The pattern is the byte-level pre-tokenizer's published one (fixed
+#: value), with letters and numbers spelled out for this range and its first two groups of branches exchanged, which
+#: start with different characters.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+PIECES = re.compile(rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 
 
 def dac_encode(values: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
@@ -83,29 +87,48 @@ def access(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: int
     return value
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level letters: printable bytes stand for themselves, the others for code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Known(dict):
+    """Ids of pieces, as bytes; a piece that is not known yet goes to the model."""
+
+    def __init__(self, model):
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Little-endian 32-bit ids of texts, by the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        self.model, self.find, self.known = Tokenizer.from_file(path), regex.compile(PIECES).findall, {}
+        self.model = Tokenizer.from_file(path)
+        self.known = _Known(self.model.model)
+        # Only a plain byte-level tokenizer cuts texts into PIECES.
+        cuts = str(self.model.pre_tokenizer)
+        self.by_piece = self.model.normalizer is None and cuts.startswith("ByteLevel(") and "add_prefix_space=False" in cuts and "use_regex=True" in cuts
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [bool(PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
-        pieces = [self.find(t) if p else () for t, p in zip(texts, plain)]
+        plain = [self.by_piece and bool(PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        whole = iter(self.raw([t for t, p in zip(texts, plain) if not p]))
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        self.known.update(zip(new, self.raw(new)))
-        whole = iter(self.raw([t for t, p in zip(texts, plain) if not p]))
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) if p else next(whole) for x, p in zip(pieces, plain)]
+        return [b"".join(map(get, PIECES.findall(t))) if p else next(whole) for t, p in zip(texts, plain)]
 
 
 def default_tokenizer() -> str:
