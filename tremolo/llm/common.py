@@ -73,6 +73,26 @@ def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
+def rows_in(df: DataFrame, keys: DataFrame, key: str, bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """``df`` split by a bitmap of ``keys``: rows that may have one of the keys, and rows that have none for sure.
+
+    A join of wide rows with few keys then shuffles the first part alone; the bitmap's size is fixed.
+    """
+    hashed = F.xxhash64(key)
+    bitmap = df.sparkSession.sparkContext.broadcast(Bitmap.of(keys.select(hashed.alias("h")), "h", bits))
+    wide = df.withColumn("__h", hashed)
+
+    def part(inside: bool):
+        def run(batches):
+            for batch in batches:
+                on = bitmap.value.test(batch.column("__h").to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(on == inside)).drop_columns(["__h"])
+
+        return wide.mapInArrow(run, df.schema)
+
+    return part(True), part(False)
+
+
 def list_array(values: np.ndarray | pa.Array, counts: np.ndarray) -> pa.ListArray:
     """A list column from flat values and the length of each list."""
     offsets = np.zeros(len(counts) + 1, np.int32)
@@ -162,23 +182,29 @@ def shingle_hashes(word_hash: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.
 
 
 class Bitmap:
-    """A one-hash filter of fixed size (``1 << bits`` bits) for 64-bit hashes; false positives only."""
+    """A filter of fixed size (``1 << bits`` bits) for 64-bit hashes, false positives only. With ``probes`` 2 each
+    hash sets and needs two bits, from its lower and upper half."""
 
-    def __init__(self, bits: int = 23, data: np.ndarray | None = None):
-        self.bits = bits
-        self.data = np.zeros((1 << bits) >> 3, np.uint8) if data is None else data
+    def __init__(self, bits: int, probes: int, data: np.ndarray):
+        self.bits, self.probes, self.data = bits, probes, data
 
     @classmethod
-    def of(cls, df: DataFrame, column: str, bits: int = 23) -> Bitmap:
+    def of(cls, df: DataFrame, column: str, bits: int = 23, probes: int = 1) -> Bitmap:
         """Gathered from a long column: at most ``1 << (bits - 6)`` rows reach the driver, whatever the input's size."""
-        at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-        one = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
-        rows = df.select(F.shiftright(at, 6).alias("at"), one.alias("one")).groupBy("at").agg(F.expr("bit_or(one)").alias("word"))
-        table = rows.toArrow()
+        h = F.col(column)
+        if probes == 2:
+            h = F.explode(F.array(h, F.shiftrightunsigned(h, 32)))
+        at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+        rows = df.select(h.alias("h")).select(F.shiftright(at, 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("one"))
+        table = rows.groupBy("at").agg(F.expr("bit_or(one)").alias("word")).toArrow()
         words = np.zeros(1 << (bits - 6), np.uint64)
         words[table["at"].to_numpy()] = table["word"].to_numpy().astype(np.int64).view(np.uint64)
-        return cls(bits, words.view(np.uint8))
+        return cls(bits, probes, words.view(np.uint8))
 
     def test(self, h: np.ndarray) -> np.ndarray:
+        on = self._bits(h)
+        return on & self._bits(h >> np.uint64(32)) if self.probes == 2 else on
+
+    def _bits(self, h: np.ndarray) -> np.ndarray:
         at = h & np.uint64((1 << self.bits) - 1)
         return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 != 0

@@ -196,14 +196,14 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST, block: i
 
     seen = map_texts(d, indexes, "seg bigint, line bigint").groupBy("seg").agg((F.min("line") != F.max("line")).alias("shared"))
     seen = stage(seen, "lines-index")
-    everyone, shared = spark.sparkContext.broadcast(Bitmap.of(seen, "seg", BITS)), spark.sparkContext.broadcast(Bitmap.of(seen.where("shared"), "seg", BITS))
+    everyone, shared = spark.sparkContext.broadcast(Bitmap.of(seen, "seg", BITS, 2)), spark.sparkContext.broadcast(Bitmap.of(seen.where("shared"), "seg", BITS, 2))
 
     def probes(part):
         _, start, size, _, span, _, _, once = _parsed(part.column("text").to_pylist(), least)
         found = [k[everyone.value.test(k)] for _, mine, _, k in probe_keys(span, start[once], size[once], edits) if not mine]
         return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64))], ["seg"])
 
-    probed = spark.sparkContext.broadcast(Bitmap.of(map_texts(d, probes, "seg bigint"), "seg", BITS))
+    probed = spark.sparkContext.broadcast(Bitmap.of(map_texts(d, probes, "seg bigint"), "seg", BITS, 2))
 
     def members(part):
         code, start, size, _, span, h1, h2, once = _parsed(part.column("text").to_pylist(), least)
@@ -257,6 +257,11 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST, block: i
                 if lo != hi:
                     ok &= part[left] != part[right]
                 left, right = left[ok], right[ok]
+                # An edit changes the counts of at most two characters by one: most pairs end here.
+                counts = np.stack([np.bincount(c & 63, minlength=64) for c in code]).astype(np.int32)
+                near = [np.abs(counts[left[k : k + 20_000]] - counts[right[k : k + 20_000]]).sum(1) <= 2 * edits for k in range(0, len(left), 20_000)]
+                ok = np.concatenate([*near, np.zeros(0, bool)])
+                left, right = left[ok], right[ok]
                 ok = band.within([code[k] for k in left], [code[k] for k in right])
                 left, right = left[ok], right[ok]
                 ok = np.array([_first_finder(code[x], code[y], i, edits) for x, y in zip(left.tolist(), right.tolist())], bool)

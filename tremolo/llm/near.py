@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import Spans, list_array, map_texts, mix, shingle_hashes, stage, utf8, words
+from tremolo.llm.common import Spans, list_array, map_texts, mix, rows_in, shingle_hashes, stage, utf8, words
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, BAND_ROWS, STEP, BLOCK = 24, 3, 12, 256
@@ -238,9 +238,9 @@ def candidate_tasks(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 
 def verified_links(tasks: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Staged: uid, links (number of linked representatives found in a task), root (a uid of its component there)."""
+    members = tasks.select("task", F.explode("members").alias("uid"))
     fetched = (
-        tasks.select("task", F.explode("members").alias("uid"))
-        .join(texts.select("uid", "text"), "uid")
+        members.join(rows_in(texts.select("uid", "text"), members, "uid")[0], "uid")
         .groupBy("task")
         .agg(F.collect_list(F.struct("uid", "text")).alias("m"))
         .join(tasks, "task")
@@ -295,8 +295,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESH
 def keep_first(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """The rows of ``docs``, columns unchanged, that have the least key of their class of near duplicates."""
     signed = signatures(docs, key, carry=True)
-    rest = _classes(signed, key, threshold, tolerance).where("not is_first").select("uid")
-    kept = signed.join(rest, "uid", "left_anti")
+    rest = stage(_classes(signed, key, threshold, tolerance).where("not is_first").select("uid"), "near-rest")
+    perhaps, sure = rows_in(signed.select("uid", "text", "row"), rest, "uid")
+    kept = sure.unionByName(perhaps.join(rest, "uid", "left_anti"))
     return kept.select(*[F.col("text") if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

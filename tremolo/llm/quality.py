@@ -149,9 +149,20 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _slices(offsets: np.ndarray, limit: int = 1 << 20) -> list[tuple[int, int]]:
+    """Runs of whole texts with about ``limit`` bytes each, so that the driver's temporaries stay small."""
+    out, a = [], 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
 def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, steps: int = 150, rate: float = 0.08, ridge: float = 1e-3) -> Model:
     """Weights that maximise the sample's conditional likelihood."""
-    x, length, counts = features(data, offsets)
+    parts = [features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in _slices(offsets)]
+    x, length, counts = (np.concatenate(p) for p in zip(*parts))
     mean, scale = x.mean(0), x.std(0) + 1e-3
     mean[-1], scale[-1] = 0, 1
     x = (x - mean) / scale

@@ -11,7 +11,8 @@ the phrase cover). Equal strings have equal cores, so
 3. suffixes of dictionary phrases, continued to ``length`` bytes, are put in corpus order down to that depth by
    grouping them within their core and distance to the trigger: suffixes are equal to depth ``length`` if and only
    if they are neighbours in the combined order of phrase suffix and following parse. Only cores with several
-   blocks need this, and each block once, however often it occurs.
+   blocks need this, and each block once, however often it occurs. It is done in two steps: runs of ``RUN``
+   distances have cores and blocks of their own, which settle most runs, and the rest is settled string by string.
 
 So the work on repetitive text follows its dictionary. Equality is that of 64-bit hashes of core, block and string
 taken together. The full order of all suffixes is not needed for the result and is not made.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tremolo.llm.common import BASE, Bitmap, Spans, list_array, map_texts, mix, own, stage, utf8
 
-LENGTH, GRAM, WINDOW = 200, 16, 100
+LENGTH, GRAM, WINDOW, RUN = 200, 16, 100, 8
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -54,10 +55,11 @@ def triggers(data: np.ndarray) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Phrase occurrences of strings that fit into their text: text, first position in it, positions, core, block."""
+    """Phrase occurrences of strings that fit into their text: text, first position in it, positions, distance of the
+    trigger from the first, core, block."""
     size = np.diff(offsets)
     if len(data) < length or not (size >= length).any():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     fits = np.zeros(len(data) + 1, np.int32)
     ok = size >= length
     np.add.at(fits, offsets[:-1][ok], 1)
@@ -73,12 +75,12 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     span = Spans(data)
     core = span(trigger, trigger + length - WINDOW + 1)
     block = span(start, start + count - 1 + length)
-    return row, start - offsets[row], count, core, block
+    return row, start - offsets[row], count, trigger - start, core, block
 
 
 def repeated_cores(docs: DataFrame, length: int = LENGTH) -> Bitmap:
     def run(part):
-        u, n = np.unique(phrases(*utf8(part.column("text")), length)[3], return_counts=True)
+        u, n = np.unique(phrases(*utf8(part.column("text")), length)[4], return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["core", "n"])
 
     counts = map_texts(own(docs, "text"), run, "core bigint, n tinyint").groupBy("core").agg(F.sum("n").alias("n"))
@@ -95,14 +97,14 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) ->
 
     def parse(part):
         data, offsets = utf8(part.column("text"))
-        row, start, count, core, block = phrases(data, offsets, length)
+        row, start, count, lead, core, block = phrases(data, offsets, length)
         on = repeated.value.test(core)
-        row, start, count, core, block = (x[on] for x in (row, start, count, core, block))
+        row, start, count, lead, core, block = (x[on] for x in (row, start, count, lead, core, block))
         n = np.bincount(row, minlength=part.num_rows)
         raw = data.tobytes()
         whole = [raw[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
         items = pa.StructArray.from_arrays(
-            [pa.array(x) for x in (core.view(np.int64), block.view(np.int64), start.astype(np.int32), count.astype(np.int32))], ["core", "block", "start", "count"]
+            [pa.array(x) for x in (core.view(np.int64), block.view(np.int64), start.astype(np.int32), count.astype(np.int32), lead.astype(np.int32))], ["core", "block", "start", "count", "lead"]
         )
         return pa.RecordBatch.from_arrays(
             [part.column("uid"), part.column(key), pa.array(np.diff(offsets)), pa.array([hashlib.sha256(x).hexdigest() for x in whole])]
@@ -110,34 +112,71 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) ->
             ["uid", key, "n_bytes", "sha256", "raw", "phrases"],
         )
 
-    parsed = map_texts(d, parse, f"uid bigint, `{key}` {kind}, n_bytes bigint, sha256 string, raw binary, phrases array<struct<core:bigint,block:bigint,start:int,count:int>>")
+    parsed = map_texts(
+        d, parse, f"uid bigint, `{key}` {kind}, n_bytes bigint, sha256 string, raw binary, phrases array<struct<core:bigint,block:bigint,start:int,count:int,lead:int>>"
+    )
     parsed = stage(parsed, "suffix-parse")
     occurrences = parsed.select("uid", F.explode("phrases").alias("p")).select("uid", "p.*")
-    dictionary = stage(
-        occurrences.groupBy("core", "block").agg(F.count("*").alias("n"), F.min(F.struct("uid", "start", "count")).alias("at")), "suffix-dictionary"
-    )
+    one = [F.first(c).alias(c) for c in ("uid", "start", "count", "lead")]  # of one occurrence, whichever comes first
+    dictionary = stage(occurrences.groupBy("core", "block").agg(F.count("*").alias("n"), *one), "suffix-dictionary")
     mixed = dictionary.groupBy("core").agg(F.count("*").alias("blocks")).where("blocks > 1").select("core")
-    asked = dictionary.join(mixed, "core").select("core", "block", F.col("n") > 1, "at.*").toDF("core", "block", "all", "uid", "start", "count")
-    asked = asked.groupBy("uid").agg(F.collect_list(F.struct("core", "block", "all", "start", "count")).alias("asked")).join(parsed.select("uid", "raw"), "uid").select("raw", "asked")
+    asked = dictionary.join(mixed, "core").withColumn("all", F.col("n") > 1)
+    asked = asked.groupBy("uid").agg(F.collect_list(F.struct("core", "block", "all", "start", "count", "lead")).alias("asked"))
+    asked = asked.join(parsed.select("uid", "raw"), "uid").select("raw", "asked")
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 span = Spans(np.frombuffer(batch.column("raw")[r].as_py(), np.uint8))
                 items = batch.column("asked")[r].values
-                core, block, every, start, count = (items.field(i).to_numpy(zero_copy_only=False) for i in range(5))
-                k = np.repeat(np.arange(len(core)), count)
-                offset = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-                at = (start[k] + offset).astype(np.int64)
+                core, block, every, start, count, lead = (items.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
+                # Distances to the trigger go from lead down; a run has those of one multiple of RUN.
+                top, bottom = lead // RUN, (lead - count + 1) // RUN
+                k = np.repeat(np.arange(len(core)), top - bottom + 1)
+                q = top[k] - (np.arange(len(k)) - np.repeat(np.cumsum(top - bottom + 1) - (top - bottom + 1), top - bottom + 1))
+                far, near = np.minimum(lead[k], q * RUN + RUN - 1), np.maximum(lead[k] - count[k] + 1, q * RUN)
+                trigger = start[k] + lead[k]
+                inner = span(trigger - q * RUN, trigger + length - (q * RUN + RUN - 1))
+                outer = span(trigger - far, trigger + length - near)
+                n = far - near + 1
+                j = np.repeat(np.arange(len(k)), n)
+                at = (trigger - far)[j] + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)
+                with np.errstate(over="ignore"):
+                    inner = mix(inner + core[k].astype(np.uint64) * BASE + q.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core[k]), pa.array(block[k]), pa.array(every[k]), pa.array(offset.astype(np.int32)), pa.array(span(at, at + length).view(np.int64))], ["core", "block", "all", "offset", "string"]
+                    [pa.array(core[k]), pa.array(block[k]), pa.array(every[k] > 0), pa.array((lead[k] - far).astype(np.int32)), pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64))]
+                    + [list_array(span(at, at + length).view(np.int64), n)],
+                    ["core", "block", "all", "first", "inner", "outer", "strings"],
                 )
 
-    strings = stage(asked.mapInArrow(suffixes, "core bigint, block bigint, all boolean, offset int, string bigint"), "suffix-strings")
-    equal = strings.groupBy("core", "string").agg(F.count("*").alias("n")).where("n > 1").select("core", "string")
-    partly = strings.where("not all").join(equal, ["core", "string"]).groupBy("core", "block").agg(F.collect_list("offset").alias("offsets"))
-    verdict = dictionary.select("core", "block", (F.col("n") > 1).alias("all")).join(partly, ["core", "block"], "left").where("all or offsets is not null")
-    marks = occurrences.join(verdict, ["core", "block"]).groupBy("uid").agg(F.collect_list(F.struct("start", "count", "all", "offsets")).alias("marks"))
+    run_rows = stage(asked.mapInArrow(runs, "core bigint, block bigint, all boolean, first int, inner bigint, outer bigint, strings array<bigint>"), "suffix-runs")
+    settled = run_rows.groupBy("inner", "outer").agg(F.count("*").alias("n"))
+    settled = stage(settled, "suffix-settled")
+    # A false positive of this bitmap lets all runs of its inner core through: their strings are counted alike.
+    unsettled = docs.sparkSession.sparkContext.broadcast(Bitmap.of(settled.groupBy("inner").agg(F.count("*").alias("k")).where("k > 1"), "inner", 27))
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.filter(pa.array(unsettled.value.test(batch.column("inner").to_numpy().view(np.uint64))))
+            lists = batch.column("strings")
+            n = np.diff(lists.offsets.to_numpy())
+            k = np.repeat(np.arange(batch.num_rows), n)
+            within = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            take = lambda c: batch.column(c).take(pa.array(k))
+            offset = batch.column("first").to_numpy()[k] + within
+            yield pa.RecordBatch.from_arrays([take("core"), take("block"), take("all"), pa.array(offset.astype(np.int32)), take("inner"), lists.flatten()], ["core", "block", "all", "offset", "inner", "string"])
+
+    single = run_rows.mapInArrow(strings, "core bigint, block bigint, all boolean, offset int, inner bigint, string bigint")
+    equal = single.groupBy("inner", "string").agg(F.count("*").alias("n")).where("n > 1").select("inner", "string")
+    by_string = single.where("not all").join(equal, ["inner", "string"]).select("core", "block", F.col("offset").alias("first"), F.lit(1).alias("count"))
+    by_run = (
+        run_rows.where("not all").select("core", "block", "first", F.size("strings").alias("count"), "inner", "outer").join(settled.where("n > 1"), ["inner", "outer"]).select("core", "block", "first", "count")
+    )
+    partly = by_run.unionByName(by_string).groupBy("core", "block").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
+    verdict = dictionary.select("core", "block", (F.col("n") > 1).alias("all")).join(partly, ["core", "block"], "left").where("all or parts is not null")
+    marks = occurrences.join(verdict, ["core", "block"]).groupBy("uid").agg(F.collect_list(F.struct("start", "count", "all", "parts")).alias("marks"))
     both = parsed.drop("phrases").join(marks, "uid", "left").select(key, "n_bytes", "sha256", F.when(F.col("marks").isNotNull(), F.col("raw")).alias("raw"), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +195,9 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) ->
                         edge[m["start"]] += 1
                         edge[m["start"] + m["count"] - 1 + length] -= 1
                     else:
-                        at = m["start"] + np.array(m["offsets"])
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + length, -1)
+                        for x in m["parts"]:
+                            edge[m["start"] + x["first"]] += 1
+                            edge[m["start"] + x["first"] + x["count"] - 1 + length] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
                 data = np.frombuffer(batch.column("raw")[r].as_py(), np.uint8)
                 whole[r] = hashlib.sha256(data[~gone].tobytes()).hexdigest()
