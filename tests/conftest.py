@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -35,6 +36,6 @@ def duck(sql, sf=SF):
 def rows(df):
     """Rows with columns by name, floats rounded, in any order."""
     df = df[sorted(df.columns)]
-    fix = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v
+    fix = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, float) else v
     same = lambda v: int(v) if isinstance(v, float) and v == int(v) else v
     return sorted(str(tuple(same(fix(v.item() if hasattr(v, "item") else v)) for v in r)) for r in df.itertuples(index=False, name=None))
