@@ -35,6 +35,25 @@ from pyspark.sql import functions as F
 from tremolo.llm.common import BASE, Bitmap, Spans, list_array, map_texts, mix, own, stage, utf8
 
 LENGTH, GRAM, WINDOW, RUN = 200, 16, 100, 8
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` with each text in ``raw`` compressed by itself: what is shuffled next is smaller."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=3)
+        for batch in batches:
+            raw = [codec.compress(x.as_buffer()).to_pybytes() if x.is_valid else None for x in batch.column("raw")]
+            yield batch.set_column(batch.schema.get_field_index("raw"), "raw", pa.array(raw, pa.binary()))
+
+    return df.mapInArrow(pack, df.schema)
+
+
+def unpacked(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    """The bytes of a row's text."""
+    return np.frombuffer(pa.Codec("zstd").decompress(batch.column("raw")[row].as_buffer(), batch.column("n_bytes")[row].as_py()), np.uint8)
+
+
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -122,12 +141,12 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) ->
     mixed = dictionary.groupBy("core").agg(F.count("*").alias("blocks")).where("blocks > 1").select("core")
     asked = dictionary.join(mixed, "core").withColumn("all", F.col("n") > 1)
     asked = asked.groupBy("uid").agg(F.collect_list(F.struct("core", "block", "all", "start", "count", "lead")).alias("asked"))
-    asked = asked.join(parsed.select("uid", "raw"), "uid").select("raw", "asked")
+    asked = asked.join(packed(parsed.select("uid", "n_bytes", "raw")), "uid").select("n_bytes", "raw", "asked")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                span = Spans(np.frombuffer(batch.column("raw")[r].as_py(), np.uint8))
+                span = Spans(unpacked(batch, r))
                 items = batch.column("asked")[r].values
                 core, block, every, start, count, lead = (items.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
                 # Distances to the trigger go from lead down; a run has those of one multiple of RUN.
@@ -177,7 +196,7 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) ->
     partly = by_run.unionByName(by_string).groupBy("core", "block").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
     verdict = dictionary.select("core", "block", (F.col("n") > 1).alias("all")).join(partly, ["core", "block"], "left").where("all or parts is not null")
     marks = occurrences.join(verdict, ["core", "block"]).groupBy("uid").agg(F.collect_list(F.struct("start", "count", "all", "parts")).alias("marks"))
-    both = parsed.drop("phrases").join(marks, "uid", "left").select(key, "n_bytes", "sha256", F.when(F.col("marks").isNotNull(), F.col("raw")).alias("raw"), "marks")
+    both = packed(parsed.drop("phrases")).join(marks, "uid", "left").select(key, "n_bytes", "sha256", F.when(F.col("marks").isNotNull(), F.col("raw")).alias("raw"), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +218,7 @@ def removed_spans(docs: DataFrame, key: str = "doc_id", length: int = LENGTH) ->
                             edge[m["start"] + x["first"]] += 1
                             edge[m["start"] + x["first"] + x["count"] - 1 + length] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
-                data = np.frombuffer(batch.column("raw")[r].as_py(), np.uint8)
+                data = unpacked(batch, r)
                 whole[r] = hashlib.sha256(data[~gone].tobytes()).hexdigest()
                 removed[r] = int(gone.sum())
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
