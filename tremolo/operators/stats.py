@@ -40,3 +40,25 @@ def weighted_median(df: DataFrame, value: str, weight: Column, on: list[str]) ->
 def bands(x: Column, edges: list[float]) -> Column:
     """Number of the half-open band that ``x`` lies in: 0 below the first edge."""
     return sum(((x >= F.lit(e)).cast("int") for e in edges[1:]), (x >= F.lit(edges[0])).cast("int"))
+
+
+def row_numbers(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """Every row with its place, from 1, in the order of ``order`` (unique together), nulls first.
+
+    Rows are dealt into ranges of the whole order, bounded by sampled rows, and numbered inside their range after the
+    rows of the ranges before, so that no task holds all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, df.count() // (50 * parts))
+    sample = sorted(tuple(r) for r in df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).dropna().collect())
+    bounds = [sample[i] for i in range(len(sample) // parts, len(sample), max(1, len(sample) // parts))]
+    kinds = [df.schema[c].dataType for c in order]
+    here = F.struct(*order)
+    literals = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, order)]) for b in bounds]
+    cut = F.size(F.filter(F.array(*literals), lambda b: b <= here)) if literals else F.lit(0)
+    dealt = df.withColumn("__range", cut)
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__range", before.alias("__before"))
+    numbered = dealt.withColumn("__k", F.row_number().over(W.partitionBy("__range").orderBy(*order)))
+    return numbered.join(F.broadcast(counts), "__range").withColumn(name, (F.col("__k") + F.col("__before")).cast("long")).drop("__range", "__k", "__before")
