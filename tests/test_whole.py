@@ -18,3 +18,19 @@ def test_row_numbers_with_ties_and_nulls(spark):
     want = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
     assert got == {r[2]: i for i, r in enumerate(want, 1)}
     assert stats.row_numbers(df.where("false"), ["a", "b", "c"]).count() == 0
+
+
+def test_every_explained_catalogue_row(spark):
+    got = driver.QUERIES["explain_whole"](spark, SF).toPandas()
+    e = duck("SELECT user_id AS station, epoch_us(ts) AS us, event_type AS kind, event_id FROM events")
+    cat, det = e[e.kind == "purchase"], e[e.kind != "purchase"]
+    want = {int(c.event_id): int(n) for c in cat.itertuples() if (n := det[(det.us - c.us).abs() <= 900_000_000].station.nunique()) >= 3}
+    assert dict(zip(got.cat_id, got.stations)) == want
+
+
+def test_no_two_hundred_in_explain_whole(spark, tmp_path):
+    spark.sql(
+        "SELECT id AS event_id, id % 4 AS user_id, timestamp_micros(id div 4 * 2000000000) AS ts, if(id % 4 = 0, 'purchase', 'click') AS event_type, 1.0D AS value FROM range(1000)"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    got = driver.QUERIES["explain_whole"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 250 and set(got.stations) == {3}
