@@ -1,8 +1,14 @@
 """Queries of the whole job beside those whose SQL keeps a part: no row is left out, at any number of ranges."""
 
+import math
+
+from pyspark.sql import functions as F
+
 from tests.conftest import SF, duck
+from tremolo.functions import geo
 from tremolo.operators import stats
 from tremolo.plans import driver
+from tremolo.plans.registry import place
 
 
 def test_total_order_numbers_every_row(spark):
@@ -34,3 +40,16 @@ def test_no_two_hundred_in_explain_whole(spark, tmp_path):
     ).write.parquet(f"{tmp_path}/events.parquet")
     got = driver.QUERIES["explain_whole"](spark, str(tmp_path)).toPandas()
     assert len(got) == 250 and set(got.stations) == {3}
+
+
+def test_chance_of_every_alarm_and_station(spark, tmp_path):
+    ids = [3, 40, 41, 42, 7, 900]
+    data = [(i, s, t, "click", 1.0) for i, (s, t) in enumerate([(ids[0], 100), (ids[1], 101), (ids[2], 102), (ids[3], 103), (ids[4], 90_000), (ids[5], 200_000)])]
+    data += [(50 + i, 41, 400_000 + 5000 * i, "view", 1.0) for i in range(3)]
+    spark.createDataFrame(data, "event_id long, user_id long, s long, event_type string, value double").selectExpr("event_id", "user_id", "timestamp_seconds(s) AS ts", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    km = spark.range(1).select(*[geo.distance_km(*place(F.lit(3)), *place(F.lit(s))).alias(f"s{s}") for s in (40, 41, 42)]).first()
+    part = lambda s, n: math.log(1 - math.exp(-n / 2_592_000 * 2 * (km[f"s{s}"] / 6 + 3)))
+    got = {r.a_id: r for r in driver.QUERIES["chance_by_alarm"](spark, str(tmp_path)).collect()}
+    alarms = {r.a_id for r in driver.QUERIES["declare_events"](spark, str(tmp_path)).collect()}
+    assert set(got) == alarms and 0 in got and got[0].others == 3
+    assert abs(got[0].ln_p - part(40, 1) - part(41, 4) - part(42, 1)) < 1e-5

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tremolo.functions import geo, inference
 from tremolo.operators import ranges, stats
-from tremolo.plans.joins import CAT, MATCH, _catalogue, _detections, _matched
+from tremolo.plans.joins import CAT, MATCH, PAIRS, _catalogue, _detections, _km, _matched, _pairs
 from tremolo.plans.registry import DETECTIONS, LAT, LON, detections, km_sql, place, query, r6, table
 
 S, HOUR, DAY = 1_000_000, 3_600_000_000, 86_400_000_000
@@ -207,11 +207,33 @@ def weighted_median(spark, sf_dir):
 
 @query("chance_probability", f"WITH {DETECTIONS}, n AS (SELECT kind, station, count(*) AS n FROM e WHERE station < 5 GROUP BY ALL) SELECT kind, round(exp(sum(ln(1 - exp(-n / 720.0::DOUBLE * 24)))), 6) AS p FROM n GROUP BY kind")
 def chance_probability(spark, sf_dir):
-    """Probability that every station of an alarm fired by chance within a window."""
+    """Rates of stations 0 to 4 multiplied by kind, as its SQL asks for; ``chance_by_alarm`` looks at every alarm."""
     n = detections(spark, sf_dir).where("station < 5").groupBy("kind", "station").agg(F.count("*").alias("n"))
     return n.groupBy("kind").agg(r6(F.exp(F.sum(F.log(1 - F.exp(-F.col("n") / 720.0 * 24))))).alias("p"))
 
 
+@query(
+    "chance_by_alarm",
+    f"""WITH {CAT}, {PAIRS}, m AS (SELECT a_id, a_station AS station, a_us AS us, a_id AS id FROM q UNION SELECT a_id, b_station, b_us, b_id FROM q),
+f AS (SELECT a_id, arg_min(station, (us, id)) AS station FROM m GROUP BY a_id HAVING count(DISTINCT station) >= 3),
+n AS (SELECT station, count(*) AS n FROM det GROUP BY station),
+s AS (SELECT DISTINCT m.a_id, m.station, f.station AS first, n.n, 2 * ({_km("f", "m")} / 6 + 3) AS w FROM m JOIN f ON m.a_id = f.a_id AND m.station <> f.station JOIN n ON n.station = m.station)
+SELECT a_id, count(*) AS others, round(sum(ln(1 - exp(-n / 2592000.0::DOUBLE * w))), 6) AS ln_p FROM s GROUP BY a_id""",
+)
+def chance_by_alarm(spark, sf_dir):
+    """Of every alarm of ``declare_events``, the logarithm of the probability that its other stations fired by chance
+    within their association window around its first detection, each at its own rate over all detections."""
+    q = _pairs(spark, sf_dir)
+    a = q.select("a_id", F.col("a_station").alias("station"), F.col("a_us").alias("us"), F.col("a_id").alias("id"))
+    b = q.select("a_id", F.col("b_station").alias("station"), F.col("b_us").alias("us"), F.col("b_id").alias("id"))
+    m = a.unionByName(b).groupBy("a_id", "station").agg(F.min(F.struct("us", "id")).alias("at"))
+    g = m.groupBy("a_id").agg(F.min(F.struct("at", "station")).alias("first"), F.collect_list("station").alias("stations")).where(F.size("stations") >= 3)
+    s = g.select("a_id", F.col("first.station").alias("first"), F.explode("stations").alias("station")).where("station <> first")
+    n = _detections(spark, sf_dir).groupBy("station").agg(F.count("*").alias("n"))
+    w = 2 * (geo.distance_km(*place(F.col("first")), *place(F.col("station"))) / 6 + 3)
+    return s.join(n, "station").groupBy("a_id").agg(F.count("*").alias("others"), r6(F.sum(F.log(1 - F.exp(-F.col("n") / 2592000.0 * w)))).alias("ln_p"))
+
+
 SWEEP = "SELECT l_suppkey % 97 AS setting, l_returnflag AS source, count(*) FILTER (l_discount >= 0.05) AS detected, count(*) FILTER (l_tax >= 0.06) AS unmatched FROM lineitem GROUP BY ALL"
 
 
