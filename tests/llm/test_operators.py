@@ -241,6 +241,13 @@ def test_near(docs, empty, block, monkeypatch):
     assert near.near_classes(empty).count() == 0
 
 
+def test_near_links_count_different_texts(spark):
+    a = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    texts = [a, a, a.upper(), a + "!", a + " more", a + " MORE", "", ""]
+    got = {r["doc_id"]: (r["n_links"], r["n_copies"], r["class_size"]) for r in near.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: (4, 4 if i < 4 else 2, 6) for i in range(6)} | {6: (0, 1, 1), 7: (0, 1, 1)}
+
+
 def test_near_star_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in near.components(spark.createDataFrame(edges, "a long, b long")).collect()}

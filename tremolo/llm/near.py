@@ -15,8 +15,8 @@ class, and one representative of each is joined with the others:
    star steps.
 
 Defined results: documents without words (null, empty or without letters and digits) are similar to nothing and are
-a class of their own each; rows with equal ids are separate documents; copies are counted by ``n_copies``, not as
-links; ties of the smallest id go to the first row; other columns are ignored; an empty table gives an empty result.
+a class of their own each; rows with equal ids are separate documents; ``n_copies`` counts the documents of a set,
+``n_links`` the other different texts, of the same set too, that a text is similar to; ties of the smallest id go to the first row; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -236,27 +236,31 @@ def candidate_tasks(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     return stage(tasks.withColumn("task", F.monotonically_increasing_id()), "near-tasks")
 
 
-def verified_links(tasks: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Staged: uid, links (number of linked representatives found in a task), root (a uid of its component there)."""
+def verified_links(tasks: DataFrame, texts: DataFrame, copies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Staged: uid, links (different texts of the sets linked in a task), root (a uid of its component there)."""
     members = tasks.select("task", F.explode("members").alias("uid"))
     fetched = (
-        members.join(rows_in(texts.select("uid", "text"), members, "uid")[0], "uid")
+        members.join(copies.select(F.col("rep").alias("uid"), "n_texts"), "uid")
+        .join(rows_in(texts.select("uid", "text"), members, "uid")[0], "uid")
         .groupBy("task")
-        .agg(F.collect_list(F.struct("uid", "text")).alias("m"))
+        .agg(F.collect_list(F.struct("uid", "text", "n_texts")).alias("m"))
         .join(tasks, "task")
-        .select(F.transform("m", lambda x: x["uid"]).alias("uid"), F.transform("m", lambda x: x["text"]).alias("text"), "members", "left", "right")
+        .select(F.transform("m", lambda x: x["uid"]).alias("uid"), F.transform("m", lambda x: x["text"]).alias("text"), F.transform("m", lambda x: x["n_texts"]).alias("n_texts"), "members", "left", "right")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                uid, members, left, right = (batch.column(c)[r].values.to_numpy() for c in ("uid", "members", "left", "right"))
+                uid, n_texts, members, left, right = (batch.column(c)[r].values.to_numpy() for c in ("uid", "n_texts", "members", "left", "right"))
                 texts = dict(zip(uid.tolist(), batch.column("text")[r].as_py()))
                 sets = shingle_sets([texts[u] for u in members.tolist()])
                 ok = linked_pairs(sets, left, right, threshold)
                 left, right = left[ok], right[ok]
                 if len(left):
-                    links = np.bincount(np.concatenate([left, right]), minlength=len(members))
+                    order = np.argsort(uid)
+                    weight = n_texts[order][np.searchsorted(uid[order], members)]
+                    links = np.zeros(len(members), np.int64)
+                    np.add.at(links, np.concatenate([left, right]), weight[np.concatenate([right, left])])
                     root = members[_roots(len(members), left, right)]
                     on = links > 0
                     yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (members, links, root)], ["uid", "links", "root"])
@@ -287,7 +291,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """Per document: key, class_id (least key of its class), n_links, n_copies (documents of its set), class_size,
+    """Per document: key, class_id (least key of its class), n_links (other texts), n_copies (documents of its set), class_size,
     and is_first: whether the document is the one of its class with the least key."""
     return _classes(signatures(docs, key), key, threshold, tolerance).drop("uid")
 
@@ -302,16 +306,17 @@ def keep_first(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOL
 
 
 def _classes(signed: DataFrame, key: str, threshold: float, tolerance: float) -> DataFrame:
-    copies = stage(signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("uid").alias("rep"), F.count("*").alias("n_copies")), "near-copies")
+    different = signed.where("n > 0").groupBy("h1", "h2", "n", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2")).agg(F.min("uid").alias("uid"), F.count("*").alias("k"))
+    copies = stage(different.groupBy("h1", "h2", "n").agg(F.min("uid").alias("rep"), F.sum("k").alias("n_copies"), F.count("*").alias("n_texts")), "near-copies")
     reps = signed.select("uid", "sig").join(copies.select(F.col("rep").alias("uid")), "uid")
-    links = verified_links(candidate_tasks(reps, threshold, tolerance), signed, threshold)
+    links = verified_links(candidate_tasks(reps, threshold, tolerance), signed, copies, threshold)
     degree = links.groupBy(F.col("uid").alias("rep")).agg(F.sum("links").alias("n_links"))
     classes = components(links, "uid", "root").select(F.col("node").alias("rep"), "root")
     of = copies.join(degree, "rep", "left").join(classes, "rep", "left")
     member = (
         signed.select("uid", key, "n", "h1", "h2")
         .join(of, ["h1", "h2", "n"], "left")
-        .select("uid", key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("root", "rep", "uid").alias("class"))
+        .select("uid", key, (F.coalesce("n_links", F.lit(0)) + F.coalesce("n_texts", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("root", "rep", "uid").alias("class"))
     )
     member = stage(member, "near-members")
     first = member.groupBy("class").agg(F.min(F.struct(F.col(key).isNull(), key, "uid")).alias("first"), F.count("*").alias("class_size"))
