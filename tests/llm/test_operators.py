@@ -77,6 +77,22 @@ def test_pii_reconcile():
     assert pii.reconcile([(5, 2, 9, True)], []) == [(5, 2, 9)]
 
 
+def test_pii_spans_across_windows():
+    mail = "someone.with.a.very.long.name (at) quite-a-long-mail-host (dot) example (dot) org"[:80]
+    assert 64 < len(mail) <= 80
+
+    class Known:
+        def decode(self, x):
+            starts = pii.windows_of(np.array([len(text)]))[1]
+            return {w: np.array([int(at <= s0 + i < at + len(mail)) for i in range(pii.WINDOW)]) for w, s0 in enumerate(starts.tolist())}
+
+    for at in range(360, 520, 3):
+        text = ("word " * 200)[: at - 1] + " " + mail + " " + "word " * 200
+        assert pii.reconcile(pii.added_spans([text], Known())[0], [], text) == [(at, 0, at + len(mail))]
+    text = "x " * 220 + mail + " and"
+    assert pii.reconcile([(440, 0, 512, True), (448, 0, 440 + len(mail), True)], [], text) == [(440, 0, 440 + len(mail))]
+
+
 def test_pii_viterbi_prune():
     rng = np.random.default_rng(2)
     model = pii.Model(pii.Lstm(rng), pii.Lstm(rng), rng.normal(0, 1, (5, 16)).astype("f4"), np.array([3, 0, 0, 0, 0], "f4"), rng.normal(0, 0.5, (5, 5)))

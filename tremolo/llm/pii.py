@@ -31,7 +31,7 @@ from tremolo.llm.common import list_array, map_texts, own
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = len(KINDS) + 1
-WINDOW, STRIDE, HIDDEN, BATCH = 512, 448, 8, 1024
+WINDOW, STRIDE, HIDDEN, BATCH = 512, 400, 8, 1024  # windows overlap by more than the 80 characters of the longest span
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -351,11 +351,38 @@ def windows_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, np.minimum(place * STRIDE, np.maximum(sizes[text] - WINDOW, 0))
 
 
-def reconcile(found: list[tuple[int, int, int, bool]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of one text from windows' spans (start, kind, end, cut by an edge) and the base spans."""
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    t = text[start:end]
+    return start + len(t) - len(t.lstrip(" .,;:-")), end - (len(t) - len(t.rstrip(" .,;:-(")))
+
+
+def _rejoined(pieces: list[tuple[int, int, int]], text: str | None) -> list[tuple[int, int, int]]:
+    """Cut spans of a kind that overlap as one; where what they make is not plausible in the text, those that are."""
+    groups: list[list[tuple[int, int, int]]] = []
+    for s, k, e in sorted(pieces, key=lambda x: (x[1], x[0], x[2])):
+        if groups and groups[-1][0][1] == k and s < max(x[2] for x in groups[-1]):
+            groups[-1].append((s, k, e))
+        else:
+            groups.append([(s, k, e)])
+    out = []
+    for g in groups:
+        for option in ([(g[0][0], g[0][1], max(x[2] for x in g))], g):
+            if text is not None:
+                option = [(*_trimmed(text, s, e), k) for s, k, e in option]
+                option = [(s, k, e) for s, e, k in option if s < e and _plausible(text, s, e, k)]
+            if option:
+                out += option
+                break
+    return out
+
+
+def reconcile(found: list[tuple[int, int, int, bool]], base: list[tuple[int, int, int]], text: str | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of one text from windows' spans (start, kind, end, cut by an edge) and the base spans.
+
+    With ``text``, cut spans are as the windows gave them, and tested once they are joined."""
     whole = sorted((s, k, e) for s, k, e, cut in found if not cut)
-    for s, k, e, cut in found:  # a cut span counts where no window saw it whole
-        if cut and not any(a < e and s < b for a, _, b in whole):
+    for s, k, e in _rejoined([x[:3] for x in found if x[3]], text):  # a cut span counts where no window saw it whole
+        if not any(a < e and s < b for a, _, b in whole):
             whole.append((s, k, e))
     joined: list[list[int]] = []
     for s, k, e in sorted(whole):
@@ -371,7 +398,7 @@ def reconcile(found: list[tuple[int, int, int, bool]], base: list[tuple[int, int
 
 
 def added_spans(texts: list[str], model: Model) -> list[list[tuple[int, int, int, bool]]]:
-    """Spans of all windows of each text, in the text's code points."""
+    """Spans of all windows of each text, in the text's code points; those cut by an edge are not tested yet."""
     code = [classes(t) for t in texts]
     sizes = np.array([len(c) for c in code])
     flat = np.concatenate([*code, np.zeros(WINDOW, np.uint8)])
@@ -387,11 +414,12 @@ def added_spans(texts: list[str], model: Model) -> list[list[tuple[int, int, int
             turn = np.flatnonzero(np.diff(np.concatenate([[0], tags[:n], [0]]))).tolist()
             for s, e in zip(turn, turn[1:]):
                 if k := int(tags[s]):
-                    t = texts[r][s0 + s : s0 + e]
-                    s1, e1 = s + len(t) - len(t.lstrip(" .,;:-")), e - (len(t) - len(t.rstrip(" .,;:-(")))
-                    if s1 < e1 and _plausible(texts[r], s0 + s1, s0 + e1, k - 1):
-                        cut = (s == 0 and s0 > 0) or (e == n and s0 + n < sizes[r])
-                        out[r].append((s0 + s1, k - 1, s0 + e1, cut))
+                    if (s == 0 and s0 > 0) or (e == n and s0 + n < sizes[r]):
+                        out[r].append((s0 + s, k - 1, s0 + e, True))
+                        continue
+                    s1, e1 = _trimmed(texts[r], s0 + s, s0 + e)
+                    if s1 < e1 and _plausible(texts[r], s1, e1, k - 1):
+                        out[r].append((s1, k - 1, e1, False))
     return out
 
 
@@ -408,7 +436,7 @@ def find(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     def run(part):
         texts = [t or "" for t in part.column("text").to_pylist()]
         base = [base_spans(t) for t in texts]
-        every = [reconcile(f, b) for f, b in zip(added_spans(texts, shared.value), base)]
+        every = [reconcile(f, b, t) for f, b, t in zip(added_spans(texts, shared.value), base, texts)]
         n = np.array([np.bincount([k for _, k, _ in b], minlength=len(KINDS)) for b in base], np.int64).reshape(-1, len(KINDS))
         spans = pa.StructArray.from_arrays(
             [pa.array([KINDS[k] for x in every for _, k, _ in x], pa.string()), pa.array([s for x in every for s, _, _ in x], pa.int64()), pa.array([e for x in every for _, _, e in x], pa.int64())], ["kind", "start", "end"]
