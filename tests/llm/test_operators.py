@@ -162,6 +162,18 @@ def distance(a, b):
     return p[-1]
 
 
+
+def test_language_of_calibration_rows_only(spark):
+    fourth = spark.range(60).where("pmod(xxhash64('langid-fold', id), 4) = 0").first()[0]
+    data = [(i, "the cat sat on the mat and looked at the dog", "en") if i % 2 else (i, "der hund lief durch den wald und sah die katze", "de") for i in range(60) if i != fourth]
+    data.append((fourth, "kissa istui matolla ja katsoi koiraa", "fi"))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert sorted(model.langs) == ["de", "en", "fi"]
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model).collect()} == {k: x for k, _, x in data}
+    assert langid.fit(df.where(f"doc_id = {fourth}")).langs == ["fi"]
+
+
 def test_band():
     rng = np.random.default_rng(3)
     for e in (1, 2, 3):

@@ -241,20 +241,22 @@ def _joined(models: list[list[tuple]], langs: list[str]) -> Model:
 
 
 def fit(labelled: DataFrame, lang: str = "lang", key: str = "doc_id", rows_per_lang: int = 1500, seed: str = "langid") -> Model:
-    """A model from rows with text and language; three of four sample rows count, the fourth calibrates."""
+    """A model from rows with text and language; three of four sample rows count, the fourth calibrates.
+
+    Languages that have rows in the fourth only are counted from these, which then don't calibrate."""
     rows = own(labelled, key, "text", lang).where(F.col(lang).isNotNull() & F.col("text").isNotNull())
     sample = _sample(rows, lang, key, rows_per_lang, seed)
     fourth = F.pmod(F.xxhash64(F.lit(seed + "-fold"), F.col(key)), F.lit(4)) == 0
     table = _gram_counts(sample.where(~fourth), lang).toArrow()  # bounded by the sample
-    if not table.num_rows:
-        table = _gram_counts(sample, lang).toArrow()
+    seen = table["lang"].unique().to_pylist()
+    table = pa.concat_tables([table, _gram_counts(sample.where(fourth & ~F.col(lang).isin(seen)), lang).toArrow()])
     if not table.num_rows:
         return Model([], [], [], [], [], 0.0)
     names, a, b, n = (table[c].to_numpy() for c in ("lang", "a", "b", "n"))
     grams = np.stack([a >> 21, a & 0x1FFFFF, b >> 21, b & 0x1FFFFF], 1)
     langs = sorted(set(names.tolist()))
     model = _joined([_kneser_ney(grams[names == x], n[names == x]) for x in langs], langs)
-    held = sample.where(fourth).select("text", lang).limit(rows_per_lang * len(langs)).toArrow()
+    held = sample.where(fourth & F.col(lang).isin(seen or langs)).select("text", lang).limit(rows_per_lang * len(langs)).toArrow()
     if held.num_rows and len(langs) > 1:
         h, letters = model.entropies(held["text"].to_pylist())
         right = np.array(langs, object)[np.argmin(h, 1)] == held[lang].to_numpy()
