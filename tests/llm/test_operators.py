@@ -122,22 +122,32 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contamination(docs, items.where("false")).where("contaminated").count() == 0
 
 
-def test_suffix(docs, empty):
-    data = collected(docs)
-    seen = collections.Counter((t or "").encode()[i : i + 200] for _, t in data for i in range(len((t or "").encode()) - 199))
+@pytest.mark.parametrize("length, limit", [(200, suffix.LIMIT), (200, 1), (200, 3), (116, 2), (131, suffix.LIMIT), (400, 2)])
+def test_suffix(spark, docs, empty, length, limit):
+    """Against all strings of the texts; small limits send groups through runs of distances and single strings."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(rng.choice(list("abc de\u00e9"), n))
+    shared, period = letters(700), letters(9) * 90
+    made = [letters(rng.integers(0, 300)) + shared[a : a + n] + letters(rng.integers(0, 300)) for a, n in zip(rng.integers(0, 300, 24), rng.integers(100, 500, 24))]
+    made += [period, period[3:] + "x", shared, shared[:-1] + "\0", shared[:-1], "\0" * 450, letters(20) + "\0" * 420, letters(300) * 2]
+    data = collected(docs) + [(1000 + i, t) for i, t in enumerate(made)]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    seen = collections.Counter((t or "").encode()[i : i + length] for _, t in data for i in range(len((t or "").encode()) - length + 1))
 
     def plain(k, t):
         b = (t or "").encode()
-        gone = np.zeros(len(b) + 200, bool)
-        for i in range(len(b) - 199):
-            if seen[b[i : i + 200]] > 1:
-                gone[i : i + 200] = True
+        gone = np.zeros(len(b) + length, bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
         gone = gone[: len(b)]
         return k, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
 
-    got = [{**r.asDict(), "n": len(r["spans"])} for r in suffix.removed_spans(docs).collect()]
+    got = [{**r.asDict(), "n": len(r["spans"])} for r in suffix.removed_spans(table, length=length, limit=limit).collect()]
     same(got, [plain(k, t) for k, t in data], ["doc_id", "n_bytes", "n_removed", "n", "kept_sha256"])
-    assert suffix.removed_spans(empty).count() == 0
+    if length == 200:
+        assert suffix.removed_spans(docs, limit=limit).count() == docs.count()
+        assert suffix.removed_spans(empty, limit=limit).count() == 0
 
 
 def test_language(spark, docs, empty):
