@@ -136,6 +136,8 @@ def ordered(group: np.ndarray, blocks: list[bytes], lead: np.ndarray, count: np.
         if distance:
             on = lead[at] >= distance
             at, suffix = at[on], suffix[on]
+            if not len(at):
+                break
             refined = suffix * 256 + phrase[at, WINDOW - distance]
             turn = np.argsort(refined, kind="stable")
             at, refined = at[turn], refined[turn]
@@ -144,8 +146,6 @@ def ordered(group: np.ndarray, blocks: list[bytes], lead: np.ndarray, count: np.
             pair = suffix[1:] == suffix[:-1]  # a phrase suffix that only one block has needs no longer ones
             on = np.concatenate([pair, [False]]) | np.concatenate([[False], pair])
             at, suffix = at[on], suffix[on]
-            if not len(at):
-                break
         depth = np.zeros(n, np.int64)
         np.cumsum(common < length - distance, out=depth[1:])  # equal: common prefix of length - distance bytes
         on = (near[at] <= distance) & (low[at] <= distance) & (distance <= high[at])
