@@ -124,6 +124,18 @@ def rows_in(df: DataFrame, keys: DataFrame, key: str, bits: int = 26) -> tuple[D
     return part(True), part(False)
 
 
+def dealt_blocks(members: DataFrame, by: str, block: int) -> DataFrame:
+    """Members of keys, with the number ``n`` of their key's members, dealt to pairs of blocks (``own``, ``lo``, ``hi``)
+    so that any two of a key meet in one pair of blocks.
+
+    A block has ``block`` members or, for large keys, four times the square root of their number: a key's rows then
+    grow as its number of members to the power of 1.5, and a task's as its square root.
+    """
+    blocks = F.ceil(F.col("n") / F.greatest(F.lit(float(block)), 4 * F.sqrt("n"))).cast("int")
+    placed = members.withColumn("own", F.pmod(F.xxhash64(by), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+
 def list_array(values: np.ndarray | pa.Array, counts: np.ndarray) -> pa.ListArray:
     """A list column from flat values and the length of each list."""
     offsets = np.zeros(len(counts) + 1, np.int32)

@@ -154,10 +154,12 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_k
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, item_key: str = "item_id") -> DataFrame:
-    """The rows of ``docs``, columns unchanged, without a window of any item."""
-    rows = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
-    hit = contamination(rows, items, "__row", item_key).where("contaminated").select("__row")
-    return rows.join(hit, "__row", "left_anti").select(*[rows[f"`{c}`"] for c in docs.columns])
+    """The rows of ``docs``, columns of any name unchanged, without a window of any item."""
+    whole = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("number"), docs["text"].alias("text"), whole.alias("row")), "decontam-rows")
+    hit = contamination(rows, items, "number", item_key).where("contaminated").select("number")
+    clean = rows.join(hit, "number", "left_anti")
+    return clean.select(*[F.col("text") if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

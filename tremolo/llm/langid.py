@@ -298,6 +298,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 def op5_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """A document without an id has no remainder: it is neither held out nor learned from."""
     held_out = F.pmod(crc32_of(F.col("doc_id")), F.lit(4)) == 2
     model = fit(docs.where(~held_out))
-    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+    return identify(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")

@@ -1,18 +1,20 @@
 """Line dedup: a segment-partition edit-distance join of lines.
 
-Two lines within ``edits`` edits: if the shorter is cut into ``edits + 1`` segments, one segment stands unchanged in
-the longer one, at a place that the length difference and the segment's number bound (multi-match-aware ranges). So
-lines index their segments under (length, segment number, content) and probe the indexes of lengths up to ``edits``
-less than theirs with the substrings of those ranges.
-
-Exact copies of a line are one line first. Bitmaps of fixed size (16 MB) then tell index keys that nobody else has
-and probes that meet no index; they only ever let too much pass. What passes is grouped by key, dealt to blocks and
-verified in tasks of bounded size by a bit-parallel edit distance whose words are the band around the diagonal, over
-all pairs of a task at once. A pair belongs to the first segment that finds it. Tasks return links and components,
-never pairs, and components are joined by star steps.
-
-Lines are parts between newlines, compared as code points. Lines of fewer than ``least`` characters are joined by
-equality alone; empty lines are never removed. Of each class the occurrence with the least (id, row, line) stays.
+Two lines are linked when their edit distance is at most one edit for each ``per_edit`` characters of the shorter one
+(five: a similarity of 0.8), and at most ``edits``; under ``per_edit`` characters that is equality. Cut the shorter
+line into one segment more than it may have edits: then one segment stands unchanged in the longer one, at a place
+that the length difference and the segment's number bound (multi-match-aware ranges). So lines index their segments
+under (length, segment number, content) and probe the indexes of lengths up to ``edits`` less than theirs with the
+substrings of those ranges.
+
+Exact copies of a line are one line first, known by a cryptographic digest. Bitmaps of fixed size (16 MB) then tell
+index keys that nobody else has and probes that meet no index; they only ever let too much pass. What passes is
+grouped by key, dealt to blocks and verified in tasks of bounded size by a bit-parallel edit distance whose words are
+the band around the diagonal, over many pairs at once. A pair belongs to the first segment that finds it. Tasks
+return links and components, never pairs, and components are joined by star steps.
+
+Lines are parts between newlines, compared as code points; empty lines are never removed. Of each class the
+occurrence with the least (id, row, line) stays.
 
 Defined results: a null or empty text is one empty line; rows with equal ids are separate documents; ties between
 equal ids go to the first row; other columns are ignored; an empty table gives an empty result.
@@ -20,17 +22,26 @@ equal ids go to the first row; other columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import BASE, SEED2, Bitmap, Spans, list_array, map_texts, mix, own, stage
+from tremolo.llm.common import Bitmap, Spans, dealt_blocks, discard, list_array, map_texts, mix, own, stage
 from tremolo.llm.near import _roots, components
 
-EDITS, LEAST, BLOCK, BITS = 2, 20, 256, 27
+EDITS, PER_EDIT, BLOCK, BITS = 2, 5, 256, 27
+#: Pairs of a task that are looked at together.
+PAIRS = 1 << 18
+
+
+def allowed(size, edits: int = EDITS, per_edit: int = PER_EDIT):
+    """Edits that a line of ``size`` characters may be away from one that is no shorter."""
+    return np.minimum(size // per_edit, edits)
 
 
 def lines_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,35 +75,51 @@ def _key(content: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
         return mix(content ^ mix(length.astype(np.uint64) * np.uint64(64) + np.uint64(i + 1)))
 
 
-def index_keys(span: Spans, start: np.ndarray, size: np.ndarray, edits: int) -> np.ndarray:
-    """(segments, lines) keys."""
-    out = []
-    for i in range(edits + 1):
-        p, n = segment(size, i, edits)
-        out.append(_key(span(start + p, start + p + n), size, i))
-    return np.stack(out)
+def index_keys(span: Spans, start: np.ndarray, size: np.ndarray, edits: int, per_edit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Segment number, the lines that have it, and their keys."""
+    limit = allowed(size, edits, per_edit)
+    for e in range(1, edits + 1):
+        at = np.flatnonzero(limit == e)
+        for i in range(e + 1 if len(at) else 0):
+            p, n = segment(size[at], i, e)
+            yield i, at, _key(span(start[at] + p, start[at] + p + n), size[at], i)
 
 
-def probe_keys(span: Spans, start: np.ndarray, size: np.ndarray, edits: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+def probe_keys(span: Spans, start: np.ndarray, size: np.ndarray, edits: int, per_edit: int) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
     """Segment number, whether it is the line's own index place, the probing lines and their keys."""
     for less in range(edits + 1):
-        for i in range(edits + 1):
-            low, high, n = probe_range(size, size - less, i, edits)
-            p, _ = segment(size - less, i, edits)
-            for step in range(-edits, 2 * edits + 1):
-                at = np.flatnonzero((p + step >= low) & (p + step <= high) & (size - less >= edits + 1))
-                if len(at):
-                    a = start[at] + p[at] + step
-                    yield i, less == 0 and step == 0, at, _key(span(a, a + n[at]), size[at] - less, i)
+        limit = allowed(size - less, edits, per_edit)
+        for e in range(max(less, 1), edits + 1):
+            those = np.flatnonzero(limit == e)
+            for i in range(e + 1 if len(those) else 0):
+                low, high, n = probe_range(size[those], size[those] - less, i, e)
+                p, _ = segment(size[those] - less, i, e)
+                for step in range(-e, 2 * e + 1):
+                    on = np.flatnonzero((p + step >= low) & (p + step <= high))
+                    if len(on):
+                        at = those[on]
+                        a = start[at] + p[on] + step
+                        yield i, less == 0 and step == 0, at, _key(span(a, a + n[on]), size[at] - less, i)
+
+
+def _distinct(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct lines of the texts, and the number of each line's in text order."""
+    text = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    coded = pc.split_pattern(text.cast(pa.large_string()).fill_null(""), "\n").flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
 
 
-def _parsed(texts: list[str | None], least: int):
-    code, start, size, row = lines_of(texts)
-    span, span2 = Spans(code), Spans(code, SEED2 | np.uint64(1))
-    h1, h2 = span(start, start + size), span2(start, start + size)
-    _, once = np.unique(h1, return_index=True)
-    once = once[size[once] >= least]
-    return code, start, size, row, span, h1, h2, once
+def _names(distinct: pa.Array) -> list[str]:
+    return [hashlib.blake2b(x, digest_size=16).hexdigest() for x in distinct.cast(pa.large_binary()).to_pylist()]
+
+
+def _parsed(column: pa.Array, per_edit: int):
+    """Code points, their hashes, and start, size and name of each distinct line that may have edits."""
+    code, start, size, _ = lines_of(column.to_pylist())
+    distinct, number = _distinct(column)
+    _, once = np.unique(number, return_index=True)
+    on = size[once] >= per_edit
+    return code, Spans(code), start[once[on]], size[once[on]], distinct.filter(pa.array(on))
 
 
 class Band:
@@ -105,8 +132,9 @@ class Band:
     def __init__(self, edits: int = EDITS):
         self.edits = edits
 
-    def within(self, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-        """Whether each pair (a no longer than b, by at most ``edits``) is within ``edits`` edits."""
+    def within(self, a: list[np.ndarray], b: list[np.ndarray], limit: np.ndarray | None = None) -> np.ndarray:
+        """Whether each pair (a no longer than b, by at most ``edits``) is within ``edits`` edits, or its own limit."""
+        limit = np.full(len(a), self.edits) if limit is None else limit
         out = np.zeros(len(a), bool)
         order = np.argsort([len(x) for x in b], kind="stable")
         at = 0
@@ -115,11 +143,11 @@ class Band:
             while to < len(order) and (to - at + 1) * len(b[order[to]]) <= 1 << 20:
                 to += 1
             pick = order[at:to]
-            out[pick] = self._within([a[k] for k in pick], [b[k] for k in pick])
+            out[pick] = self._distance([a[k] for k in pick], [b[k] for k in pick]) <= limit[pick]
             at = to
         return out
 
-    def _within(self, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    def _distance(self, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         e = self.edits
         width = 2 * e + 1
         m, n = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -169,72 +197,79 @@ class Band:
                 alive = alive[low[alive] <= 3 * e]
             if not len(alive):
                 break
-        return dist <= e
+        return dist  # beyond ``edits``: some number greater than it
 
 
 def _first_finder(a: np.ndarray, b: np.ndarray, i: int, edits: int) -> bool:
-    """Whether no segment of ``a`` before ``i`` is found in ``b``."""
-    for k in range(i):
+    """Whether segment ``i`` of ``a`` is found in ``b`` and none before it."""
+    for k in range(i + 1):
         low, high, n = (int(x) for x in probe_range(np.int64(len(b)), np.int64(len(a)), k, edits))
         p = int(segment(np.int64(len(a)), k, edits)[0])
         part = a[p : p + n].tobytes()
         if any(b[s : s + n].tobytes() == part for s in range(low, high + 1)):
-            return False
-    return True
+            return k == i
+    return False
 
 
-def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """Staged: node (a distinct line), links (number of other distinct lines within ``edits``), root (in a task)."""
+def line_links(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, block: int = BLOCK) -> DataFrame:
+    """Staged: node (a distinct line), links (number of other distinct lines near it), root (in a task)."""
+    if per_edit < 2:
+        raise ValueError("per_edit must be at least 2: every segment needs a character")
     spark = docs.sparkSession
-    least = max(least, 2 * edits + 2)
     d = own(docs, "text")
 
     def indexes(part):
-        _, start, size, _, span, h1, _, once = _parsed(part.column("text").to_pylist(), least)
-        keys = index_keys(span, start[once], size[once], edits)
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(h1[once], edits + 1).view(np.int64))], ["seg", "line"])
+        _, span, start, size, distinct = _parsed(part.column("text"), per_edit)
+        name = np.array([int(x[:16], 16) for x in _names(distinct)], np.uint64).view(np.int64)
+        found = list(index_keys(span, start, size, edits, per_edit))
+        keys = np.concatenate([*(k for _, _, k in found), np.zeros(0, np.uint64)])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.concatenate([*(name[at] for _, at, _ in found), np.zeros(0, np.int64)]))], ["seg", "line"])
 
     seen = map_texts(d, indexes, "seg bigint, line bigint").groupBy("seg").agg((F.min("line") != F.max("line")).alias("shared"))
     seen = stage(seen, "lines-index")
     everyone, shared = spark.sparkContext.broadcast(Bitmap.of(seen, "seg", BITS, 2)), spark.sparkContext.broadcast(Bitmap.of(seen.where("shared"), "seg", BITS, 2))
 
     def probes(part):
-        _, start, size, _, span, _, _, once = _parsed(part.column("text").to_pylist(), least)
-        found = [k[everyone.value.test(k)] for _, mine, _, k in probe_keys(span, start[once], size[once], edits) if not mine]
+        _, span, start, size, _ = _parsed(part.column("text"), per_edit)
+        found = [k[everyone.value.test(k)] for _, mine, _, k in probe_keys(span, start, size, edits, per_edit) if not mine]
         return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64)).view(np.int64))], ["seg"])
 
     probed = spark.sparkContext.broadcast(Bitmap.of(map_texts(d, probes, "seg bigint"), "seg", BITS, 2))
+    discard(seen)
 
     def members(part):
-        code, start, size, _, span, h1, h2, once = _parsed(part.column("text").to_pylist(), least)
-        start, size, h1, h2 = start[once], size[once], h1[once], h2[once]
-        line, key, number, role = [], [], [], []
-        for i, k in enumerate(index_keys(span, start, size, edits)):
-            at = np.flatnonzero(shared.value.test(k) | probed.value.test(k))
-            line, key, number, role = line + [at], key + [k[at]], number + [np.full(len(at), i)], role + [np.full(len(at), 1)]
-        for i, mine, at, k in probe_keys(span, start, size, edits):
+        _, span, start, size, distinct = _parsed(part.column("text"), per_edit)
+        none = np.zeros(0, np.int64)
+        line, key, number, role = [none], [none.view(np.uint64)], [none], [none]
+
+        def add(at, k, i, what):
+            line.append(at)
+            key.append(k)
+            number.append(np.full(len(at), i))
+            role.append(np.full(len(at), what))
+
+        for i, at, k in index_keys(span, start, size, edits, per_edit):
+            on = shared.value.test(k) | probed.value.test(k)
+            add(at[on], k[on], i, 1)
+        for i, mine, at, k in probe_keys(span, start, size, edits, per_edit):
             on = (shared if mine else everyone).value.test(k)
-            line, key, number, role = line + [at[on]], key + [k[on]], number + [np.full(int(on.sum()), i)], role + [np.full(int(on.sum()), 2)]
+            add(at[on], k[on], i, 2)
         line, key, number, role = (np.concatenate(x) for x in (line, key, number, role))
         order = np.argsort(line, kind="stable")
         line, key, number, role = (x[order] for x in (line, key, number, role))
         used, n = np.unique(line, return_counts=True)
-        text = [code[a : a + b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(start[used].tolist(), size[used].tolist())]
-        node = [f"{a:016x}{b:016x}" for a, b in zip(h1[used].tolist(), h2[used].tolist())]
+        text = distinct.take(pa.array(used)).cast(pa.string())
         segs = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(number.astype(np.int32)), pa.array(role.astype(np.int32))], ["seg", "number", "role"])
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.string()), pa.array(text, pa.string()), list_array(segs, n)], ["node", "line", "segs"])
+        return pa.RecordBatch.from_arrays([pa.array(_names(text), pa.string()), text, list_array(segs, n)], ["node", "line", "segs"])
 
     lines = map_texts(d, members, "node string, line string, segs array<struct<seg:bigint,number:int,role:int>>").groupBy("node").agg(F.first("line").alias("line"), F.first("segs").alias("segs"))
     lines = stage(lines, "lines-members")
     roles = lines.select("node", F.explode("segs").alias("s")).select("node", "s.*").groupBy("seg", "number", "node").agg(F.expr("bit_or(role)").alias("role"))
     roles = stage(roles, "lines-roles")
-    counts = roles.groupBy("seg", "number").agg(F.count("*").alias("n"), F.expr("bit_or(role)").alias("any")).where("n > 1 and any = 3").drop("any")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    counts = stage(roles.groupBy("seg", "number").agg(F.count("*").alias("n"), F.expr("bit_or(role)").alias("any")).where("n > 1 and any = 3").drop("any"), "lines-counts")
     dealt = (
-        roles.join(counts, ["seg", "number"])
-        .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("seg", "number", "node", "role", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        dealt_blocks(roles.join(counts, ["seg", "number"]), "node", block)
+        .select("seg", "number", "node", "role", "own", "lo", "hi")
         .join(lines.select("node", "line"), "node")
         .groupBy("seg", "number", "lo", "hi")
         .agg(F.collect_list(F.struct("node", "role", "own", "line")).alias("m"))
@@ -249,57 +284,76 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST, block: i
                 i, lo, hi, m = (batch.column(c)[r].as_py() for c in ("number", "lo", "hi", "m"))
                 code = [np.frombuffer(x["line"].encode("utf-32-le", "surrogatepass"), np.uint32) for x in m]
                 size, role, part = np.array([len(c) for c in code]), np.array([x["role"] for x in m]), np.array([x["own"] for x in m])
+                limit = allowed(size, edits, per_edit)
                 rank = np.argsort(np.argsort([x["node"] for x in m]))
-                a, b = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-                left, right = np.repeat(a, len(b)), np.tile(b, len(a))
-                more = size[right] - size[left]
-                ok = (left != right) & (more >= 0) & (more <= edits) & ((more > 0) | (rank[left] < rank[right]))
-                if lo != hi:
-                    ok &= part[left] != part[right]
-                left, right = left[ok], right[ok]
-                # An edit changes the counts of at most two characters by one: most pairs end here.
                 counts = np.stack([np.bincount(c & 63, minlength=64) for c in code]).astype(np.int32)
-                near = [np.abs(counts[left[k : k + 20_000]] - counts[right[k : k + 20_000]]).sum(1) <= 2 * edits for k in range(0, len(left), 20_000)]
-                ok = np.concatenate([*near, np.zeros(0, bool)])
-                left, right = left[ok], right[ok]
-                ok = band.within([code[k] for k in left], [code[k] for k in right])
-                left, right = left[ok], right[ok]
-                ok = np.array([_first_finder(code[x], code[y], i, edits) for x, y in zip(left.tolist(), right.tolist())], bool)
-                left, right = left[ok], right[ok]
+                a, b = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+                step = max(1, PAIRS // max(1, len(b)))
+                lefts, rights = [], []
+                for k in range(0, len(a), step):
+                    left, right = np.repeat(a[k : k + step], len(b)), np.tile(b, len(a[k : k + step]))
+                    more = size[right] - size[left]
+                    ok = (left != right) & (more >= 0) & (more <= limit[left]) & ((more > 0) | (rank[left] < rank[right]))
+                    if lo != hi:
+                        ok &= part[left] != part[right]
+                    left, right = left[ok], right[ok]
+                    # An edit changes the counts of at most two characters by one: most pairs end here.
+                    ok = [np.abs(counts[left[j : j + 20_000]] - counts[right[j : j + 20_000]]).sum(1) <= 2 * limit[left[j : j + 20_000]] for j in range(0, len(left), 20_000)]
+                    ok = np.concatenate([*ok, np.zeros(0, bool)])
+                    left, right = left[ok], right[ok]
+                    ok = band.within([code[j] for j in left], [code[j] for j in right], limit[left])
+                    left, right = left[ok], right[ok]
+                    ok = np.array([_first_finder(code[x], code[y], i, int(limit[x])) for x, y in zip(left.tolist(), right.tolist())], bool)
+                    lefts.append(left[ok])
+                    rights.append(right[ok])
+                left, right = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (lefts, rights))
                 if len(left):
                     links = np.bincount(np.concatenate([left, right]), minlength=len(m))
                     root = _roots(len(m), left, right)
                     on = np.flatnonzero(links)
                     yield pa.RecordBatch.from_arrays([pa.array([m[k]["node"] for k in on]), pa.array(links[on]), pa.array([m[root[k]]["node"] for k in on])], ["node", "links", "root"])
 
-    return stage(dealt.mapInArrow(verify, "node string, links bigint, root string"), "lines-links")
+    links = stage(dealt.mapInArrow(verify, "node string, links bigint, root string"), "lines-links")
+    discard(lines, roles, counts)
+    return links
 
 
-def duplicate_lines(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def duplicate_lines(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, per_edit: int = PER_EDIT, block: int = BLOCK) -> DataFrame:
     """Per document: key, n_lines, removed (numbers of its lines, from 0, that repeat an earlier one), n_links."""
-    links = line_links(docs, edits, least)
+    links = line_links(docs, edits, per_edit, block)
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
-    classes = components(links, "node", "root").withColumnRenamed("root", "class")
-    d = own(docs, key, "text").withColumn("uid", F.monotonically_increasing_id())
-    kind = d.schema[key].dataType.simpleString()
+    classes = stage(components(links, "node", "root").join(degree, "node").select("node", F.col("root").alias("class"), "links"), "lines-classes")
+    discard(links)
+    d = own(docs, key, "text").withColumnRenamed(key, "id").withColumn("uid", F.monotonically_increasing_id())
+    kind = d.schema["id"].dataType.simpleString()
 
     def nodes(part):
-        _, _, size, row, _, h1, h2, _ = _parsed(part.column("text").to_pylist(), least)
-        names = [f"{a:016x}{b:016x}" if n else None for a, b, n in zip(h1.tolist(), h2.tolist(), size.tolist())]
-        return pa.RecordBatch.from_arrays([part.column("uid"), part.column(key), list_array(pa.array(names, pa.string()), np.bincount(row, minlength=part.num_rows))], ["uid", key, "nodes"])
-
-    parsed = stage(map_texts(d, nodes, f"uid bigint, `{key}` {kind}, nodes array<string>"), "lines-documents")
-    places = parsed.select("uid", key, F.posexplode("nodes").alias("at", "node")).where("node is not null")
-    own_class = places.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    first = own_class.groupBy("class").agg(F.min(F.struct(F.col(key).isNull(), key, "uid", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = own_class.join(first, "class").where((F.col("uid") != F.col("first.uid")) | (F.col("at") != F.col("first.at")))
-    gone = gone.groupBy("uid").agg(F.array_sort(F.collect_list("at")).alias("removed"))
-    linked = places.join(degree, "node").groupBy("uid").agg(F.sum("links").alias("n_links"))
+        distinct, number = _distinct(part.column("text"))
+        name = pa.array([x if n else None for x, n in zip(_names(distinct), pc.binary_length(distinct).to_pylist())], pa.string())
+        size = [(t or "").count("\n") + 1 for t in part.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([part.column("uid"), part.column("id"), list_array(name.take(pa.array(number)), np.array(size))], ["uid", "id", "nodes"])
+
+    parsed = stage(map_texts(d, nodes, f"uid bigint, id {kind}, nodes array<string>"), "lines-documents")
+    places = parsed.select("uid", "id", F.posexplode("nodes").alias("at", "node")).where("node is not null")
+    # The first place of each line, then of each class of lines: what a class's lines share is settled among the lines.
+    least = F.min(F.struct(F.col("id").isNull(), "id", "uid", "at")).alias("first")
+    own_first = stage(places.groupBy("node").agg(least, F.count("*").alias("n")).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "lines-nodes")
+    of_class = stage(own_first.groupBy("class").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1"), "lines-firsts")
+    said = own_first.select("node", "class", "links").join(of_class, "class", "left").select("node", "links", "kept").where("links is not null or kept is not null")
+    said = stage(said, "lines-verdict")
+    discard(own_first, of_class, classes)
+    of_document = (
+        places.join(said, "node")
+        .groupBy("uid")
+        .agg(
+            F.array_sort(F.collect_list(F.when((F.col("uid") != F.col("kept.uid")) | (F.col("at") != F.col("kept.at")), F.col("at")))).alias("removed"),
+            F.sum("links").alias("n_links"),
+        )
+    )
     return (
-        parsed.select("uid", key, F.size("nodes").cast("long").alias("n_lines"))
-        .join(gone, "uid", "left")
-        .join(linked, "uid", "left")
-        .select(key, "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        parsed.select("uid", "id", F.size("nodes").cast("long").alias("n_lines"))
+        .join(of_document, "uid", "left")
+        .select(F.col("id").alias(key), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
 
 

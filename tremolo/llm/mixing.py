@@ -60,7 +60,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
 
 def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per source, the hash below which the rows' sizes add up to at most ``budget``.
+    """Per source, the hash below which the rows' sizes add up to what is nearest to ``budget``: rows are taken whole.
 
     ``sizes`` has source, size, hash; ``budgets`` has source, budget. Each level sums sizes by bucket inside the
     boundary bucket that the level before it found.
@@ -81,16 +81,18 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
             .join(state.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source")))
             .where(F.col("h.run") > F.col("s.budget"))
             .groupBy(F.col("h.source").alias("source"))
-            .agg(F.min(F.struct("h.bucket", (F.col("s.budget") - F.col("h.run") + F.col("h.size")).alias("left"))).alias("edge"))
+            .agg(F.min(F.struct("h.bucket", (F.col("s.budget") - F.col("h.run") + F.col("h.size")).alias("left"), "h.size")).alias("edge"))
         )
         # Without a boundary bucket all rows fit: the threshold is then beyond every hash.
+        # At the last level the boundary is the rows of one hash: they are below the threshold if that is nearer.
+        nearer = (F.col("e.edge.size") < 2 * F.col("e.edge.left")).cast("long") if shift == 0 else F.lit(0)
         state = (
             state.alias("s")
             .join(edge.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")), "left")
             .select(
                 "s.source",
                 F.coalesce("e.edge.left", "s.budget").alias("budget"),
-                F.when(F.col("e.edge").isNotNull(), F.shiftleft("e.edge.bucket", shift)).otherwise(F.lit(1 << HASH_BITS)).alias("low"),
+                F.when(F.col("e.edge").isNotNull(), F.shiftleft("e.edge.bucket", shift) + nearer).otherwise(F.lit(1 << HASH_BITS)).alias("low"),
             )
         )
         state = stage(state, "mix-level")
@@ -127,11 +129,12 @@ def mix_counts(docs: DataFrame, key: str = "doc_id", **rules) -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", **rules) -> DataFrame:
     """The rows of ``docs``, columns unchanged, each as often as the mix takes it. The texts are not shuffled: a
     row's copies follow from its hash and its source's rule."""
-    rule = mix_rule(_sizes(docs, key), **rules).select(F.col("source").alias("__source"), "whole", "threshold")
-    copies = rule["whole"] + (hash_of(docs[f"`{key}`"]) < rule["threshold"]).cast("long")
-    rows = docs.join(rule, docs["source"].eqNullSafe(rule["__source"])).withColumn("__copies", copies).where("__copies > 0")
-    each = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
-    return each.select(*[docs[f"`{c}`"] for c in docs.columns])
+    rule = mix_rule(_sizes(docs, key), **rules)
+    whole = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(whole.alias("row"), docs["source"].alias("source"), hash_of(docs[f"`{key}`"]).alias("hash")).alias("d")
+    copies = (F.col("r.whole") + (F.col("d.hash") < F.col("r.threshold")).cast("long")).cast("int")
+    each = rows.join(rule.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source"))).select("d.row", F.explode(F.array_repeat(F.lit(0), copies)))
+    return each.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -161,9 +164,10 @@ t AS (
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 r AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.whole,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run,
+         sum(d.size) OVER (PARTITION BY d.source, d.h) AS same
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN whole < 2 AND run <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + CASE WHEN whole < 2 AND (run <= target - whole * source_size OR 2 * run - same < 2 * (target - whole * source_size)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
 """

@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import Spans, list_array, map_texts, mix, rows_in, shingle_hashes, stage, utf8, words
+from tremolo.llm.common import Spans, dealt_blocks, discard, list_array, map_texts, mix, rows_in, shingle_hashes, stage, utf8, words
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, BAND_ROWS, STEP, BLOCK = 24, 3, 12, 256
 HASHES = BANDS * BAND_ROWS
+#: Pairs of a task that are compared together.
+PAIRS = 1 << 18
 _SEEDS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -195,14 +197,9 @@ def _band_keys(reps: DataFrame) -> DataFrame:
 def candidate_tasks(reps: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """Staged tasks with pairs that pruning keeps: task, members (uids), left and right (places in members)."""
     keys = stage(_band_keys(reps), "near-bands")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    counts = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
     dealt = (
-        keys.join(counts, "key")
-        .withColumn("own", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("lo", F.least("own", "other"))
-        .withColumn("hi", F.greatest("own", "other"))
+        dealt_blocks(keys.join(counts, "key"), "uid", block)
         .join(reps.select("uid", "sig"), "uid")
         .groupBy("key", "band", "lo", "hi")
         .agg(F.collect_list(F.struct("uid", "own", "sig")).alias("m"))
@@ -218,12 +215,15 @@ def candidate_tasks(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
                 band, lo, hi = (batch.column(c)[r].as_py() for c in ("band", "lo", "hi"))
                 uid, own_block = (batch.column(c)[r].values.to_numpy() for c in ("uid", "own"))
                 sig = np.frombuffer(b"".join(batch.column("sig")[r].as_py()), "<u4").reshape(-1, HASHES)
-                if lo == hi:
-                    left, right = np.triu_indices(len(uid), 1)
-                else:
-                    a, b = np.flatnonzero(own_block == lo), np.flatnonzero(own_block == hi)
-                    left, right = np.repeat(a, len(b)), np.tile(b, len(a))
-                left, right = surviving_pairs(sig, left, right, band, least)
+                a, b = (np.arange(len(uid)),) * 2 if lo == hi else (np.flatnonzero(own_block == lo), np.flatnonzero(own_block == hi))
+                step = max(1, PAIRS // max(1, len(b)))
+                found = [(np.zeros(0, np.int64),) * 2]
+                for k in range(0, len(a), step):
+                    left, right = np.repeat(a[k : k + step], len(b)), np.tile(b, len(a[k : k + step]))
+                    if lo == hi:
+                        left, right = left[left < right], right[left < right]
+                    found.append(surviving_pairs(sig, left, right, band, least))
+                left, right = (np.concatenate(x) for x in zip(*found))
                 if len(left):
                     used, places = np.unique(np.concatenate([left, right]), return_inverse=True)
                     members.append(uid[used])
@@ -233,7 +233,9 @@ def candidate_tasks(reps: DataFrame, threshold: float = THRESHOLD, tolerance: fl
                 yield pa.RecordBatch.from_arrays([list_array(np.concatenate(x), np.array([len(y) for y in x])) for x in (members, lefts, rights)], ["members", "left", "right"])
 
     tasks = dealt.mapInArrow(run, "members array<bigint>, left array<int>, right array<int>")
-    return stage(tasks.withColumn("task", F.monotonically_increasing_id()), "near-tasks")
+    tasks = stage(tasks.withColumn("task", F.monotonically_increasing_id()), "near-tasks")
+    discard(keys, counts)
+    return tasks
 
 
 def verified_links(tasks: DataFrame, texts: DataFrame, copies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -275,25 +277,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     driver is a checksum.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    last = None
+    last, before = None, None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(least, "u")
-        e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = stage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "near-stars")
+        # Minima are written, so that both sides of a join are plain shuffles and one node's many edges can be split.
+        large = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "near-least")
+        e = stage(both.join(large, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "near-large")
+        small = stage(e.groupBy("u").agg(F.min("v").alias("m")), "near-least")
+        each = e.join(small, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
+        now_e = stage(each.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-stars")
+        discard(large, small, e, *([before] if before is not None else []))
+        e = before = now_e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
         if now == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         last = now
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def near_classes(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """Per document: key, class_id (least key of its class), n_links (other texts), n_copies (documents of its set), class_size,
     and is_first: whether the document is the one of its class with the least key."""
-    return _classes(signatures(docs, key), key, threshold, tolerance).drop("uid")
+    return _classes(signatures(docs, key), key, threshold, tolerance, block).drop("uid")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -305,23 +309,35 @@ def keep_first(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOL
     return kept.select(*[F.col("text") if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def _classes(signed: DataFrame, key: str, threshold: float, tolerance: float) -> DataFrame:
+def _classes(signed: DataFrame, key: str, threshold: float, tolerance: float, block: int = BLOCK) -> DataFrame:
     different = signed.where("n > 0").groupBy("h1", "h2", "n", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2")).agg(F.min("uid").alias("uid"), F.count("*").alias("k"))
     copies = stage(different.groupBy("h1", "h2", "n").agg(F.min("uid").alias("rep"), F.sum("k").alias("n_copies"), F.count("*").alias("n_texts")), "near-copies")
     reps = signed.select("uid", "sig").join(copies.select(F.col("rep").alias("uid")), "uid")
-    links = verified_links(candidate_tasks(reps, threshold, tolerance), signed, copies, threshold)
+    tasks = candidate_tasks(reps, threshold, tolerance, block)
+    links = verified_links(tasks, signed, copies, threshold)
+    discard(tasks)
     degree = links.groupBy(F.col("uid").alias("rep")).agg(F.sum("links").alias("n_links"))
     classes = components(links, "uid", "root").select(F.col("node").alias("rep"), "root")
-    of = copies.join(degree, "rep", "left").join(classes, "rep", "left")
-    member = (
+    of = copies.join(degree, "rep", "left").join(classes, "rep", "left").withColumn("class", F.coalesce("root", "rep"))
+    # The first document of each set, then of each class of sets: a class's documents are not gathered.
+    least = F.min(F.struct(F.col(key).isNull(), key, "uid")).alias("first")
+    of = stage(of.join(signed.where("n > 0").groupBy("h1", "h2", "n").agg(least), ["h1", "h2", "n"]), "near-sets")
+    of_class = stage(of.groupBy("class").agg(F.min("first").alias("kept"), F.sum("n_copies").alias("class_size")), "near-firsts")
+    said = stage(of.join(of_class, "class").select("h1", "h2", "n", "n_links", "n_texts", "n_copies", "kept", "class_size"), "near-verdict")
+    discard(links, of, of_class, copies)
+    alone = F.col("kept").isNull()
+    return (
         signed.select("uid", key, "n", "h1", "h2")
-        .join(of, ["h1", "h2", "n"], "left")
-        .select("uid", key, (F.coalesce("n_links", F.lit(0)) + F.coalesce("n_texts", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("root", "rep", "uid").alias("class"))
-    )
-    member = stage(member, "near-members")
-    first = member.groupBy("class").agg(F.min(F.struct(F.col(key).isNull(), key, "uid")).alias("first"), F.count("*").alias("class_size"))
-    return member.join(first, "class").select(
-        key, F.col(f"first.{key}").alias("class_id"), "n_links", "n_copies", "class_size", (F.col("uid") == F.col("first.uid")).alias("is_first"), "uid"
+        .join(said, ["h1", "h2", "n"], "left")
+        .select(
+            key,
+            F.when(alone, F.col(key)).otherwise(F.col(f"kept.`{key}`")).alias("class_id"),
+            (F.coalesce("n_links", F.lit(0)) + F.coalesce("n_texts", F.lit(1)) - 1).cast("long").alias("n_links"),
+            F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+            F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+            (alone | (F.col("uid") == F.col("kept.uid"))).alias("is_first"),
+            "uid",
+        )
     )
 
 

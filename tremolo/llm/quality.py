@@ -188,12 +188,14 @@ def train(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, steps: int
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", rows: int = 4000, seed: str = "quality") -> Model | None:
-    """A model from documents and their 0/1 labels; None without labelled documents of both kinds."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", rows: int = 4000, seed: str = "quality", max_chars: int = 50_000) -> Model | None:
+    """A model from documents and their 0/1 labels; None without labelled documents of both kinds.
+
+    The sample has about ``rows`` documents, none of more than ``max_chars`` characters, so its bytes are bounded too."""
     known = own(labels, key, label).where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("label"))
     total = max(1, known.count())
     chosen = known.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) < F.lit(min(1.0, rows / total) * (1 << 20))).limit(2 * rows)
-    table = own(docs, key, "text").join(F.broadcast(chosen), key).select("text", "label").limit(4 * rows).toArrow()  # bounded by ``rows``
+    table = own(docs, key, "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(F.broadcast(chosen), key).select("text", "label").limit(4 * rows).toArrow()  # bounded by ``rows``
     y = table["label"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None
@@ -258,4 +260,5 @@ def fitted(spark, sf_dir: str) -> Model | None:
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score_documents(docs, fitted(spark, sf_dir)).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_lines")
+    """A document without an id has no remainder: it is neither held out nor learned from."""
+    return score_documents(docs, fitted(spark, sf_dir)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "n_lines")

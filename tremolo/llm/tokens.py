@@ -17,6 +17,7 @@ other in text order; an empty table makes no blocks; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -115,15 +116,17 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.known = _Known(self.model.model)
-        # Only a plain byte-level tokenizer cuts texts into PIECES.
-        cuts = str(self.model.pre_tokenizer)
-        self.by_piece = self.model.normalizer is None and cuts.startswith("ByteLevel(") and "add_prefix_space=False" in cuts and "use_regex=True" in cuts
+        # Only a plain byte-level tokenizer cuts texts into PIECES; texts with one of its added tokens go to it whole.
+        made = json.loads(self.model.to_str())
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.by_piece = made["normalizer"] is None and plain.items() <= (made["pre_tokenizer"] or {}).items() and not made["model"].get("dropout") and made["truncation"] is None
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in made["added_tokens"]) or r"(?!)", re.IGNORECASE)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [self.by_piece and bool(PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        plain = [self.by_piece and bool(PLAIN.fullmatch(t)) and not self.added.search(t) for t in texts]
         whole = iter(self.raw([t for t, p in zip(texts, plain) if not p]))
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
@@ -182,21 +185,25 @@ def encode(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None, e
 
 
 def decode_documents(blocks: DataFrame) -> DataFrame:
-    """Per document, read from the blocks: doc_id, start, n_tokens, ids_crc32."""
+    """Per document, read from the blocks: doc_id, start, n_tokens, ids_crc32, first_id and last_id.
+
+    The last two are read by :func:`access` alone, through bitmaps and rank directories."""
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    schema = _schema(f"part int, block int, doc_id {kind}, within bigint, n_tokens bigint, ids_crc32 bigint")
+    schema = _schema(f"part int, block int, doc_id {kind}, within bigint, n_tokens bigint, ids_crc32 bigint, first_id bigint, last_id bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
                 lens = row.column("lens").flatten().to_numpy()
-                values = dac_decode(*([x.as_py() for x in row.column(c).flatten()] for c in ("levels", "bitmaps")))
+                levels, bitmaps, ranks = ([x.as_py() for x in row.column(c).flatten()] for c in ("levels", "bitmaps", "ranks"))
+                values = dac_decode(levels, bitmaps)
                 raw = memoryview(values.astype("<u4").tobytes())
                 starts = np.cumsum(lens) - lens
                 crc = [zlib.crc32(raw[4 * s : 4 * (s + n)]) for s, n in zip(starts.tolist(), lens.tolist())]
+                ends = [pa.array([access(levels, bitmaps, ranks, i) for i in at.tolist()], pa.int64()) for at in (starts, starts + lens - 1)]
                 same = lambda c: pa.array(np.full(len(lens), row.column(c)[0].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([same("part"), same("block"), row.column("ids").flatten(), pa.array(starts), pa.array(lens), pa.array(crc, pa.int64())], schema.names)
+                yield pa.RecordBatch.from_arrays([same("part"), same("block"), row.column("ids").flatten(), pa.array(starts), pa.array(lens), pa.array(crc, pa.int64()), *ends], schema.names)
 
     # Offsets of blocks: of the parts (one row per task of the writer) and within each part.
     sizes = blocks.groupBy("part", "block").agg(F.sum("n_tokens").alias("n"))
@@ -204,8 +211,8 @@ def decode_documents(blocks: DataFrame) -> DataFrame:
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", before(W.orderBy("part")).alias("base"))
     sizes = sizes.select("part", "block", before(W.partitionBy("part").orderBy("block")).alias("inner")).join(parts, "part")
-    docs = blocks.select("part", "block", "ids", "lens", "levels", "bitmaps").mapInArrow(run, schema)
-    return docs.join(sizes, ["part", "block"]).select("doc_id", (F.col("base") + F.col("inner") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    docs = blocks.select("part", "block", "ids", "lens", "levels", "bitmaps", "ranks").mapInArrow(run, schema)
+    return docs.join(sizes, ["part", "block"]).select("doc_id", (F.col("base") + F.col("inner") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "first_id", "last_id")
 
 
 def token_table(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
