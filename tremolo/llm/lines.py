@@ -113,6 +113,10 @@ def _names(distinct: pa.Array) -> list[str]:
     return [hashlib.blake2b(x, digest_size=16).hexdigest() for x in distinct.cast(pa.large_binary()).to_pylist()]
 
 
+def _short_names(distinct: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=8).digest() for x in distinct.cast(pa.large_binary()).to_pylist()]), np.int64)
+
+
 def _parsed(column: pa.Array, per_edit: int):
     """Code points, their hashes, and start, size and name of each distinct line that may have edits."""
     code, start, size, _ = lines_of(column.to_pylist())
@@ -211,6 +215,46 @@ def _first_finder(a: np.ndarray, b: np.ndarray, i: int, edits: int) -> bool:
     return False
 
 
+def _linked(x: int, y: int, i: int, own_block, role, size, rank, line: pa.Array, edits: int, per_edit: int) -> tuple[np.ndarray, ...]:
+    """Of the members ``x`` .. ``y`` of a task for segment ``i``: those with links, their number, and a member of the
+    component. With ``own_block`` only pairs of different blocks are looked at."""
+    band, a, b = Band(edits), x + np.flatnonzero(role[x:y] & 1), x + np.flatnonzero(role[x:y] & 2)
+    limit = dict(zip(a.tolist(), allowed(size[a], edits, per_edit).tolist()))
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    code: dict[int, np.ndarray] = {}
+    step = max(1, PAIRS // max(1, len(b)))
+    for k in range(0, len(a), step):
+        left, right = np.repeat(a[k : k + step], len(b)), np.tile(b, len(a[k : k + step]))
+        more = size[right] - size[left]
+        ok = (left != right) & (more >= 0) & (more <= allowed(size[left], edits, per_edit)) & ((more > 0) | (rank[left] < rank[right]))
+        if own_block is not None:
+            ok &= own_block[left] != own_block[right]
+        left, right = left[ok], right[ok]
+        if not len(left):
+            continue
+        used = np.unique(np.concatenate([left, right]))
+        for j in used.tolist():
+            if j not in code:
+                code[j] = np.frombuffer(line[j].as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
+        # An edit changes the counts of at most two characters by one: most pairs end here.
+        counts = np.stack([np.bincount(code[j] & 63, minlength=64) for j in used.tolist()]).astype(np.int32)
+        l, r = np.searchsorted(used, left), np.searchsorted(used, right)
+        ok = [np.abs(counts[l[j : j + 20_000]] - counts[r[j : j + 20_000]]).sum(1) <= 2 * edits for j in range(0, len(l), 20_000)]
+        ok = np.concatenate(ok)
+        left, right = left[ok], right[ok]
+        ok = band.within([code[j] for j in left.tolist()], [code[j] for j in right.tolist()], np.array([limit[j] for j in left.tolist()], np.int64))
+        left, right = left[ok], right[ok]
+        ok = np.array([_first_finder(code[j], code[m], i, limit[j]) for j, m in zip(left.tolist(), right.tolist())], bool)
+        lefts.append(left[ok])
+        rights.append(right[ok])
+    left, right = np.concatenate(lefts), np.concatenate(rights)
+    if not len(left):
+        return left, left, left
+    links = np.bincount(np.concatenate([left, right]) - x, minlength=y - x)
+    on = np.flatnonzero(links)
+    return x + on, links[on], x + np.array(_roots(y - x, left - x, right - x), np.int64)[on]
+
+
 def line_links(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, block: int = BLOCK) -> DataFrame:
     """Staged: node (a distinct line), links (number of other distinct lines near it), root (in a task)."""
     if per_edit < 2:
@@ -220,7 +264,7 @@ def line_links(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, bl
 
     def indexes(part):
         _, span, start, size, distinct = _parsed(part.column("text"), per_edit)
-        name = np.array([int(x[:16], 16) for x in _names(distinct)], np.uint64).view(np.int64)
+        name = _short_names(distinct)
         found = list(index_keys(span, start, size, edits, per_edit))
         keys = np.concatenate([*(k for _, _, k in found), np.zeros(0, np.uint64)])
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.concatenate([*(name[at] for _, at, _ in found), np.zeros(0, np.int64)]))], ["seg", "line"])
@@ -278,40 +322,20 @@ def line_links(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, bl
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = Band(edits)
         for batch in batches:
-            for r in range(batch.num_rows):
-                i, lo, hi, m = (batch.column(c)[r].as_py() for c in ("number", "lo", "hi", "m"))
-                code = [np.frombuffer(x["line"].encode("utf-32-le", "surrogatepass"), np.uint32) for x in m]
-                size, role, part = np.array([len(c) for c in code]), np.array([x["role"] for x in m]), np.array([x["own"] for x in m])
-                limit = allowed(size, edits, per_edit)
-                rank = np.argsort(np.argsort([x["node"] for x in m]))
-                counts = np.stack([np.bincount(c & 63, minlength=64) for c in code]).astype(np.int32)
-                a, b = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-                step = max(1, PAIRS // max(1, len(b)))
-                lefts, rights = [], []
-                for k in range(0, len(a), step):
-                    left, right = np.repeat(a[k : k + step], len(b)), np.tile(b, len(a[k : k + step]))
-                    more = size[right] - size[left]
-                    ok = (left != right) & (more >= 0) & (more <= limit[left]) & ((more > 0) | (rank[left] < rank[right]))
-                    if lo != hi:
-                        ok &= part[left] != part[right]
-                    left, right = left[ok], right[ok]
-                    # An edit changes the counts of at most two characters by one: most pairs end here.
-                    ok = [np.abs(counts[left[j : j + 20_000]] - counts[right[j : j + 20_000]]).sum(1) <= 2 * limit[left[j : j + 20_000]] for j in range(0, len(left), 20_000)]
-                    ok = np.concatenate([*ok, np.zeros(0, bool)])
-                    left, right = left[ok], right[ok]
-                    ok = band.within([code[j] for j in left], [code[j] for j in right], limit[left])
-                    left, right = left[ok], right[ok]
-                    ok = np.array([_first_finder(code[x], code[y], i, int(limit[x])) for x, y in zip(left.tolist(), right.tolist())], bool)
-                    lefts.append(left[ok])
-                    rights.append(right[ok])
-                left, right = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (lefts, rights))
-                if len(left):
-                    links = np.bincount(np.concatenate([left, right]), minlength=len(m))
-                    root = _roots(len(m), left, right)
-                    on = np.flatnonzero(links)
-                    yield pa.RecordBatch.from_arrays([pa.array([m[k]["node"] for k in on]), pa.array(links[on]), pa.array([m[root[k]]["node"] for k in on])], ["node", "links", "root"])
+            if not batch.num_rows:
+                continue
+            lists = batch.column("m")
+            node, line, role, own_block = (pc.struct_field(lists.flatten(), c) for c in ("node", "line", "role", "own"))
+            rank = np.empty(len(node), np.int64)
+            rank[pc.sort_indices(node).to_numpy()] = np.arange(len(node))
+            size, role, own_block = pc.utf8_length(line).to_numpy().astype(np.int64), role.to_numpy(), own_block.to_numpy()
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()
+            tasks = zip([0, *ends], ends, *(batch.column(c).to_pylist() for c in ("number", "lo", "hi")))
+            found = [_linked(x, y, i, None if lo == hi else own_block, role, size, rank, line, edits, per_edit) for x, y, i, lo, hi in tasks]
+            member, links, root = (np.concatenate(x) for x in zip(*found))
+            if len(member):
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(member)), pa.array(links), node.take(pa.array(root))], ["node", "links", "root"])
 
     links = stage(dealt.mapInArrow(verify, "node string, links bigint, root string"), "lines-links")
     discard(lines, roles, counts)
@@ -335,11 +359,12 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", edits: int = EDITS, pe
 
     parsed = stage(map_texts(d, nodes, f"uid bigint, id {kind}, nodes array<string>"), "lines-documents")
     places = parsed.select("uid", "id", F.posexplode("nodes").alias("at", "node")).where("node is not null")
-    # The first place of each line, then of each class of lines: what a class's lines share is settled among the lines.
+    # The first place of each line, then of each class of linked lines: what lines share is settled among the lines.
     least = F.min(F.struct(F.col("id").isNull(), "id", "uid", "at")).alias("first")
-    own_first = stage(places.groupBy("node").agg(least, F.count("*").alias("n")).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "lines-nodes")
-    of_class = stage(own_first.groupBy("class").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1"), "lines-firsts")
-    said = own_first.select("node", "class", "links").join(of_class, "class", "left").select("node", "links", "kept").where("links is not null or kept is not null")
+    own_first = stage(places.groupBy("node").agg(least, F.count("*").alias("n")).join(classes, "node", "left").where("n > 1 or class is not null"), "lines-nodes")
+    linked = own_first.where("class is not null")
+    of_class = stage(linked.groupBy("class").agg(F.min("first").alias("kept")), "lines-firsts")
+    said = linked.join(of_class, "class").select("node", "links", "kept").unionByName(own_first.where("class is null").select("node", F.lit(None).cast("long").alias("links"), F.col("first").alias("kept")))
     said = stage(said, "lines-verdict")
     discard(own_first, of_class, classes)
     of_document = (
