@@ -51,3 +51,23 @@ def sequence_after(sequence: Column, last: Column, bits: int = 24) -> Column:
 
 def sequence_next(sequence: Column, bits: int = 24) -> Column:
     return F.pmod(sequence + 1, F.lit(1 << bits))
+
+
+def day_of_year_ns(year: Column, day: Column, hour: Column, minute: Column, second: Column, ten_thousandths: Column, micro: Column) -> Column:
+    """Nanoseconds since the epoch of a day of the year and parts of the day; second 60 carries. Null where a part is
+    out of range or the time is beyond 64 bits."""
+    days = F.datediff(F.make_date(year.cast("int"), F.lit(1), F.lit(1)), F.lit("1970-01-01").cast("date")).cast("long") + day - 1
+    seconds = days * 86_400 + hour * 3600 + minute * 60 + second
+    ok = year.between(1900, 2500) & day.between(1, 366) & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 60) & ten_thousandths.between(0, 9999) & (F.abs(seconds) <= 9_223_372_035)
+    return F.when(ok, F.when(ok, seconds) * 1_000_000_000 + ten_thousandths * 100_000 + micro * 1000)
+
+
+def rate_of(factor: Column, multiplier: Column) -> Column:
+    """Samples a second: positive numbers multiply, negative ones divide; 0 where either is 0."""
+    part = lambda x: F.when(x > 0, x.cast("double")).when(x < 0, F.lit(-1.0) / x).otherwise(F.lit(0.0))
+    return part(factor) * part(multiplier)
+
+
+def sign_extend(value: Column, bits: int) -> Column:
+    """Two's complement of the low ``bits`` of a non-negative number."""
+    return value.bitwiseXOR(F.lit(1 << (bits - 1))) - F.lit(1 << (bits - 1))
