@@ -7,6 +7,7 @@ fed in Arrow batches; nothing else of a key is held in memory.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,8 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def ordered_fold(df: DataFrame, on: list[str], order: list[str], step: Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame | None]], schema: str) -> DataFrame:
+def ordered_fold(
+    df: DataFrame, on: list[str], order: list[str], step: Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame | None]], schema: str, end: Callable[[tuple, Any], pd.DataFrame | None] | None = None
+) -> DataFrame:
     """``step(state, rows)`` for the rows of each key in order, ``state`` None at first; returns state and output.
+    ``end(key, state)`` gives what is left when a key has no more rows.
 
     Keys are clustered by one shuffle and rows sorted inside partitions, so that a key may be longer than memory.
     """
@@ -24,11 +28,16 @@ def ordered_fold(df: DataFrame, on: list[str], order: list[str], step: Callable[
         key, state = None, None
         for rows in batches:
             for k, part in rows.groupby(on, sort=False, dropna=False):
+                k = tuple(None if pd.isna(x) else x for x in k)  # a null key is equal to itself
                 if k != key:
+                    if end is not None and key is not None and (out := end(key, state)) is not None and len(out):
+                        yield out
                     key, state = k, None
                 state, out = step(state, part)
                 if out is not None and len(out):
                     yield out
+        if end is not None and key is not None and (out := end(key, state)) is not None and len(out):
+            yield out
 
     return df.repartition(*on).sortWithinPartitions(*on, *order).mapInPandas(run, schema)
 
@@ -101,3 +110,93 @@ def token_trigger_step(at: str, p: str, dt: str, on: list[str], level: float = 0
         return (armed, top, count), pd.DataFrame(out, columns=[*on, at, "restart"]) if out else None
 
     return step
+
+
+RELEASED = "released string, id bigint, lo bigint, hi bigint, forced boolean"
+
+
+class Reorder:
+    """Spans of one channel put into order. What comes in order passes; what is ahead is held until the hole before it
+    is filled, has been waited for (data reach more than ``patience`` beyond it) or ``most`` spans are held; then the hole
+    is a gap. What is behind is dropped, an overlap is cut."""
+
+    def __init__(self, patience: int, most: int):
+        self.patience, self.most, self.front, self.held = patience, most, None, []
+        self.stats = dict.fromkeys(("in_order", "held", "stale", "trimmed", "gaps", "forced"), 0)
+
+    def offer(self, lo: int, hi: int, key: int) -> list[tuple]:
+        out: list[tuple] = []
+        if self.front is None:
+            self.front = lo
+        if hi <= self.front:
+            self.stats["stale"] += 1
+            return [("stale", key, lo, hi, False)]
+        self.stats["in_order" if lo <= self.front else "held"] += 1
+        heapq.heappush(self.held, (lo, hi, key))
+        self._drain(out)
+        while self.held and (max(h for _, h, _ in self.held) - self.front > self.patience or len(self.held) > self.most):
+            self._gap(out, max(h for _, h, _ in self.held) - self.front <= self.patience)
+        return out
+
+    def flush(self) -> list[tuple]:
+        out: list[tuple] = []
+        while self.held:
+            self._gap(out, False)
+        return out
+
+    def _gap(self, out: list[tuple], forced: bool) -> None:
+        self.stats["gaps"] += 1
+        self.stats["forced"] += forced
+        out.append(("gap", None, self.front, self.held[0][0], forced))
+        self.front = self.held[0][0]
+        self._drain(out)
+
+    def _drain(self, out: list[tuple]) -> None:
+        while self.held and self.held[0][0] <= self.front:
+            lo, hi, key = heapq.heappop(self.held)
+            if hi <= self.front:
+                self.stats["stale"] += 1
+                out.append(("stale", key, lo, hi, False))
+                continue
+            self.stats["trimmed"] += lo < self.front
+            out.append(("data", key, self.front, hi, False))
+            self.front = hi
+
+
+def reorder_steps(channel: str, lo: str, hi: str, key: str, patience: int, most: int = 1000):
+    """Step and end of a reorder buffer; output is ``channel`` and the columns of ``RELEASED``."""
+
+    def frame(name, rows):
+        out = pd.DataFrame(rows, columns=["released", "id", "lo", "hi", "forced"])
+        out["id"] = out["id"].astype("Int64")
+        out.insert(0, channel, name)
+        return out
+
+    def step(state, rows):
+        state = state or Reorder(patience, most)
+        out = [x for a, b, k in zip(rows[lo].tolist(), rows[hi].tolist(), rows[key].tolist()) for x in state.offer(a, b, k)]
+        return state, frame(rows[channel].iloc[0], out) if out else None
+
+    def end(key_, state):
+        out = state.flush()
+        return frame(key_[0], out) if out else None
+
+    return step, end
+
+
+def live_dedup_step(sequence: str, start: str, columns: list[str], bits: int = 24):
+    """Keep rows whose wrapping number is after the last kept one; a row that is not is kept, as a restarted numbering,
+    if its data are newer than all kept before."""
+    span, half = 1 << bits, 1 << (bits - 1)
+
+    def step(state, rows):
+        last, newest = state or (None, None)
+        keep = []
+        for n, t in zip(rows[sequence].tolist(), rows[start].tolist()):
+            ok = last is None or 1 <= (n - last) % span < half or t > newest
+            keep.append(ok)
+            if ok:
+                last, newest = n, t if newest is None else max(newest, t)
+        return (last, newest), rows.loc[keep, columns]
+
+    return step

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tremolo.plans import evaluation, intervals, joins, records, signals, stats  # noqa: F401
+from tremolo.plans import evaluation, intervals, joins, live, records, signals, stats  # noqa: F401
 from tremolo.plans.joins import association_scorecard as flagship  # noqa: F401
 from tremolo.plans.registry import ORACLES, QUERIES  # noqa: F401

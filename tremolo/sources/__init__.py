@@ -1 +1 @@
-
+"""Sources and sinks of binary records, catalogues and reports."""
