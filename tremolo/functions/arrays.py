@@ -146,3 +146,47 @@ def sta_lta(energy: Column, n_sta: int, n_lta: int) -> Column:
         return F.struct(s.alias("s"), long.alias("l"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(F.when(a["i"] < n_lta, F.lit(0.0)).otherwise(s / long))).alias("out"))
 
     return F.aggregate(energy, init, step, lambda a: a["out"])
+
+
+def displacement(x: Column, b: tuple[float, float, float], a: tuple[float, float], rate: float) -> Column:
+    """High pass from the first sample on, running sum over the rate, high pass."""
+    once = let(x, lambda y: biquad(F.transform(y, lambda v: v - F.element_at(y, 1)), b, a))
+    return let(let(once, prefix_sum), lambda s: biquad(F.transform(s, lambda v: v / rate), b, a))
+
+
+def convolve(x: Column, kernel: tuple[float, ...], bias: float) -> Column:
+    """Products of a kernel with every place, with zeros beyond the ends."""
+    half = len(kernel) // 2
+    at = lambda y, i: F.coalesce(F.get(y, i), F.lit(0.0))
+    return let(x, lambda y: F.transform(y, lambda v, i: sum((at(y, i + (k - half)) * w for k, w in enumerate(kernel)), F.lit(bias))))
+
+
+def dense(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    """Weighted sums, one for each row of weights."""
+    rows = [F.aggregate(F.zip_with(x, F.lit(w), lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v) + b for w, b in zip(weights, bias)]
+    return F.array(*rows)
+
+
+def relu(x: Column) -> Column:
+    return F.transform(x, lambda v: F.greatest(v, F.lit(0.0)))
+
+
+def sigmoid(x: Column) -> Column:
+    return F.transform(x, lambda v: 1 / (1 + F.exp(-v)))
+
+
+def layer_norm(x: Column, gain: float, offset: float, least: float = 1e-5) -> Column:
+    def scaled(y):
+        m = mean(y)
+        var = F.aggregate(y, F.lit(0.0).cast("double"), lambda a, v: a + v * v) / F.size(y) - m * m
+        return let(F.struct(m.alias("m"), F.sqrt(var + least).alias("sd")), lambda p: F.transform(y, lambda v: (v - p["m"]) / p["sd"] * gain + offset))
+
+    return let(x, scaled)
+
+
+def attend(query: Column, keys: Column, values: Column, width: int) -> Column:
+    """Mean of the values, weighted by the softmax of the query's products with the keys over the root of ``width``."""
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+    weight = F.transform(keys, lambda k: F.exp(product(query, k) / math.sqrt(width)))
+    mixed = lambda w: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.zip_with(w, values, lambda p, v: p * F.get(v, i)), F.lit(0.0), lambda s, v: s + v) / total(w))
+    return let(weight, mixed)

@@ -200,3 +200,17 @@ def live_dedup_step(sequence: str, start: str, columns: list[str], bits: int = 2
         return (last, newest), rows.loc[keep, columns]
 
     return step
+
+
+def change_step(value: str, count: str, least: float, columns: list[str]):
+    """Keep a row whose value is ``least`` or more from that of the last kept one, or whose count differs from it."""
+
+    def step(last, rows):
+        keep = []
+        for v, n in zip(rows[value].tolist(), rows[count].tolist()):
+            ok = last is None or abs(v - last[0]) >= least or n != last[1]
+            keep.append(ok)
+            last = (v, n) if ok else last
+        return last, rows.loc[keep, columns]
+
+    return step
