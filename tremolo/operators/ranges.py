@@ -70,6 +70,37 @@ def first_after(left: DataFrame, right: DataFrame, at_left: str, at_right: str,
     return pairs.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__low", "__high")
 
 
+def nearest_places(points: DataFrame, sites: DataFrame, key: str, site: str, k: int, cell: float) -> DataFrame:
+    """The ``k`` nearest sites of every point: key, site, km, n (1 is the nearest; ties go to the smaller site).
+
+    Both sides have ``lat`` and ``lon``. Points look into the cells of ``cell`` degrees around theirs; those whose k-th
+    site found is no farther than any site outside these cells can be are done, and only the others look again, twice as
+    far. Where sites are dense enough for the cell, that is one equi-join of few pairs a point.
+    """
+    from tremolo.functions.geo import EARTH_KM, distance_km
+
+    at = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
+    s = sites.select(F.col(site), F.col("lat").alias("__la"), F.col("lon").alias("__lo"), at("lat").alias("__i"), at("lon").alias("__j"))
+    open_, done, reach = points.select(key, "lat", "lon"), None, 1
+    while True:
+        around = open_.withColumn("__i", F.explode(F.sequence(at("lat") - reach, at("lat") + reach))).withColumn("__j", F.explode(F.sequence(at("lon") - reach, at("lon") + reach)))
+        pairs = around.join(s, ["__i", "__j"]).withColumn("km", distance_km(F.col("lat"), F.col("lon"), F.col("__la"), F.col("__lo")))
+        best = pairs.groupBy(key, "lat").agg(F.slice(F.array_sort(F.collect_list(F.struct("km", site))), 1, k).alias("near"))
+        side = F.radians(F.lit(reach * cell))
+        east = 2 * F.asin(F.cos(F.least(F.radians(F.abs("lat")) + side, F.lit(1.57))) * F.sin(side / 2))
+        sure = (F.size("near") == k) & (F.element_at("near", -1)["km"] <= F.lit(EARTH_KM) * F.least(side, east))
+        everywhere = reach * cell >= 180
+        found = best if everywhere else best.where(sure)
+        done = found.select(key, "near") if done is None else done.unionByName(found.select(key, "near"))
+        if everywhere:
+            break
+        open_ = open_.join(found.select(key), key, "left_anti")
+        if open_.isEmpty():
+            break
+        reach *= 2
+    return done.select(key, F.posexplode("near").alias("__n", "__s")).select(key, F.col(f"__s.{site}").alias(site), F.col("__s.km").alias("km"), (F.col("__n") + 1).alias("n"))
+
+
 def overlap_semi(windows: DataFrame, spans: DataFrame, start: str, end: str, low: str, high: str, width: int, on: list[str] | None = None, anti: bool = False) -> DataFrame:
     """Windows [start, end) that overlap any span [low, high) of their keys, or with ``anti`` none."""
     on = on or []

@@ -8,12 +8,46 @@ from pyspark.sql import functions as F
 
 
 def value_counts(df: DataFrame, value: str, on: list[str] | None = None) -> DataFrame:
-    """Distinct values per key with ``n`` rows, ``below`` rows of smaller values and ``total``."""
+    """Distinct values per key with ``n`` rows, ``below`` rows of smaller values and ``total``.
+
+    Values are dealt into ranges of the order (keys, value), so that a key with very many distinct values, or a table
+    without keys, is summed by many tasks: inside the ranges first, then over the ranges' totals."""
     on = on or []
-    w = W.partitionBy(*on).orderBy(value)
     counts = df.where(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return counts.withColumn("below", upto - F.col("n")).withColumn("total", F.sum("n").over(W.partitionBy(*on)))
+    dealt = in_ranges(counts, [*on, value])
+    inner = F.sum("n").over(W.partitionBy(*on, "__range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    sums = dealt.groupBy(*on, "__range").agg(F.sum("n").alias("__n"))
+    of_key = W.partitionBy(*on)
+    before = F.coalesce(F.sum("__n").over(of_key.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(f"__{c}") for c in on], F.col("__range").alias("__r"), before.alias("__before"), F.sum("__n").over(of_key).alias("total"))
+    same = F.col("__range") == F.col("__r")
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return dealt.withColumn("__inner", inner).join(sums, same).select(*on, value, "n", (F.col("__inner") + F.col("__before")).alias("below"), "total")
+
+
+def in_ranges(df: DataFrame, order: list[str], name: str = "__range") -> DataFrame:
+    """``df`` with the number of the range of the order that each row lies in. The ranges' bounds come from a sample of
+    rows whose size follows from the number of partitions, not of rows."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, df.count() // (50 * parts))
+    sample = sorted(tuple(r) for r in df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).dropna().collect())
+    bounds = [sample[i] for i in range(len(sample) // parts, len(sample), max(1, len(sample) // parts))]
+    kinds = [df.schema[c].dataType for c in order]
+    here = F.struct(*order)
+    literals = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, order)]) for b in bounds]
+    return df.withColumn(name, F.size(F.filter(F.array(*literals), lambda b: b <= here)) if literals else F.lit(0))
+
+
+def interpolated(df: DataFrame, value: str, q: float, on: list[str] | None = None) -> DataFrame:
+    """Quantiles between the two values around place ``q (n - 1)``, from counts of distinct values."""
+    on = on or []
+    c = value_counts(df, value, on)
+    at = F.lit(q) * (F.col("total") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    has = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+    ends = c.where(has(low) | has(high)).groupBy(*on).agg(F.min(value).alias("__a"), F.max(value).alias("__b"), F.first(at - low).alias("__f"))
+    return ends.select(*on, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias("quantile"))
 
 
 def mean_ranks(df: DataFrame, value: str, on: list[str] | None = None) -> DataFrame:
@@ -48,15 +82,7 @@ def row_numbers(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame
     Rows are dealt into ranges of the whole order, bounded by sampled rows, and numbered inside their range after the
     rows of the ranges before, so that no task holds all rows.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = max(1, df.count() // (50 * parts))
-    sample = sorted(tuple(r) for r in df.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).dropna().collect())
-    bounds = [sample[i] for i in range(len(sample) // parts, len(sample), max(1, len(sample) // parts))]
-    kinds = [df.schema[c].dataType for c in order]
-    here = F.struct(*order)
-    literals = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, order)]) for b in bounds]
-    cut = F.size(F.filter(F.array(*literals), lambda b: b <= here)) if literals else F.lit(0)
-    dealt = df.withColumn("__range", cut)
+    dealt = in_ranges(df, order)
     counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("__range", before.alias("__before"))

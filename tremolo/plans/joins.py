@@ -134,7 +134,9 @@ def gain_epoch_join(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     epochs = p.select((F.col("p_partkey") % 40).alias("ch"), "p_partkey", (F.lit(base) + F.col("p_partkey") * day).alias("lo"), F.when(F.col("p_partkey") % 3 > 0, F.lit(base) + (F.col("p_partkey") + 300) * day).alias("hi"), F.col("p_retailprice").alias("gain"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("ch"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
-    m = o.join(epochs, "ch").where("us >= lo and (hi is null or us < hi)")
+    last = o.agg(F.max("us").alias("last"))  # where open ends end
+    spans = epochs.join(F.broadcast(last)).withColumn("hi", F.coalesce(F.col("hi") - 1, "last")).where("lo <= last")
+    m = ranges.range_join(o, spans, "us", "lo", "hi", 300 * day, ["ch"])
     return m.groupBy("o_orderkey").agg(F.min(F.struct("lo", "p_partkey", "gain")).alias("g")).select("o_orderkey", "g.p_partkey", "g.gain")
 
 
@@ -196,13 +198,14 @@ arr AS (SELECT *, cat_us + ((km / 8 - 10) * 1000000)::BIGINT AS lo, cat_us + ((k
 
 def _arrivals(spark, sf_dir):
     """Predicted spans of arrivals of the catalogue rows that a station can see."""
-    stations = detections(spark, sf_dir).select("station").distinct()
+    stations = detections(spark, sf_dir).select("station").distinct().withColumn("km", geo.distance_km(*place(F.col("station")), F.lit(38.0), F.lit(30.0)))
+    ring = F.when(F.col("km") <= 50, 0).when(F.col("km") <= 150, 1).when(F.col("km") <= 400, 2).when(F.col("km") <= 1500, 3)
     big = _catalogue(spark, sf_dir).where("size >= 120").withColumn("mag", F.col("size") / 60)
-    km = geo.distance_km(*place(F.col("station")), F.lit(38.0), F.lit(30.0))
-    v = stations.withColumn("km", km).join(big, how="cross")  # a catalogue's prediction for every station
-    seen = "km <= 50 or (km <= 150 and mag >= 2) or (km <= 400 and mag >= 3) or (km <= 1500 and mag >= 4.5)"
+    seen_to = F.when(F.col("mag") >= 4.5, 3).when(F.col("mag") >= 3, 2).when(F.col("mag") >= 2, 1).otherwise(0)
+    # An event goes to the rings of stations that see one of its size: an equi-join without a pair too many.
+    v = stations.withColumn("ring", ring).join(big.withColumn("ring", F.explode(F.sequence(F.lit(0), seen_to))), "ring").drop("ring")
     us = lambda x: F.round(x * S).cast("long")
-    return v.where(seen).withColumn("lo", F.col("cat_us") + us(F.col("km") / 8 - 10)).withColumn("hi", F.col("cat_us") + us(F.col("km") / 6 + 120))
+    return v.withColumn("lo", F.col("cat_us") + us(F.col("km") / 8 - 10)).withColumn("hi", F.col("cat_us") + us(F.col("km") / 6 + 120))
 
 
 @query("visible_arrivals", f"WITH {ARR} SELECT station, count(*) AS arrivals, round(min(km), 6) AS km, min(lo) AS first FROM arr GROUP BY station")
@@ -264,13 +267,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey
 @query("kth_nearest", f"WITH {KNN} SELECT c_custkey, s_suppkey, round(km, 6) AS km, n FROM r WHERE n <= 2")
 def kth_nearest(spark, sf_dir):
     """The nearest and second nearest site of every customer."""
-    sites = table(spark, sf_dir, "supplier").select("s_suppkey")
-    d = table(spark, sf_dir, "customer").select("c_custkey").join(F.broadcast(sites) if sites.count() < 10_000 else sites, how="cross")
-    d = d.withColumn("km", geo.distance_km(*place(F.col("c_custkey")), *place(F.col("s_suppkey"))))
-    best = d.groupBy("c_custkey").agg(F.min(F.struct("km", "s_suppkey")).alias("a"))
-    rest = d.join(best, "c_custkey").where(F.struct("km", "s_suppkey") > F.col("a")).groupBy("c_custkey").agg(F.min(F.struct("km", "s_suppkey")).alias("a"))
-    both = best.withColumn("n", F.lit(1)).unionByName(rest.withColumn("n", F.lit(2)))
-    return both.select("c_custkey", "a.s_suppkey", r6(F.col("a.km")).alias("km"), "n")
+    place_of = lambda t, k: table(spark, sf_dir, t).select(k, place(F.col(k))[0].alias("lat"), place(F.col(k))[1].alias("lon"))
+    sites = place_of("supplier", "s_suppkey")
+    cell = max(0.05, (72 * 3 / max(1, sites.count())) ** 0.5)  # degrees: about three sites a cell in the region of 6 by 12
+    return ranges.nearest_places(place_of("customer", "c_custkey"), sites, "c_custkey", "s_suppkey", 2, cell).select("c_custkey", "s_suppkey", r6(F.col("km")).alias("km"), "n")
 
 
 @query(

@@ -57,7 +57,8 @@ round(list_aggregate(v, 'quantile_cont', 0.25), 6) AS q1 FROM s""",
 def quantiles(spark, sf_dir):
     """Median and quartile by interpolation, and percentiles by index, from counts of distinct values."""
     l = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
-    a = l.groupBy("l_returnflag").agg(r6(F.percentile("l_extendedprice", F.lit(0.5))).alias("median"), r6(F.percentile("l_extendedprice", F.lit(0.25))).alias("q1"))
+    median = stats.interpolated(l, "l_extendedprice", 0.5, ["l_returnflag"]).select("l_returnflag", r6(F.col("quantile")).alias("median"))
+    a = stats.interpolated(l, "l_extendedprice", 0.25, ["l_returnflag"]).select("l_returnflag", r6(F.col("quantile")).alias("q1")).join(median, "l_returnflag")
     floor = stats.quantile_at(l, "l_extendedprice", 0.9, ["l_returnflag"]).withColumnRenamed("at_index", "p90_floor")
     even = stats.quantile_at(l, "l_extendedprice", 0.99, ["l_returnflag"], "even").withColumnRenamed("at_index", "p99_even")
     return a.join(floor, "l_returnflag").join(even, "l_returnflag")
@@ -127,7 +128,7 @@ def mannwhitney_auc(spark, sf_dir):
 def budget_threshold(spark, sf_dir):
     """The background's quantile that a budget of false alarms allows, and the events above it: one broadcast row."""
     e = detections(spark, sf_dir)
-    t = e.where("kind <> 'purchase'").agg(F.percentile("value", F.lit(1 - 150 / 5000.0)).alias("t"))
+    t = stats.interpolated(e.where("kind <> 'purchase'"), "value", 1 - 150 / 5000.0).withColumnRenamed("quantile", "t")
     return e.where("kind = 'purchase'").join(F.broadcast(t)).groupBy("t").agg(F.count_if(F.col("value") > F.col("t")).alias("above"), F.count("*").alias("n")).select(r6(F.col("t")).alias("threshold"), "above", "n")
 
 
