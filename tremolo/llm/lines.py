@@ -36,7 +36,7 @@ from tremolo.llm.near import _roots, components
 
 EDITS, PER_EDIT, BLOCK, BITS = 2, 5, 256, 27
 #: Pairs of a task that are looked at together.
-PAIRS = 1 << 18
+PAIRS = 1 << 16
 
 
 def allowed(size, edits: int = EDITS, per_edit: int = PER_EDIT):

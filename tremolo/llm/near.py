@@ -37,7 +37,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, BAND_ROWS, STEP, BLOCK = 24, 3, 12, 256
 HASHES = BANDS * BAND_ROWS
 #: Pairs of a task that are compared together.
-PAIRS = 1 << 18
+PAIRS = 1 << 14
 _SEEDS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
