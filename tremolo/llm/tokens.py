@@ -120,13 +120,13 @@ class Encoder:
         made = json.loads(self.model.to_str())
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         self.by_piece = made["normalizer"] is None and plain.items() <= (made["pre_tokenizer"] or {}).items() and not made["model"].get("dropout") and made["truncation"] is None
-        self.added = re.compile("|".join(re.escape(x["content"]) for x in made["added_tokens"]) or r"(?!)", re.IGNORECASE)
+        self.added = [x["content"] for x in made["added_tokens"]]
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [self.by_piece and bool(PLAIN.fullmatch(t)) and not self.added.search(t) for t in texts]
+        plain = [self.by_piece and bool(PLAIN.fullmatch(t)) and not any(a in t for a in self.added) for t in texts]
         whole = iter(self.raw([t for t, p in zip(texts, plain) if not p]))
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
