@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from tremolo.llm.common import list_array, own, slices, stage, utf8
 
 CHUNK_BITS, RANK_STEP = 8, 512
-BLOCK_TOKENS, CACHE_PIECES = 1 << 18, 1_000_000
+BLOCK_TOKENS, CACHE_PIECES = 1 << 18, 300_000
 #: Texts of these characters only are cut into the tokenizer's pieces here and each piece is encoded once per worker;
 #: all other texts go to the tokenizer whole. The pattern is the byte-level pre-tokenizer's published one (fixed
 #: value), with letters and numbers spelled out for this range and its first two groups of branches exchanged, which
@@ -117,10 +117,11 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.known = _Known(self.model.model)
         # Only a plain byte-level tokenizer cuts texts into PIECES; texts with one of its added tokens go to it whole.
-        made = json.loads(self.model.to_str())
+        cuts = self.model.pre_tokenizer
+        made = json.loads(cuts.__getstate__()) if cuts is not None else {}
         plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        self.by_piece = made["normalizer"] is None and plain.items() <= (made["pre_tokenizer"] or {}).items() and not made["model"].get("dropout") and made["truncation"] is None
-        self.added = [x["content"] for x in made["added_tokens"]]
+        self.by_piece = self.model.normalizer is None and plain.items() <= made.items() and not self.model.model.dropout and self.model.truncation is None
+        self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -134,6 +135,16 @@ class Encoder:
         return [b"".join(map(get, PIECES.findall(t))) if p else next(whole) for t, p in zip(texts, plain)]
 
 
+#: One encoder a worker process and path: its pieces serve all tasks of the worker.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -155,7 +166,7 @@ def encode(docs: DataFrame, key: str = "doc_id", tokenizer: str | None = None, e
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, block = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, block = encoder_of(path), TaskContext.get().partitionId(), 0
         held, lens, size = [], [], 0
         names: list[pa.Array] = []
 
