@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF, duck
 from tremolo.functions import geo
-from tremolo.operators import stats
+from tremolo.operators import islands, stats
 from tremolo.plans import driver
 from tremolo.plans.registry import place
 
@@ -53,3 +53,20 @@ def test_chance_of_every_alarm_and_station(spark, tmp_path):
     alarms = {r.a_id for r in driver.QUERIES["declare_events"](spark, str(tmp_path)).collect()}
     assert set(got) == alarms and 0 in got and got[0].others == 3
     assert abs(got[0].ln_p - part(40, 1) - part(41, 4) - part(42, 1)) < 1e-5
+
+
+def test_coverage_at_any_width(spark):
+    data = [(None if i % 4 == 0 else i % 3, i * 7919 % 2003, i * 7919 % 2003 + i * 31 % 17) for i in range(200)]
+    data += [(1, 10, 1500), (1, 1500, 1510), (2, 5, 5), (2, None, 9), (2, 9, None), (2, 40, 50), (2, 40, 50)]
+    df = spark.createDataFrame(data, "k long, a long, b long").repartition(3)
+    want = {}
+    for key in {r[0] for r in data}:
+        end, covered, spans = None, 0, 0
+        for a, b in sorted((r[1], r[2]) for r in data if r[0] == key and r[1] is not None and r[2] is not None):
+            spans += end is None or a > end
+            covered += max(0, b - (a if end is None else max(a, end)))
+            end = b if end is None else max(end, b)
+        want[key] = (covered, spans)
+    for width in (1, 50, 10_000):
+        assert {r.k: (r.covered, r.spans) for r in islands.coverage(df, "a", "b", ["k"], width).collect()} == want
+    assert islands.coverage(df.where("false"), "a", "b", ["k"], 50).count() == 0

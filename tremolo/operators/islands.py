@@ -18,6 +18,26 @@ def merge_intervals(spans: DataFrame, low: str, high: str, on: list[str] | None
     return marked.groupBy(*on, "__island").agg(F.min(low).alias(low), F.max(high).alias(high), F.count("*").alias("pieces")).drop("__island")
 
 
+def coverage(spans: DataFrame, low: str, high: str, on: list[str], width: int) -> DataFrame:
+    """Length and number of merged intervals per key: ``covered`` and ``spans``. Touching ones are joined; rows without
+    a start or an end count for nothing.
+
+    Rows are ordered inside time buckets of ``width`` only. What reaches into a bucket is the furthest end of those
+    before it, from one row per key and bucket, so a task holds a bucket of a key and not the whole key.
+    """
+    bucket = F.floor(F.col(low) / width).cast("long")
+    known = spans.where(F.col(low).isNotNull() & F.col(high).isNotNull())
+    rows = known.select(F.struct(*on).alias("key"), bucket.alias("bucket"), F.col(low).alias("low"), F.col(high).alias("high"))
+    ends = rows.groupBy("key", "bucket").agg(F.max("high").alias("end"))
+    reach = F.max("end").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    here = rows.join(ends.select("key", "bucket", reach.alias("reach")), ["key", "bucket"])
+    inside = F.max("high").over(W.partitionBy("key", "bucket").orderBy("low", "high").rowsBetween(W.unboundedPreceding, -1))
+    here = here.withColumn("before", F.greatest(inside, "reach"))
+    added = F.greatest(F.col("high") - F.greatest("low", "before"), F.lit(0))
+    new = F.when(F.col("low") <= F.col("before"), 0).otherwise(1)
+    return here.groupBy("key").agg(F.sum(added).alias("covered"), F.sum(new).alias("spans")).select("key.*", "covered", "spans")
+
+
 def complement(points: DataFrame, at: str, guard: int, least: int, on: list[str] | None = None) -> DataFrame:
     """Quiet spans between consecutive points: ``guard`` away from both, at least ``least`` long."""
     on = on or []

@@ -143,8 +143,7 @@ def fill_policy(spark, sf_dir):
     g = islands.gaps(_records(spark, sf_dir), "lo", "hi", ["channel"])
     fills = spark.createDataFrame([(f,) for f in (0, 600, 3600, 14_400)], "fill int")
     k = g.join(F.broadcast(fills), F.col("gap_end") - F.col("gap_start") > F.col("fill").cast("long") * S).select("fill", (F.col("gap_start") - 6 * S).alias("lo"), F.col("gap_end").alias("hi"))
-    u = islands.merge_intervals(k, "lo", "hi", ["fill"])
-    return u.groupBy("fill").agg(F.sum(F.col("hi") - F.col("lo")).alias("blocked"), F.count("*").alias("spans"))
+    return islands.coverage(k, "lo", "hi", ["fill"], 86_400 * S).withColumnRenamed("covered", "blocked")
 
 
 @query(
