@@ -190,3 +190,33 @@ def attend(query: Column, keys: Column, values: Column, width: int) -> Column:
     weight = F.transform(keys, lambda k: F.exp(product(query, k) / math.sqrt(width)))
     mixed = lambda w: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.zip_with(w, values, lambda p, v: p * F.get(v, i)), F.lit(0.0), lambda s, v: s + v) / total(w))
     return let(weight, mixed)
+
+
+def lstm(tokens: Column, weights: list[list[float]], recurrent: list[list[float]], bias: list[float]) -> Column:
+    """Outputs of a long short-term memory for every token. Rows of the weights are gates of all units in the order input,
+    forget, cell, output."""
+    h = len(bias) // 4
+    start = F.struct(*[F.array_repeat(F.lit(0.0), h).alias(n) for n in ("y", "c")], F.array().cast("array<array<double>>").alias("out"))
+
+    def step(s, x):
+        pre = F.zip_with(dense(x, weights, bias), dense(s["y"], recurrent, [0.0] * len(bias)), lambda a, b: a + b)
+        unit = F.sequence(F.lit(0), F.lit(h - 1))
+        logistic = lambda v: 1 / (1 + F.exp(-v))
+
+        def with_gates(g):
+            c = F.transform(unit, lambda i: logistic(F.get(g, i + h)) * F.get(s["c"], i) + logistic(F.get(g, i)) * F.tanh(F.get(g, i + 2 * h)))
+
+            def with_cell(c):
+                y = F.transform(unit, lambda i: logistic(F.get(g, i + 3 * h)) * F.tanh(F.get(c, i)))
+                return let(y, lambda y: F.struct(y.alias("y"), c.alias("c"), F.concat(s["out"], F.array(y)).alias("out")))
+
+            return let(c, with_cell)
+
+        return let(pre, with_gates)
+
+    return F.aggregate(tokens, start, step, lambda s: s["out"])
+
+
+def bilstm(tokens: Column, forward: tuple, backward: tuple) -> Column:
+    """Outputs of two memories, one from the last token to the first, side by side."""
+    return F.zip_with(lstm(tokens, *forward), F.reverse(lstm(F.reverse(tokens), *backward)), lambda a, b: F.concat(a, b))
