@@ -206,3 +206,28 @@ def test_bidirectional_memory(spark):
         t = np.array(r.x).reshape(8, 8)
         want = np.hstack([run(t, *detectors._memory(0)), run(t[::-1], *detectors._memory(1))[::-1]])
         assert np.allclose(got.loc[r.vec_id].to_numpy().reshape(8, 4), want, atol=2e-6)
+
+
+def test_recursions_of_mixed_lengths(spark):
+    from pyspark.sql import functions as F
+
+    from tremolo.functions import arrays
+
+    low = arrays.butterworth("low", 10.0, 100.0)
+    rows = [(k, [float(v) for v in RNG.normal(0, 1, n)] if n is not None else None) for k, n in enumerate((0, 1, 2, 5, 40, 40, None, 300))]
+    df = spark.createDataFrame(rows, "k int, x array<double>").repartition(2)
+    y = df.select("k", arrays.biquads(F.col("x"), low).alias("y"), arrays.prefix_sum(F.col("x")).alias("s"), arrays.filtfilt(F.col("x"), low, 15).alias("z"), arrays.condition(F.col("x"), low, 15).alias("c"), arrays.sta_lta(F.col("x"), 4, 16).alias("r"), arrays.displacement(F.col("x"), low, 100.0).alias("d"))
+    for r in y.collect():
+        x = rows[r.k][1]
+        assert all(v is None for v in r[1:]) if x is None else all(len(v) == len(x) for v in r[1:])
+        if x:
+            assert np.allclose(r.s, np.cumsum(x))
+            z = x
+            for (b0, b1, b2), (a1, a2) in low:
+                g, out = lambda q, j: q[j] if j >= 0 else 0.0, []
+                for i in range(len(z)):
+                    out.append(b0 * z[i] + b1 * g(z, i - 1) + b2 * g(z, i - 2) - a1 * g(out, i - 1) - a2 * g(out, i - 2))
+                z = out
+            assert np.allclose(r.y, z)
+    flat = spark.createDataFrame([([5.0] * 30,)], "x array<double>").select(arrays.filtfilt(F.col("x"), low, 15).alias("z")).first().z
+    assert np.allclose(flat, 5.0)

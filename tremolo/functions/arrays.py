@@ -1,16 +1,18 @@
-"""Signal operators on array columns, as higher-order functions: they stay inside the JVM.
+"""Signal operators on array columns: higher-order functions, which stay inside the JVM, and recursions by Arrow batch.
 
-Long recursions over whole records are in :mod:`tremolo.operators.signals`, which runs them per gap-free run.
+Recursions over records longer than one array are folds: :mod:`tremolo.operators.picker` runs them per gap-free run.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
+LEAST = 2.2250738585072014e-308  # the least normal number: a long average that is never zero
 
 def let(value: Column, f) -> Column:
     """``f`` of a value that is computed once, however often ``f`` uses it in its lambdas."""
@@ -78,36 +80,59 @@ def asinh_scale(x: Column, scale: Column) -> Column:
     return let(scale, lambda s: F.transform(x, lambda v: F.asinh(v / s)))
 
 
+def by_matrix(x: Column, f) -> Column:
+    """``f`` of many rows' samples at once: for every length in an Arrow batch a matrix of (rows, samples) in and out. What
+    depends on the sample before is then a loop over columns, of a cost that grows with the samples alone. Null arrays stay
+    null, null samples become NaN. Put the result into a column before another higher-order function takes it."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        out: list[list[float] | None] = [None] * len(s)
+        for n, part in s.reset_index(drop=True).groupby([-1 if v is None else len(v) for v in s]):
+            if n >= 0:
+                for i, row in zip(part.index, f(np.array(part.tolist(), float).reshape(len(part), n)).tolist()):
+                    out[i] = row
+        return pd.Series(out, dtype=object)
+
+    return run(x)
+
+
 def prefix_sum(x: Column) -> Column:
     """Running sums."""
-    start = F.struct(F.lit(0.0).cast("double").alias("s"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(x, start, lambda a, v: F.struct((a["s"] + v).alias("s"), F.concat(a["out"], F.array(a["s"] + v)).alias("out")), lambda a: a["out"])
+    return by_matrix(x, lambda m: np.cumsum(m, axis=1))
 
 
 def integrate(differences: Column, first: Column, last: Column) -> Column:
-    """Samples of first differences whose first entry is skipped; null where the last sample disagrees."""
-    rest = F.slice(differences, 2, F.greatest(F.size(differences) - 1, F.lit(0)))
-    out = F.aggregate(rest, F.array(first), lambda a, d: F.concat(a, F.array(F.element_at(a, -1) + d)))
-    return F.when(F.element_at(out, -1) == last, out)
+    """Samples of first differences, whole numbers below 2^53, whose first entry is skipped; null where the last sample
+    disagrees."""
+    samples = prefix_sum(F.concat(F.array(first), F.slice(differences, 2, F.greatest(F.size(differences) - 1, F.lit(0)))).cast("array<double>")).cast("array<bigint>")
+    return let(samples, lambda y: F.when(F.element_at(y, -1) == last, y))
+
 
+Section = tuple[tuple[float, float, float], tuple[float, float]]
 
-def biquad(x: Column, b: tuple[float, float, float], a: tuple[float, float], start: Column | None = None) -> Column:
-    """Second-order recursive filter, transposed direct form; ``start`` scales the steady-state initial state."""
-    b0, b1, b2 = b
-    a1, a2 = a
-    gain = (b0 + b1 + b2) / (1 + a1 + a2)
-    z1, z2 = gain - b0, b2 - a2 * gain
-    first = start if start is not None else F.lit(0.0)
-    init = F.struct((first * z1).cast("double").alias("p"), (first * z2).cast("double").alias("q"), F.array().cast("array<double>").alias("out"))
 
-    def step(s, v):
-        y = v * b0 + s["p"]
-        return F.struct((v * b1 - y * a1 + s["q"]).alias("p"), (v * b2 - y * a2).alias("q"), F.concat(s["out"], F.array(y)).alias("out"))
+def cascade(x: np.ndarray, sections: list[Section], first: np.ndarray | float = 0.0) -> np.ndarray:
+    """Rows of a matrix through second-order sections after each other, in transposed direct form. ``first`` is the level
+    that every row is taken to have had before; 0 is rest."""
+    level = np.broadcast_to(np.asarray(first, float), len(x))
+    for (b0, b1, b2), (a1, a2) in sections:
+        gain = (b0 + b1 + b2) / (1 + a1 + a2)
+        p, q, y = level * (gain - b0), level * (b2 - a2 * gain), np.empty_like(x)
+        for k in range(x.shape[1]):
+            v = x[:, k]
+            y[:, k] = v * b0 + p
+            p, q = v * b1 - y[:, k] * a1 + q, v * b2 - y[:, k] * a2
+        x, level = y, level * gain
+    return x
 
-    return F.aggregate(x, init, step, lambda s: s["out"])
 
+def biquads(x: Column, sections: list[Section]) -> Column:
+    """Samples through second-order sections, from rest."""
+    return by_matrix(x, lambda m: cascade(m, sections))
 
-def butterworth(kind: str, corner: float, rate: float) -> list[tuple[tuple[float, float, float], tuple[float, float]]]:
+
+def butterworth(kind: str, corner: float, rate: float) -> list[Section]:
     """Two sections of a fourth-order low or high pass, by the bilinear transform with a prewarped corner."""
     k = math.tan(math.pi * corner / rate)
     out = []
@@ -122,36 +147,58 @@ def butterworth(kind: str, corner: float, rate: float) -> list[tuple[tuple[float
     return out
 
 
-def filtfilt(x: Column, b: tuple[float, float, float], a: tuple[float, float], pad: int = 9) -> Column:
-    """Forward and backward, over odd extensions of ``pad`` samples at both ends."""
-    def both_ways(y):
-        n = F.size(y)
-        head, tail = F.element_at(y, 1), F.element_at(y, -1)
-        before = F.transform(F.reverse(F.slice(y, 2, pad)), lambda v: head * 2 - v)
-        after = F.transform(F.reverse(F.slice(y, n - pad, pad)), lambda v: tail * 2 - v)
-        once = let(F.concat(before, y, after), lambda full: F.reverse(biquad(full, b, a, F.element_at(full, 1))))
-        return F.slice(let(once, lambda full: F.reverse(biquad(full, b, a, F.element_at(full, 1)))), pad + 1, n)
+def both_ways(m: np.ndarray, sections: list[Section], pad: int) -> np.ndarray:
+    """Rows forward and backward, over odd extensions of ``pad`` samples at both ends (fewer where there are fewer)."""
+    k = min(pad, max(0, m.shape[1] - 1))
+    y = np.concatenate([2 * m[:, :1] - m[:, k:0:-1], m, 2 * m[:, -1:] - m[:, -2 : -k - 2 : -1]], axis=1) if k else m
+    for _ in range(2):
+        y = cascade(y, sections, y[:, 0] if y.shape[1] else 0.0)[:, ::-1]
+    return y[:, k : k + m.shape[1]]
+
+
+def filtfilt(x: Column, sections: list[Section], pad: int) -> Column:
+    """Samples without a shift: forward and backward."""
+    return by_matrix(x, lambda m: both_ways(m, sections, pad))
+
+
+def condition(x: Column, sections: list[Section], pad: int, share: float = 0.05) -> Column:
+    """The conditioning chain in one pass: line, mean, taper, ``filtfilt``, unit deviation."""
+
+    def chain(m):
+        n = m.shape[1]
+        if n < 2:
+            return np.zeros_like(m)
+        t = np.arange(1, n + 1) / n
+        t -= t.mean()
+        m = m - m.mean(1, keepdims=True)
+        m = m - np.outer(m @ t / (t @ t), t)
+        k = int(n * share)
+        edge = np.minimum(np.arange(n), np.arange(n)[::-1])
+        weight = np.where(edge < k, 0.5 - 0.5 * np.cos(2 * np.pi * edge / max(1, 2 * k - 1)), 1.0)
+        y = both_ways((m - m.mean(1, keepdims=True)) * weight, sections, pad)
+        sd = np.sqrt(np.maximum((y * y).mean(1) - y.mean(1) ** 2, 0.0))
+        return (y - y.mean(1, keepdims=True)) / np.maximum(sd, 1e-12)[:, None]
 
-    return let(x, both_ways)
+    return by_matrix(x, chain)
 
 
 def sta_lta(energy: Column, n_sta: int, n_lta: int) -> Column:
-    """Recursive short over long average of an energy, 0 for the first ``n_lta`` samples."""
-    c, d = 1.0 / n_sta, 1.0 / n_lta
-    init = F.struct(F.lit(0.0).alias("s"), F.lit(2.2250738585072014e-308).alias("l"), F.lit(0).alias("i"), F.array().cast("array<double>").alias("out"))
+    """Recursive short over long average of an energy from the second sample on, 0 for the first ``n_lta`` samples."""
 
-    def step(a, v):
-        s = F.when(a["i"] == 0, a["s"]).otherwise(v * c + a["s"] * (1 - c))
-        long = F.when(a["i"] == 0, a["l"]).otherwise(v * d + a["l"] * (1 - d))
-        return F.struct(s.alias("s"), long.alias("l"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(F.when(a["i"] < n_lta, F.lit(0.0)).otherwise(s / long))).alias("out"))
+    def ratios(m):
+        s, long, out = np.zeros(len(m)), np.full(len(m), LEAST), np.zeros_like(m)
+        for k in range(1, m.shape[1]):
+            s, long = m[:, k] / n_sta + s * (1 - 1 / n_sta), m[:, k] / n_lta + long * (1 - 1 / n_lta)
+            if k >= n_lta:
+                out[:, k] = s / long
+        return out
 
-    return F.aggregate(energy, init, step, lambda a: a["out"])
+    return by_matrix(energy, ratios)
 
 
-def displacement(x: Column, b: tuple[float, float, float], a: tuple[float, float], rate: float) -> Column:
+def displacement(x: Column, sections: list[Section], rate: float) -> Column:
     """High pass from the first sample on, running sum over the rate, high pass."""
-    once = let(x, lambda y: biquad(F.transform(y, lambda v: v - F.element_at(y, 1)), b, a))
-    return let(let(once, prefix_sum), lambda s: biquad(F.transform(s, lambda v: v / rate), b, a))
+    return by_matrix(x, lambda m: cascade(np.cumsum(cascade(m - m[:, :1], sections), axis=1) / rate, sections))
 
 
 def convolve(x: Column, kernel: tuple[float, ...], bias: float) -> Column:

@@ -103,8 +103,7 @@ def emit_on_change(spark, sf_dir):
 @query("displacement")
 def displacement(spark, sf_dir):
     """High pass, running sum over the rate, high pass: displacement of a window of velocity."""
-    (b, a), _ = arrays.butterworth("high", 0.5, 100.0)
-    return _long(_x(spark, sf_dir).withColumn("y", arrays.displacement(F.col("x"), b, a, 100.0)))
+    return _long(_x(spark, sf_dir).withColumn("y", arrays.displacement(F.col("x"), arrays.butterworth("high", 0.5, 100.0)[:1], 100.0)))
 
 
 @query("peak_and_noise", f"WITH {X} SELECT vec_id, list_max(list_transform(x[31:50], lambda v: abs(v))) AS peak, list_max(list_transform(x[11:29], lambda v: abs(v))) AS noise FROM x")

@@ -66,25 +66,60 @@ def prefix_sum(spark, sf_dir):
 
 @query(
     "integrate_differences",
-    f"""WITH {X}, n AS (SELECT vec_id, list_transform(x, lambda v: floor(v * 1000)::BIGINT) AS d FROM x), s AS (SELECT vec_id, d, d[1] + list_sum(d[2:64])::BIGINT AS last FROM n)
-SELECT vec_id, CASE WHEN vec_id % 5 > 0 THEN last END AS last, vec_id % 5 > 0 AS good FROM s""",
+    f"""WITH {X}, n AS (SELECT vec_id, list_transform(x, lambda v: floor(v * 1000)::BIGINT) AS d FROM x)
+SELECT vec_id, (i - 1)::INT AS i, list_sum(d[1:i])::BIGINT AS sample FROM n, (SELECT unnest(range(1, 65)) AS i) WHERE vec_id % 5 > 0""",
 )
 def integrate_differences(spark, sf_dir):
-    """Samples from first differences; refused where the stored last sample disagrees."""
+    """Samples from first differences; those of records whose stored last sample disagrees are refused."""
     d = _x(spark, sf_dir).select("vec_id", F.transform("x", lambda v: F.floor(v * 1000).cast("long")).alias("d"))
     last = F.aggregate("d", F.lit(0).cast("long"), lambda a, v: a + v) + F.when(F.col("vec_id") % 5 == 0, 1).otherwise(0)
     out = d.withColumn("y", arrays.integrate(F.col("d"), F.element_at("d", 1), last))
-    return out.select("vec_id", F.element_at("y", -1).alias("last"), F.col("y").isNotNull().alias("good"))
+    return out.select("vec_id", F.posexplode("y").alias("i", "sample"))
 
 
-B, A = arrays.butterworth("low", 10.0, 100.0)[0]
-IIR = f"list_reduce(list_prepend({{'y': NULL::DOUBLE, 'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'v': 0.0::DOUBLE, 'out': []::DOUBLE[]}}, list_transform(x, lambda v: {{'y': NULL::DOUBLE, 'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'v': v, 'out': []::DOUBLE[]}})), lambda s, e: {{'y': e.v * {B[0]!r}::DOUBLE + s.p, 'p': e.v * {B[1]!r}::DOUBLE - (e.v * {B[0]!r}::DOUBLE + s.p) * {A[0]!r}::DOUBLE + s.q, 'q': e.v * {B[2]!r}::DOUBLE - (e.v * {B[0]!r}::DOUBLE + s.p) * {A[1]!r}::DOUBLE, 'v': 0.0::DOUBLE, 'out': list_append(s.out, e.v * {B[0]!r}::DOUBLE + s.p)}}).out"
+LOW, BAND = arrays.butterworth("low", 10.0, 100.0), [*arrays.butterworth("high", 2.0, 100.0), *arrays.butterworth("low", 30.0, 100.0)]
 
 
-@query("iir_fold", _sql(IIR))
+def _iir_sql(x: str, section, first: str = "0.0::DOUBLE") -> str:
+    """One section of a recursive filter over a list; its state starts as if ``first`` had always been there."""
+    (b0, b1, b2), (a1, a2) = section
+    gain = (b0 + b1 + b2) / (1 + a1 + a2)
+    y = f"(e.v * {b0!r}::DOUBLE + s.p)"
+    start = f"{{'p': {first} * {gain - b0!r}::DOUBLE, 'q': {first} * {b2 - a2 * gain!r}::DOUBLE, 'v': 0.0::DOUBLE, 'out': []::DOUBLE[]}}"
+    each = f"list_transform({x}, lambda v: {{'p': 0.0::DOUBLE, 'q': 0.0::DOUBLE, 'v': v, 'out': []::DOUBLE[]}})"
+    return f"list_reduce(list_prepend({start}, {each}), lambda s, e: {{'p': e.v * {b1!r}::DOUBLE - {y} * {a1!r}::DOUBLE + s.q, 'q': e.v * {b2!r}::DOUBLE - {y} * {a2!r}::DOUBLE, 'v': 0.0::DOUBLE, 'out': list_append(s.out, {y})}}).out"
+
+
+def _filtfilt_sql(source: str, sections, pad: int) -> str:
+    """CTEs that end in ``ff`` (vec_id, x): the rows of ``source`` forward and backward over odd extensions."""
+    ctes = [f"g0 AS (SELECT vec_id, list_concat(list_transform(list_reverse(x[2:{pad + 1}]), lambda v: 2 * x[1] - v), x, list_transform(list_reverse(x[{64 - pad}:63]), lambda v: 2 * x[64] - v)) AS x FROM {source})"]
+    for way in range(2):
+        level = 1.0
+        for k, section in enumerate(sections):
+            at = f"g{len(ctes) - 1}"
+            head = "x[1]" if k == 0 else "head"
+            keep = "x[1] AS head" if k == 0 else "head"
+            ctes.append(f"g{len(ctes)} AS (SELECT vec_id, {keep}, {_iir_sql('x', section, f'({head} * {level!r}::DOUBLE)')} AS x FROM {at})")
+            level *= sum(section[0]) / (1 + sum(section[1]))
+        ctes.append(f"g{len(ctes)} AS (SELECT vec_id, list_reverse(x) AS x FROM g{len(ctes) - 1})")
+    return ", ".join(ctes) + f", ff AS (SELECT vec_id, x[{pad + 1}:{pad + 64}] AS x FROM g{len(ctes) - 1})"
+
+
+def _list_sql(ctes: str, expr: str) -> str:
+    """Every entry of a list of 64 made from ``ff``."""
+    return f"WITH {X}, {ctes}, y AS (SELECT vec_id, {expr} AS y FROM ff) SELECT vec_id, (i - 1)::INT AS i, round(y[i], 6) + 0.0::DOUBLE AS v FROM y, (SELECT unnest(range(1, 65)) AS i)"
+
+
+@query("iir_fold", _sql(_iir_sql("x", LOW[0])))
 def iir_fold(spark, sf_dir):
-    """A recursive second-order section as a fold."""
-    return _long(_x(spark, sf_dir).withColumn("y", arrays.biquad(F.col("x"), B, A)))
+    """A recursive second-order section from rest."""
+    return _long(_x(spark, sf_dir).withColumn("y", arrays.biquads(F.col("x"), LOW[:1])))
+
+
+@query("fourth_order_filters", _list_sql(f"l1 AS (SELECT vec_id, {_iir_sql('x', BAND[0])} AS x FROM x), l2 AS (SELECT vec_id, {_iir_sql('x', BAND[1])} AS x FROM l1), l3 AS (SELECT vec_id, {_iir_sql('x', BAND[2])} AS x FROM l2), ff AS (SELECT vec_id, {_iir_sql('x', BAND[3])} AS x FROM l3)", "x"))
+def fourth_order_filters(spark, sf_dir):
+    """A high pass and a low pass of fourth order, two sections each."""
+    return _long(_x(spark, sf_dir).withColumn("y", arrays.biquads(F.col("x"), BAND)))
 
 
 STALTA = "list_reduce(list_prepend({'s': 0.0::DOUBLE, 'l': 2.2250738585072014e-308::DOUBLE, 'i': 0, 'v': 0.0::DOUBLE, 'out': []::DOUBLE[]}, list_transform(x, lambda v: {'s': 0.0::DOUBLE, 'l': 0.0::DOUBLE, 'i': 0, 'v': v * v, 'out': []::DOUBLE[]})), lambda a, e: {'s': CASE WHEN a.i = 0 THEN a.s ELSE e.v * 0.25::DOUBLE + a.s * 0.75::DOUBLE END, 'l': CASE WHEN a.i = 0 THEN a.l ELSE e.v * 0.0625::DOUBLE + a.l * 0.9375::DOUBLE END, 'i': a.i + 1, 'v': 0.0::DOUBLE, 'out': list_append(a.out, CASE WHEN a.i < 16 THEN 0.0::DOUBLE ELSE (e.v * 0.25::DOUBLE + a.s * 0.75::DOUBLE) / (e.v * 0.0625::DOUBLE + a.l * 0.9375::DOUBLE) END)}).out"
@@ -96,17 +131,24 @@ def stalta_fold(spark, sf_dir):
     return _long(_x(spark, sf_dir).withColumn("y", arrays.sta_lta(F.transform("x", lambda v: v * v), 4, 16)))
 
 
-@query("filtfilt_zero_phase")
+@query("filtfilt_zero_phase", _list_sql(_filtfilt_sql("x", LOW, 15), "x"))
 def filtfilt_zero_phase(spark, sf_dir):
-    """Zero-phase filtering over odd extensions."""
-    return _long(_x(spark, sf_dir).withColumn("y", arrays.filtfilt(F.col("x"), B, A)))
+    """A fourth-order low pass without a shift, over odd extensions of three times its coefficients."""
+    return _long(_x(spark, sf_dir).withColumn("y", arrays.filtfilt(F.col("x"), LOW, 15)))
+
+
+CONDITIONED = f"""l AS (SELECT vec_id, i, x[i] AS v, i / 64.0::DOUBLE AS t FROM x, (SELECT unnest(range(1, 65)) AS i)),
+f AS (SELECT vec_id, regr_slope(v, t) AS s, regr_intercept(v, t) AS c FROM l GROUP BY vec_id),
+c1 AS (SELECT vec_id, list(v - (s * t + c) ORDER BY i) AS x FROM l JOIN f USING (vec_id) GROUP BY vec_id),
+c2 AS (SELECT vec_id, list_transform(x, lambda v: v - list_sum(x) / 64) AS x FROM c1),
+c3 AS (SELECT vec_id, list_transform(x, lambda v, i: v * CASE WHEN i <= 3 THEN 0.5 - 0.5 * cos(2 * pi() * (i - 1) / 5) WHEN i > 61 THEN 0.5 - 0.5 * cos(2 * pi() * (64 - i) / 5) ELSE 1 END) AS x FROM c2),
+{_filtfilt_sql('c3', BAND, 27)}"""
 
 
-@query("condition_window")
+@query("condition_window", _list_sql(CONDITIONED, "list_transform(x, lambda v: (v - list_sum(x) / 64) / greatest(sqrt(list_sum(list_transform(x, lambda u: u * u)) / 64 - pow(list_sum(x) / 64, 2)), 1e-12))"))
 def condition_window(spark, sf_dir):
-    """The conditioning chain: line, mean, taper, zero-phase filter, unit deviation."""
-    tapered = arrays.let(arrays.demean(arrays.detrend(F.col("x"))), arrays.taper)
-    return _long(_x(spark, sf_dir).withColumn("y", arrays.standardize(arrays.filtfilt(tapered, B, A))))
+    """The conditioning chain: line, mean, taper, band pass without a shift, unit deviation."""
+    return _long(_x(spark, sf_dir).withColumn("y", arrays.condition(F.col("x"), BAND, 27)))
 
 
 @query(
