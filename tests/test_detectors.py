@@ -231,3 +231,16 @@ def test_recursions_of_mixed_lengths(spark):
             assert np.allclose(r.y, z)
     flat = spark.createDataFrame([([5.0] * 30,)], "x array<double>").select(arrays.filtfilt(F.col("x"), low, 15).alias("z")).first().z
     assert np.allclose(flat, 5.0)
+
+
+def test_paired_test_is_exact(spark):
+    from tremolo.plans import stats
+
+    n = stats.mcnemar_counts(spark, SF).first()
+    r = stats.paired_test(spark, SF).first()
+    pairs, least = n.only_a + n.only_b, min(n.only_a, n.only_b)
+    assert r.p == pytest.approx(min(1.0, 2 * sum(math.comb(pairs, i) for i in range(least + 1)) / 2**pairs), abs=1e-6)
+    total, k = n.both + n.only_a + n.only_b + n.neither, n.both + n.only_a
+    tail = lambda p, ks: sum(math.exp(math.lgamma(total + 1) - math.lgamma(i + 1) - math.lgamma(total - i + 1) + i * math.log(p) + (total - i) * math.log1p(-p)) for i in ks)
+    if 0 < k < total:
+        assert tail(r.low, range(k, total + 1)) == pytest.approx(0.025, rel=0.05) and tail(r.high, range(k + 1)) == pytest.approx(0.025, rel=0.05)

@@ -88,7 +88,7 @@ def by_matrix(x: Column, f) -> Column:
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
         out: list[list[float] | None] = [None] * len(s)
-        for n, part in s.reset_index(drop=True).groupby([-1 if v is None else len(v) for v in s]):
+        for n, part in s.reset_index(drop=True).groupby(np.array([-1 if v is None else len(v) for v in s], int)):
             if n >= 0:
                 for i, row in zip(part.index, f(np.array(part.tolist(), float).reshape(len(part), n)).tolist()):
                     out[i] = row

@@ -41,13 +41,20 @@ def in_ranges(df: DataFrame, order: list[str], name: str = "__range") -> DataFra
 
 def interpolated(df: DataFrame, value: str, q: float, on: list[str] | None = None) -> DataFrame:
     """Quantiles between the two values around place ``q (n - 1)``, from counts of distinct values."""
+    return interpolated_all(df, value, {"quantile": q}, on)
+
+
+def interpolated_all(df: DataFrame, value: str, places: dict[str, float], on: list[str] | None = None) -> DataFrame:
+    """Several quantiles by name, from the same counts: no group's values are held together."""
     on = on or []
-    c = value_counts(df, value, on)
-    at = F.lit(q) * (F.col("total") - 1)
-    low, high = F.floor(at), F.ceil(at)
-    has = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
-    ends = c.where(has(low) | has(high)).groupBy(*on).agg(F.min(value).alias("__a"), F.max(value).alias("__b"), F.first(at - low).alias("__f"))
-    return ends.select(*on, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias("quantile"))
+
+    def quantile(q):
+        at = F.lit(q) * (F.col("total") - 1)
+        value_at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col(value)))
+        low, high = value_at(F.floor(at)), value_at(F.ceil(at))
+        return low + (high - low) * F.max(at - F.floor(at))
+
+    return value_counts(df, value, on).groupBy(*on).agg(*[quantile(q).alias(name) for name, q in places.items()])
 
 
 def mean_ranks(df: DataFrame, value: str, on: list[str] | None = None) -> DataFrame:

@@ -352,8 +352,9 @@ def mainshock_summary(spark, sf_dir):
 def geometry_summary(spark, sf_dir):
     """Median, quartiles, least and largest distance by set."""
     k = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), _centre_km(F.col("c_custkey")).alias("km"))
-    q = lambda p, name: r6(F.percentile("km", F.lit(p))).alias(name)
-    return k.groupBy("nation").agg(F.count("*").alias("n"), q(0.5, "median"), q(0.25, "q1"), q(0.75, "q3"), r6(F.min("km")).alias("least"), r6(F.max("km")).alias("most"))
+    q = stats.interpolated_all(k, "km", {"median": 0.5, "q1": 0.25, "q3": 0.75}, ["nation"])
+    n = k.groupBy("nation").agg(F.count("*").alias("n"), r6(F.min("km")).alias("least"), r6(F.max("km")).alias("most"))
+    return n.join(q, "nation").select("nation", "n", *[r6(F.col(c)).alias(c) for c in ("median", "q1", "q3")], "least", "most")
 
 
 @query("magnitude_summary", "SELECT o_totalprice / 5000 > 40 AS deep, o_orderstatus AS type, CAST(o_totalprice >= 50000 AS INT) + CAST(o_totalprice >= 200000 AS INT) AS band, count(*) AS n, count(*) FILTER (o_custkey % 3 > 0) AS estimated, round(avg((o_custkey % 100 - 50) / 100.0::DOUBLE) FILTER (o_custkey % 3 > 0), 6) AS bias, round(avg(abs(o_custkey % 100 - 50) / 100.0::DOUBLE) FILTER (o_custkey % 3 > 0), 6) AS mae FROM orders GROUP BY ALL")

@@ -64,7 +64,9 @@ def reorder_check(spark, sf_dir):
     r = _records(spark, sf_dir)
     kept = islands.arrival_gaps(r, "lo", "hi", ["arrival", "event_id"], ["channel"]).where("not stale").select("event_id", (F.col("arrival") - F.col("hi")).alias("delay"))
     both = r.join(kept, "event_id", "left")
-    return both.groupBy("channel").agg(F.count("*").alias("records"), F.count("delay").alias("kept"), F.round(F.percentile("delay", F.lit(0.5)), 3).alias("delay_p50"), F.round(F.percentile("delay", F.lit(0.99)), 3).alias("delay_p99"))
+    n = both.groupBy("channel").agg(F.count("*").alias("records"), F.count("delay").alias("kept"))
+    q = stats.interpolated_all(both, "delay", {"delay_p50": 0.5, "delay_p99": 0.99}, ["channel"])
+    return n.join(q, "channel", "left").select("channel", "records", "kept", *[F.round(c, 3).alias(c) for c in ("delay_p50", "delay_p99")])
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tremolo.functions import geo, inference
 from tremolo.operators import ranges, stats
@@ -316,16 +315,12 @@ def mcnemar_counts(spark, sf_dir):
 
 @query("paired_test")
 def paired_test(spark, sf_dir):
-    """Exact p of the discordant pairs and the exact interval of the first detector's share: one row of counts each."""
-    n = mcnemar_counts(spark, sf_dir)
-    kind = T.StructType([T.StructField(c, T.DoubleType()) for c in ("p", "low", "high")])
-
-    @F.udf(kind)
-    def test(both, a, b, neither):
-        low, high = inference.clopper_pearson(both + a, both + a + b + neither) if both + a + b + neither else (0.0, 1.0)
-        return (round(inference.mcnemar(a, b), 6), round(low, 6), round(high, 6))
-
-    return n.select("only_a", "only_b", test("both", "only_a", "only_b", "neither").alias("t")).select("only_a", "only_b", "t.*")
+    """Exact p of the discordant pairs and the exact interval of the first detector's share, from one row of counts."""
+    r = mcnemar_counts(spark, sf_dir).first()
+    total = r.both + r.only_a + r.only_b + r.neither
+    low, high = inference.clopper_pearson(r.both + r.only_a, total) if total else (0.0, 1.0)
+    row = (r.only_a, r.only_b, round(inference.mcnemar(r.only_a, r.only_b), 6), round(low, 6), round(high, 6))
+    return spark.createDataFrame([row], "only_a bigint, only_b bigint, p double, low double, high double")
 
 
 @query(
@@ -336,8 +331,10 @@ def paired_latency(spark, sf_dir):
     """Differences of two detectors' first times over the catalogue rows that both found."""
     m = _matched(spark, sf_dir).select("event_id", "cat_id").join(_detections(spark, sf_dir).select("event_id", "us", "kind"), "event_id")
     x = m.groupBy("cat_id").agg(F.min(F.when(F.col("kind") == "view", F.col("us"))).alias("a"), F.min(F.when(F.col("kind") == "click", F.col("us"))).alias("b")).where("a is not null and b is not null")
-    d = (F.col("a") - F.col("b")) / 1_000_000.0
-    return x.agg(F.count("*").alias("n"), r6(F.percentile(d, F.lit(0.5))).alias("median"), r6(F.percentile(d, F.lit(0.25))).alias("q1"), F.count_if(F.expr("a < b")).alias("first_a"), F.count_if(F.expr("a > b")).alias("first_b"))
+    x = x.withColumn("d", (F.col("a") - F.col("b")) / 1_000_000.0)
+    n = x.agg(F.count("*").alias("n"), F.count_if(F.expr("a < b")).alias("first_a"), F.count_if(F.expr("a > b")).alias("first_b"))
+    q = stats.interpolated_all(x, "d", {"median": 0.5, "q1": 0.25})
+    return n.join(F.broadcast(q)).select("n", r6(F.col("median")).alias("median"), r6(F.col("q1")).alias("q1"), "first_a", "first_b")  # one row each
 
 
 @query(
