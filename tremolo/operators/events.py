@@ -19,6 +19,11 @@ from tremolo.operators.locate import DEPTH, VP, VS
 ASSIGNED = "event bigint, role string"
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """Groups dealt to a fixed number of tasks: the rows are few bytes and much work, so small shuffles must not be merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def assign_step(on: list[str], key: str, at: str, least: int, coda: float, reach_km: float, slack: float = 3.0, largest: bool = False):
     """Step of a fold over detections in order: columns ``key``, ``at`` (seconds), ``station``, ``lat``, ``lon``, ``restart``.
 
@@ -29,7 +34,8 @@ def assign_step(on: list[str], key: str, at: str, least: int, coda: float, reach
     later detection within ``reach_km`` can be compatible.
 
     Output: ``on``, ``key``, the event's number within its key and the role: first, joined, declares, coda."""
-    longest = max(coda, reach_km / VP + slack)
+    near = reach_km / VP + slack
+    longest = max(coda, near)
 
     def step(state, rows):
         count, live = state or (0, [])
@@ -41,13 +47,13 @@ def assign_step(on: list[str], key: str, at: str, least: int, coda: float, reach
             if own:
                 out.append((*k, own[0]["id"], "coda"))
                 continue
-            fits = [e for e in live if station not in e["at"] and _compatible(e, t, lat, lon, slack)]
+            fits = [e for e in live if t - e["first"] <= near and station not in e["at"] and _compatible(e, t, lat, lon, slack)]
             if largest:
                 fits.sort(key=lambda e: (len(e["at"]) < least, -len(e["at"])))
             if fits:
                 e = fits[0]
             else:
-                e = {"id": count, "at": {}, "newest": t}
+                e = {"id": count, "at": {}, "first": t, "newest": t}
                 count += 1
                 live.append(e)
             e["at"][station] = (t, lat, lon)
@@ -60,9 +66,12 @@ def assign_step(on: list[str], key: str, at: str, least: int, coda: float, reach
 
 
 def _compatible(event: dict, t: float, lat: float, lon: float, slack: float) -> bool:
-    at = np.array(list(event["at"].values()), float)
-    km = locate.km_between(np.array([lat]), np.array([lon]), at[:, 1], at[:, 2])[0]
-    return bool((np.abs(at[:, 0] - t) <= km / VP + slack).all())
+    """Whether all members are; plain arithmetic, as most events have a member or two."""
+    for at, la, lo in event["at"].values():
+        h = math.sin(math.radians(lat - la) / 2) ** 2 + math.cos(math.radians(la)) * math.cos(math.radians(lat)) * math.sin(math.radians(lon - lo) / 2) ** 2
+        if abs(at - t) > 2 * locate.EARTH_KM * math.asin(min(1.0, math.sqrt(h))) / VP + slack:
+            return False
+    return True
 
 
 def merged(rows: pd.DataFrame, most_rms: float = 1.0, least: int = 4, most_shared: int = 4, window: float = 30.0) -> tuple[list, list, float] | None:
@@ -106,7 +115,7 @@ def merge_duplicates(pairs: DataFrame, pair: str) -> DataFrame:
         out = [] if m is None else [(rows[pair].iloc[0], ",".join(map(str, m[0])), ",".join(map(str, m[1])), m[2])]
         return pd.DataFrame(out, columns=[pair, "stay", "joined", "rms"])
 
-    return pairs.groupBy(pair).applyInPandas(run, f"`{pair}` {kind}, stay string, joined string, rms double")
+    return _dealt(pairs, pair).groupBy(pair).applyInPandas(run, f"`{pair}` {kind}, stay string, joined string, rms double")
 
 
 def _one_source(rows: pd.DataFrame, most_rms: float, most_off: float) -> tuple[locate.Fit | None, object]:
@@ -163,7 +172,7 @@ def assessments(picks: DataFrame, event: str) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{event: rows[event].iloc[0], **assess(rows)}]).astype({c: float for c in ("lat", "lon", "rms", "z")})
 
-    return picks.groupBy(event).applyInPandas(run, f"`{event}` {kind}, verdict string, stations bigint, dropped string, lat double, lon double, rms double, z double")
+    return _dealt(picks, event).groupBy(event).applyInPandas(run, f"`{event}` {kind}, verdict string, stations bigint, dropped string, lat double, lon double, rms double, z double")
 
 
 def consistent_choice(rows: pd.DataFrame, slack: float = 3.0) -> list | None:
@@ -197,4 +206,4 @@ def reconstruct(candidates: DataFrame, alarm: str) -> DataFrame:
         found = consistent_choice(rows)
         return pd.DataFrame([(rows[alarm].iloc[0], rows["station"].nunique(), None if found is None else ",".join(map(str, found)))], columns=[alarm, "stations", "ids"])
 
-    return candidates.groupBy(alarm).applyInPandas(run, f"`{alarm}` {kind}, stations bigint, ids string")
+    return _dealt(candidates, alarm).groupBy(alarm).applyInPandas(run, f"`{alarm}` {kind}, stations bigint, ids string")

@@ -130,9 +130,9 @@ def assess_events(spark, sf_dir):
 
 @query("alarm_detections")
 def alarm_detections(spark, sf_dir):
-    """Alarms put together again: of every station that may have taken part, one detection, all pairwise compatible."""
+    """Alarms put together again: of every station within 150 km that may have taken part, one detection, all pairwise compatible."""
     b = detections(spark, sf_dir).select(F.col("event_id").alias("b_id"), *[c.alias(n) for c, n in zip(place(F.col("station")), ("lat", "lon"))])
-    c = _pairs(spark, sf_dir).select(F.col("a_id").alias("alarm"), "b_id", F.col("b_station").alias("station"), (F.col("b_us") / S).alias("at"))
+    c = _pairs(spark, sf_dir).where("km <= 150").select(F.col("a_id").alias("alarm"), "b_id", F.col("b_station").alias("station"), (F.col("b_us") / S).alias("at"))
     return events.reconstruct(c.join(b, "b_id").withColumnRenamed("b_id", "id"), "alarm")
 
 
