@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremolo.llm import decontam, langid, lines, media, mixing, near, pii, quality, suffix, tokens
+from tremolo.llm import ann, decontam, langid, lines, media, mixing, near, pii, quality, resample, suffix, tokens, turns
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_ids": tokens.op8_token_ids,
     "op9_near_duplicates": near.op9_near_duplicates,
     "op10_quality": quality.op10_quality,
+    "op11_nearest": ann.op11_nearest,
+    "op12_resampling": resample.op12_resampling,
+    "op13_conversations": turns.op13_conversations,
 }
 
 ORACLES = {
