@@ -129,16 +129,15 @@ class Stretch:
         self.n = {"blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0, "turns": 0}
         self.low = self.high = None
 
-    def add(self, row: dict) -> None:
-        key = (row["turn"], row["role"], row["digest"])
-        fault = "blank" if row["blank"] else "duplicate" if row["again"] or key == (self.last or self.before) else "truncated" if row["truncated"] else None
+    def add(self, turn: object, role: str, digest: bytes, blank: bool, truncated: bool, again: bool) -> None:
+        key = (turn, role, digest)
+        fault = "blank" if blank else "duplicate" if again or key == (self.last or self.before) else "truncated" if truncated else None
         if fault:
             self.n[fault] += 1
         self.must_go.append(fault in ("blank", "duplicate"))
         self.truncated.append(fault == "truncated")
-        self.initials.append(row["role"][:1])
+        self.initials.append(role[:1])
         self.n["illegal"] += len(self.initials) > 1 and legal(*self.initials[-2:]) is False
-        turn = row["turn"]
         if turn is not None:
             self.n["turns"] += turn != self.high
             self.low, self.high = turn if self.low is None else self.low, turn
@@ -172,14 +171,14 @@ def faults(turns: DataFrame) -> DataFrame:
     role said at an earlier turn (repeats at the same turn are neighbours and found there)."""
     told = F.expr("trim(TRAILING chars FROM text)")
     d = turns.withColumn("chars", F.lit(_SPACE)).withColumn("told", told).select(
-        "conv_id", "turn", "role", "text", F.sha2("text", 256).alias("digest"), (F.col("told") == "").alias("blank"),
+        "conv_id", "turn", "role", "text", F.unhex(F.sha2("text", 256)).alias("digest"), (F.col("told") == "").alias("blank"),
         (~F.substring("told", -1, 1).isin(".", "!", "?")).alias("truncated"),
     )
-    at = F.struct(F.col("turn").isNotNull(), "turn")
-    # only what is said more than once is joined
-    said = d.groupBy("conv_id", "role", "digest").agg(F.min(at).alias("first"), F.max(at).alias("latest")).where("first < latest").alias("s")
+    # only what is said at more than one turn is joined; a turn of null is before all others
+    said = d.groupBy("conv_id", "role", "digest").agg(F.bool_or(F.col("turn").isNull()).alias("unset"), F.min("turn").alias("first"), F.max("turn").alias("latest"))
+    said = said.where("unset or first < latest").alias("s")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("conv_id", "role", "digest")]
-    again = F.coalesce(F.struct(F.col("d.turn").isNotNull(), "d.turn") > F.col("s.first"), F.lit(False))
+    again = F.coalesce(F.col("s.unset") & F.col("d.turn").isNotNull() | (F.col("d.turn") > F.col("s.first")), F.lit(False))
     return d.alias("d").join(said, same[0] & same[1] & same[2], "left").select("d.*", again.alias("again"))
 
 
@@ -192,31 +191,29 @@ def stretches(rows: DataFrame, most: int = ROWS) -> DataFrame:
 
     def run(batches):
         now, piece, out = None, 0, []
-        # rows before the first of a conversation that begins here belong to another one
-        known = False
 
         def closed(stretch, closes):
             return (stretch.conv, *stretch.first, piece, stretch.summary(closes))
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if now is not None and (row["conv_id"] != now.conv or len(now.initials) == most):
-                    other = row["conv_id"] != now.conv
+            for conv, *turn in zip(*[c.to_pylist() for c in batch.columns]):
+                if now is None:
+                    # what comes before a task's first conversation is not known here
+                    now = Stretch(conv, False)
+                elif conv != now.conv or len(now.initials) == most:
+                    other = conv != now.conv
                     out.append(closed(now, other))
-                    now, piece = Stretch(row["conv_id"], other, None if other else now.last), piece + 1
-                elif now is None:
-                    now = Stretch(row["conv_id"], known)
-                known = True
-                now.add(row)
+                    now, piece = Stretch(conv, other, None if other else now.last), piece + 1
+                now.add(*turn)
             if out:
                 yield batch_of(out)
                 out = []
         if now is not None:
             yield batch_of([closed(now, False)])
 
-    fields = [rows.schema["conv_id"], rows.schema["turn"], *[T.StructField(c, T.StringType()) for c in ("role", "digest")], T.StructField("piece", T.LongType()), T.StructField("summary", T.StringType())]
+    fields = [rows.schema["conv_id"], rows.schema["turn"], T.StructField("role", T.StringType()), T.StructField("digest", T.BinaryType()), T.StructField("piece", T.LongType()), T.StructField("summary", T.StringType())]
     arrow = rows.select("conv_id", "turn").limit(0).toArrow().schema
-    types = [arrow.field("conv_id").type, arrow.field("turn").type, pa.string(), pa.string(), pa.int64(), pa.string()]
+    types = [arrow.field("conv_id").type, arrow.field("turn").type, pa.string(), pa.binary(), pa.int64(), pa.string()]
 
     def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [f.name for f in fields])
@@ -250,7 +247,7 @@ def repair_conversations(turns: DataFrame, of: DataFrame, most: int = ROWS) -> D
     rows = stage(faults(turns), "turns-rows")
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     turn = rows.schema["turn"].dataType
-    marks = own(of, "conv_id").distinct().select("conv_id", F.lit(0).alias("kind"), none("turn", turn), none("role", "string"), none("digest", "string"), none("piece", "long"), none("text", "string"))
+    marks = own(of, "conv_id").distinct().select("conv_id", F.lit(0).alias("kind"), none("turn", turn), none("role", "string"), none("digest", "binary"), none("piece", "long"), none("text", "string"))
     found = stretches(rows, most).select("conv_id", F.lit(1).alias("kind"), "turn", "role", "digest", "piece", F.col("summary").alias("text"))
     texts = rows.select("conv_id", F.lit(2).alias("kind"), "turn", "role", "digest", F.lit(0).cast("long").alias("piece"), "text")
 
