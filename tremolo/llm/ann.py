@@ -3,9 +3,9 @@
 Vectors are dealt to blocks by a hash of their id. A block keeps one sorted array for each of ``projections`` random
 directions. A query's window in each array is centred at its own projection and has a width in proportion to a radius,
 which grows step by step (virtual rehashing: the arrays stay as they are, the windows take in what lies beside them).
-A vector that lies in at least ``threshold`` of the windows is verified: its inner product is computed from the
-original components in double precision. A query is done in a block when as many verified vectors as asked for lie
-within the radius, or when its windows hold the whole block. There is no limit on candidates.
+A vector that lies in at least ``threshold`` of the windows is verified: its inner product is computed, in
+the end from the original components in double precision. A query is done in a block when as many verified vectors as
+asked for lie within the radius, or when its windows hold the whole block. There is no limit on candidates.
 
 Largest inner products become least distances by one more component: with ``m`` the block's longest vector,
 ``x -> (x, sqrt(m^2 - |x|^2))`` and ``q -> (m q / |q|, 0)`` have the distance ``sqrt(2 m^2 - 2 m q.x / |q|)``.
@@ -15,7 +15,9 @@ of the block come first, then the queries in batches, so a task holds one block
 its nearest of each query, of which the best are kept map-side before they are shuffled.
 
 The chance that a vector at the final radius lies in fewer windows than the threshold is that of a binomial variate:
-with 64 windows of width 2.72 radii (0.83 each) and a threshold of 43, 0.1%; it falls with the distance.
+with 32 windows of width 2.4 radii (0.77 each) and a threshold of 20, 2%; it falls with the distance. Where near and far
+vectors differ little in distance, as random ones of many components do, most of a block passes the threshold: such
+candidates are verified by one matrix product.
 
 Defined results: vectors that are null, empty, all zero, or hold null or non-finite components take no part, nor do
 rows without id; rows with a query's id are its own and no candidates of it; rows of one id count once, with the least
@@ -36,10 +38,10 @@ from pyspark.sql import types as T
 
 from tremolo.llm.common import own, stage
 
-#: Random directions, least number of windows, window width and growth in radii, first radius in longest vectors.
-PROJECTIONS, THRESHOLD, WIDTH, GROWTH, FIRST = 64, 43, 2.72, 1.2, 0.125
-#: Vectors of a block and queries of a group (both about), and most window entries counted at a time.
-BLOCK, GROUP, ENTRIES = 8192, 65_536, 1 << 21
+#: Random directions, least number of windows, window width and growth in radii, first radius in radii told by the sample.
+PROJECTIONS, THRESHOLD, WIDTH, GROWTH, BEGIN = 32, 20, 2.4, 1.1, 0.95
+#: Vectors of a block and queries of a group (both about), vectors of a block's sample, queries searched at a time.
+BLOCK, GROUP, SAMPLE, BATCH = 8192, 65_536, 256, 64
 
 
 def usable(vector: Column) -> Column:
@@ -52,96 +54,79 @@ class Index:
     """Sorted projections of a block's vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = 11):
-        self.ids, self.vectors, n = ids, vectors, len(ids)
-        self.scale = np.abs(vectors).max()
-        scaled = vectors / self.scale
-        squares = np.einsum("ij,ij->i", scaled, scaled)
+        """``ids`` in ascending order, each once."""
+        self.ids, self.vectors, self.rows = ids, vectors, len(ids)
+        self.scaled = vectors / np.abs(vectors).max()
+        squares = np.einsum("ij,ij->i", self.scaled, self.scaled)
         self.longest = math.sqrt(squares.max())
-        longer = np.concatenate([scaled, np.sqrt(np.maximum(self.longest**2 - squares, 0))[:, None]], 1)
-        self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections))
+        longer = np.concatenate([self.scaled, np.sqrt(np.maximum(self.longest**2 - squares, 0))[:, None]], 1)
+        rng = np.random.default_rng(seed)
+        self.directions = rng.standard_normal((vectors.shape[1] + 1, projections))
+        self.sample = rng.permutation(self.rows)[:SAMPLE]
         placed = (longer @ self.directions).T
-        self.order = np.argsort(placed, 1, kind="stable").astype(np.int32)
+        self.order = np.argsort(placed, 1, kind="stable")
         self.sorted = np.take_along_axis(placed, self.order, 1)
-        self.rows = n
 
-    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: int = THRESHOLD, entries: int = ENTRIES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: int = THRESHOLD, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query row, vector row and score of each query's ``k`` nearest found, in no order."""
-        unit = queries / np.abs(queries).max(1, keepdims=True)
-        unit = unit * (self.longest / np.sqrt(np.einsum("ij,ij->i", unit, unit)))[:, None]
-        centre = unit @ self.directions[:-1]
-        own_row = self._own(query_ids)
-        wanted = np.minimum(k, self.rows - (own_row >= 0))
         out = []
-        step = max(1, entries // (4 * self.rows))
-        for at in range(0, len(queries), step):
-            to = slice(at, at + step)
-            q, v, s = self._windows(queries[to], np.sqrt(np.einsum("ij,ij->i", queries[to], queries[to])), centre[to], own_row[to], wanted[to], k, threshold, entries)
+        for at in range(0, len(queries), batch):
+            q, v, s = self._windows(query_ids[at : at + batch], queries[at : at + batch], k, threshold)
             out.append((q + at, v, s))
         return tuple(np.concatenate(c) for c in zip(*out))
 
     def _own(self, query_ids: np.ndarray) -> np.ndarray:
-        by = np.argsort(self.ids, kind="stable")
-        at = np.minimum(np.searchsorted(self.ids[by], query_ids), self.rows - 1)
-        return np.where(self.ids[by][at] == query_ids, by[at], -1)
+        at = np.minimum(np.searchsorted(self.ids, query_ids), self.rows - 1)
+        return np.where(self.ids[at] == query_ids, at, -1)
 
-    def _windows(self, queries, lengths, centre, own_row, wanted, k, threshold, entries):
+    def _windows(self, query_ids, queries, k, threshold):
         n, b, m = self.rows, len(queries), len(self.sorted)
-        counts = np.zeros((b, n), np.uint8 if m < 256 else np.uint16)
-        seen = np.zeros((b, n), bool)
+        unit = queries / np.abs(queries).max(1, keepdims=True)
+        unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
+        centre = self.longest * (unit @ self.directions[:-1])
+        distance = lambda nearness: np.sqrt(np.maximum(2 * self.longest * (self.longest - nearness), 0))
+        own_row = self._own(query_ids)
+        wanted = np.minimum(k, n - (own_row >= 0))
+        # a sample of the block tells about where to begin; when to end is told by the vectors found
+        sample = np.sort(distance(unit @ self.scaled[self.sample].T), 1)
+        radius = BEGIN * np.maximum(sample[:, min(k * len(self.sample) // n, len(self.sample) - 1)], 1e-6 * self.longest)
+        counts, seen = np.zeros((b, n), np.uint8), np.zeros((b, n), bool)
         at = np.flatnonzero(own_row >= 0)
         seen[at, own_row[at]] = True
-        middle = np.stack([np.searchsorted(self.sorted[j], centre[:, j]) for j in range(m)], 1)
-        low, high = middle.copy(), middle.copy()
-        scores = np.full((b, n), -np.inf)
-        distances = np.full((b, n), np.inf)
-        live, radius = np.flatnonzero(wanted > 0), FIRST * self.longest
+        near, every = np.full((b, n), -np.inf), None
+        low = np.stack([np.searchsorted(self.sorted[j], centre[:, j]) for j in range(m)], 1)
+        high, live = low.copy(), np.flatnonzero(wanted > 0)
         while len(live):
-            half = radius * WIDTH / 2
-            lower, upper = low.copy(), high.copy()
+            half = radius[live] * WIDTH / 2
             for j in range(m):
-                lower[live, j] = np.searchsorted(self.sorted[j], centre[live, j] - half)
-                upper[live, j] = np.searchsorted(self.sorted[j], centre[live, j] + half, "right")
-            for some in _portions(live, (low - lower + upper - high).sum(1), entries):
-                self._count(counts, some, np.concatenate([lower[some], high[some]], 1), np.concatenate([low[some], upper[some]], 1))
-            low, high = lower, upper
-            q, v = np.nonzero((counts[live] >= threshold) & ~seen[live])
-            q = live[q]
-            seen[q, v] = True
-            for part in range(0, len(q), 1 << 16):
-                qs, vs = q[part : part + (1 << 16)], v[part : part + (1 << 16)]
-                s = np.einsum("ij,ij->i", self.vectors[vs], queries[qs])
-                scores[qs, vs] = s
-                distances[qs, vs] = np.sqrt(np.maximum(2 * self.longest**2 - 2 * self.longest * (s / self.scale / lengths[qs]), 0))
-            found = (distances[live] <= radius).sum(1)
+                lower, upper = np.searchsorted(self.sorted[j], centre[live, j] - half), np.searchsorted(self.sorted[j], centre[live, j] + half, "right")
+                order = self.order[j]
+                for i, *cuts in zip(live.tolist(), lower.tolist(), low[live, j].tolist(), high[live, j].tolist(), upper.tolist()):
+                    # what the window takes in on both sides
+                    for start, end in (cuts[:2], cuts[2:]):
+                        if start < end:
+                            counts[i][order[start:end]] += 1
+                low[live, j], high[live, j] = lower, upper
+            new = (counts[live] >= threshold) & ~seen[live]
+            seen[live] |= new
+            if every is None and np.count_nonzero(new) * 16 > new.size:
+                every = unit @ self.scaled.T
+            if every is not None:
+                near[live] = np.where(new, every[live], near[live])
+            else:
+                v = np.flatnonzero(new)
+                for part in range(0, len(v), 1 << 16):
+                    q, at = live[v[part : part + (1 << 16)] // n], v[part : part + (1 << 16)] % n
+                    near[q, at] = np.einsum("ij,ij->i", self.scaled[at], unit[q])
+            found = (near[live] >= (self.longest - radius[live] ** 2 / (2 * self.longest))[:, None]).sum(1)
             whole = ((low[live] == 0) & (high[live] == n)).all(1)
             live = live[(found < wanted[live]) & ~whole]
             radius *= GROWTH
-        kept = np.minimum(k, n)
-        best = np.argpartition(-scores, kept - 1, 1)[:, :kept]
-        worst = np.take_along_axis(scores, best, 1).min(1)
-        # all that tie with the last one, so that the smaller id wins in the end
-        q, v = np.nonzero((scores >= worst[:, None]) & (scores > -np.inf))
-        return q, v, scores[q, v]
-
-    def _count(self, counts, some, start, end):
-        """One more for every entry of the windows' new parts."""
-        m = len(self.sorted)
-        base = np.tile(np.arange(m) * self.rows, 2)
-        size = (end - start).ravel()
-        flat = np.repeat((start + base).ravel() - np.cumsum(size) + size, size) + np.arange(size.sum())
-        who = np.repeat(np.repeat(np.arange(len(some)), 2 * m), size)
-        new = np.bincount(who * self.rows + self.order.ravel()[flat], minlength=len(some) * self.rows)
-        counts[some] += new.reshape(len(some), self.rows).astype(counts.dtype)
-
-
-def _portions(rows: np.ndarray, sizes: np.ndarray, most: int):
-    """Rows in runs of about ``most`` in size."""
-    total = np.cumsum(sizes[rows])
-    at = 0
-    while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
-        yield rows[at:to]
-        at = to
+        kept = min(k, n)
+        # with all that may tie with the last one, so that original vectors and the smaller id decide in the end
+        worst = -np.partition(-near, kept - 1, 1)[:, kept - 1]
+        q, v = np.nonzero((near >= worst[:, None] - 1e-9 * self.longest) & (near > -np.inf))
+        return q, v, np.einsum("ij,ij->i", self.vectors[v], queries[q])
 
 
 def _matrix(column: pa.Array, length: int) -> np.ndarray:
