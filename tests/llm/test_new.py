@@ -8,10 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tests.conftest import SF
 from tests.llm.test_operators import words_of
-from tremolo.llm import ann, resample, turns
+from tremolo.llm import ann, near, pii, resample, turns
+from tremolo.llm.common import utf8
 
 NAN, INF = float("nan"), float("inf")
 
@@ -273,3 +275,51 @@ def test_conversations(spark):
 def test_conversations_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(str(tuple(r)) for r in turns.op13_conversations(spark, SF).collect()) == plain_conversations(rows)
+
+
+def test_near_duplicates_compare_words():
+    """Words whose polynomial hashes modulo 2 ** 64 are equal are still different words."""
+    a, b = "ab", "ba"
+    for _ in range(10):
+        a, b = a + b, b + a
+    tail = " one two three four five six"
+    sets = near.shingle_sets([a + tail, b + tail, a + tail, "", "one two", "two one", "one two three four five"])
+    assert set(sets[0]) == set(sets[2]) != set(sets[1]) and len(set(sets[0]) & set(sets[1])) == 2
+    assert [len(s) for s in sets] == [3, 3, 3, 0, 1, 1, 1] and sets[6][0] in sets[0] and sets[4][0] != sets[5][0]
+    h, row = near.shingles(*utf8(pa.array([a, b])))
+    assert row.tolist() == [0, 1] and h[0] != h[1]
+
+
+def test_shingle_sets_are_those_of_words():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["a", "B", "cc", "é", "9"], int(n))) for n in rng.integers(0, 14, 60)]
+    plain = [{tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if (w := words_of(t)) else set() for t in texts]
+    sets = near.shingle_sets(texts)
+    for i, j in itertools.product(range(60), repeat=2):
+        assert len(set(sets[i]) & set(sets[j])) == len(plain[i] & plain[j])
+
+
+class Always:
+    """A model that finds one e-mail address at fixed places of the text, whatever window they are in."""
+
+    def __init__(self, margin, least, size):
+        self.margin, self.least, self.size = margin, np.full(len(pii.KINDS), least), size
+
+    def spans(self, x):
+        out = {}
+        for w in range(x.shape[1]):
+            at = np.flatnonzero(x[:, w] == pii.classes("@")[0])
+            if len(at):
+                out[w] = [(max(0, int(at[0]) - self.size), 0, min(pii.WINDOW, int(at[-1]) + self.size), self.margin)]
+        return out
+
+
+def test_added_spans_do_not_depend_on_the_place_of_a_window():
+    for size in (20, 300):
+        for place in (300, 380, 399, 400, 401, 420, 700):
+            text = "x" * place + "a" * size + "@" + "b.c" * (size // 3) + " " + "y" * 900
+            assert pii.added_spans([text], Always(1.0, np.inf, size)) == [[]]
+            assert pii.reconcile(pii.added_spans([text], Always(1.0, 2.0, size))[0], [], text) == []
+        short = ["x" * place + " aaaa bbbb@cccc ffff" + "y" * 900 for place in range(370, 430)]
+        found = [pii.reconcile(f, [], t) for f, t in zip(pii.added_spans(short, Always(1.0, 0.5, 5)), short)]
+        assert {tuple((s - i, k, e - i) for s, k, e in f) for i, f in enumerate(found)} == {tuple((s, k, e) for s, k, e in found[0])} and found[0]

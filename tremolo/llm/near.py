@@ -10,7 +10,8 @@ class, and one representative of each is joined with the others:
    band that it shares.
 3. In a task, MinHash values are compared a few at a time. After each step, pairs whose posterior probability of
    similarity >= threshold (uniform prior) is under ``tolerance`` are dropped.
-4. What is left is verified by exact Jaccard similarity of the shingle sets. A task returns each member's number of
+4. What is left is verified by exact Jaccard similarity of the shingle sets, compared word by word (equal sets of step
+   0 are known by 128 bits made from 64-bit hashes of their shingles). A task returns each member's number of
    links and its component in the task; Spark sums the former and joins the latter into classes by alternating
    star steps.
 
@@ -27,11 +28,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tremolo.llm.common import Spans, dealt_blocks, discard, list_array, map_texts, mix, rows_in, shingle_hashes, stage, utf8, words
+from tremolo.llm.common import _WORD, dealt_blocks, discard, list_array, map_texts, mix, rows_in, shingle_hashes, stage, utf8, words
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, BAND_ROWS, STEP, BLOCK = 24, 3, 12, 256
@@ -41,10 +43,20 @@ PAIRS = 1 << 14
 _SEEDS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles and their text, in text order."""
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Number of each word, the different words, and the row of each word."""
     lower, starts, ends, rows = words(data, offsets)
-    wh = Spans(lower)(starts, ends)
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(lower[_WORD[lower]]))]).dictionary_encode()
+    return each.indices.to_numpy().astype(np.int64) if len(starts) else np.zeros(0, np.int64), each.dictionary.to_pylist(), rows
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles and their text, in text order: from 64-bit hashes of whole words, which no choice of
+    letters makes equal on purpose, as it does for polynomials."""
+    code, known, rows = word_codes(data, offsets)
+    wh = np.array([xxhash.xxh3_64_intdigest(w) for w in known], np.uint64)[code] if len(code) else np.zeros(0, np.uint64)
     h, at = shingle_hashes(wh, rows, k)
     row = rows[at]
     n = np.bincount(rows, minlength=len(offsets) - 1)
@@ -57,10 +69,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.
     return h[order], row[order]
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    h, row = shingles(*utf8(pa.array(texts, pa.large_string())))
-    return [np.unique(x) for x in np.split(h, np.searchsorted(row, np.arange(1, len(texts))))]
+def shingle_sets(texts: list[str], k: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text, as numbers that only equal shingles of these texts share: runs of words
+    are numbered by comparing the words themselves, one word longer at a time."""
+    code, known, rows = word_codes(*utf8(pa.array(texts, pa.large_string())))
+    n = np.bincount(rows, minlength=len(texts))
+    runs, ids, at = code, [], []
+    for size in range(1, k + 1):
+        here = rows[: max(0, len(code) - size + 1)]
+        inside = here == rows[size - 1 :]
+        if size > 1:
+            runs = np.unique(np.where(inside, runs[: len(here)] * len(known) + code[size - 1 :], -1), return_inverse=True)[1]
+        whole = inside & (n[here] == size if size < k else n[here] >= k)
+        ids.append(runs[whole] * k + size - 1)
+        at.append(here[whole])
+    number, row = np.concatenate(ids), np.concatenate(at)
+    order = np.argsort(row, kind="stable")
+    return [np.unique(x) for x in np.split(number[order], np.searchsorted(row[order], np.arange(1, len(texts))))]
 
 
 def minhashes(h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -152,15 +177,17 @@ def signatures(docs: DataFrame, key: str = "doc_id", carry: bool = False) -> Dat
     def run(part):
         h, row = shingles(*utf8(part.column("text")))
         rows = part.num_rows
-        packed = np.unique((row.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))  # rows of a slice stay under 2 ** 20
-        at = (packed >> np.uint64(44)).astype(np.int64)
+        order = np.lexsort((h, row))
+        sets, at = h[order], row[order]
+        first = np.concatenate([[True], (sets[1:] != sets[:-1]) | (at[1:] != at[:-1])])[: len(at)]
+        sets, at = sets[first], at[first]
         n = np.bincount(at, minlength=rows)
         bounds = np.concatenate([[0], np.cumsum(n)])
         ids = []
         with np.errstate(over="ignore"):
             for seed in (1, 2):
-                run = np.zeros(len(packed) + 1, np.uint64)
-                np.cumsum(mix((packed & np.uint64((1 << 44) - 1)) * np.uint64(2 * seed + 1) + np.uint64(seed)), out=run[1:])
+                run = np.zeros(len(sets) + 1, np.uint64)
+                np.cumsum(mix(sets * np.uint64(2 * seed + 1) + np.uint64(seed)), out=run[1:])
                 ids.append((run[bounds[1:]] - run[bounds[:-1]]).view(np.int64))
         sig = np.zeros((rows, HASHES), "<u4")
         sig[n > 0] = minhashes(h, row)

@@ -449,12 +449,14 @@ def reconcile(found: list[tuple[int, int, int, bool]], base: list[tuple[int, int
 
 
 def added_spans(texts: list[str], model: Model) -> list[list[tuple[int, int, int, bool]]]:
-    """Spans of all windows of each text, in the text's code points; those cut by an edge are not tested yet."""
+    """Spans of all windows of each text, in the text's code points. Those cut by an edge are left out where another
+    window saw the place whole; the others are plausible or not once they are joined."""
     code = [classes(t) for t in texts]
     sizes = np.array([len(c) for c in code])
     flat = np.concatenate([*code, np.zeros(WINDOW, np.uint8)])
     first = np.cumsum(sizes) - sizes
     text, start = windows_of(sizes)
+    opens = np.searchsorted(text, np.arange(len(texts) + 1))
     out: list[list[tuple[int, int, int, bool]]] = [[] for _ in texts]
     for a in range(0, len(text), BATCH):
         row, at = text[a : a + BATCH], start[a : a + BATCH]
@@ -467,7 +469,11 @@ def added_spans(texts: list[str], model: Model) -> list[list[tuple[int, int, int
                 if s >= e:
                     continue
                 if (s == 0 and s0 > 0) or (e == n and s0 + n < sizes[r]):
-                    out[r].append((s0 + s, k, s0 + e, True))
+                    # what another window saw whole is for that one to say
+                    others = start[opens[r] : opens[r + 1]]
+                    seen = (others < s0 + s) & ((others + WINDOW > s0 + e) | (others + WINDOW >= sizes[r]))
+                    if margin >= model.least[k] and not seen.any():
+                        out[r].append((s0 + s, k, s0 + e, True))
                     continue
                 s1, e1 = _trimmed(texts[r], s0 + s, s0 + e)
                 if margin >= model.least[k] and s1 < e1 and _plausible(texts[r], s1, e1, k):
