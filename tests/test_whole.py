@@ -1,4 +1,4 @@
-"""Queries of the whole job beside those whose SQL keeps a part: no row is left out, at any number of ranges."""
+"""Queries of whole tables: no row is left out, at any number of ranges."""
 
 import math
 
@@ -12,7 +12,7 @@ from tremolo.plans.registry import place
 
 
 def test_total_order_numbers_every_row(spark):
-    got = driver.QUERIES["total_order_whole"](spark, SF).toPandas()
+    got = driver.QUERIES["total_order"](spark, SF).toPandas()
     n = int(duck("SELECT count(*) AS n FROM events").n[0])
     assert n > 500 and sorted(got.seq) == list(range(1, n + 1))
 
@@ -27,18 +27,18 @@ def test_row_numbers_with_ties_and_nulls(spark):
 
 
 def test_every_explained_catalogue_row(spark):
-    got = driver.QUERIES["explain_whole"](spark, SF).toPandas()
+    got = driver.QUERIES["explain_k_of_n"](spark, SF).toPandas()
     e = duck("SELECT user_id AS station, epoch_us(ts) AS us, event_type AS kind, event_id FROM events")
     cat, det = e[e.kind == "purchase"], e[e.kind != "purchase"]
     want = {int(c.event_id): int(n) for c in cat.itertuples() if (n := det[(det.us - c.us).abs() <= 900_000_000].station.nunique()) >= 3}
     assert dict(zip(got.cat_id, got.stations)) == want
 
 
-def test_no_two_hundred_in_explain_whole(spark, tmp_path):
+def test_no_two_hundred_in_explain_k_of_n(spark, tmp_path):
     spark.sql(
         "SELECT id AS event_id, id % 4 AS user_id, timestamp_micros(id div 4 * 2000000000) AS ts, if(id % 4 = 0, 'purchase', 'click') AS event_type, 1.0D AS value FROM range(1000)"
     ).write.parquet(f"{tmp_path}/events.parquet")
-    got = driver.QUERIES["explain_whole"](spark, str(tmp_path)).toPandas()
+    got = driver.QUERIES["explain_k_of_n"](spark, str(tmp_path)).toPandas()
     assert len(got) == 250 and set(got.stations) == {3}
 
 
@@ -49,7 +49,7 @@ def test_chance_of_every_alarm_and_station(spark, tmp_path):
     spark.createDataFrame(data, "event_id long, user_id long, s long, event_type string, value double").selectExpr("event_id", "user_id", "timestamp_seconds(s) AS ts", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
     km = spark.range(1).select(*[geo.distance_km(*place(F.lit(3)), *place(F.lit(s))).alias(f"s{s}") for s in (40, 41, 42)]).first()
     part = lambda s, n: math.log(1 - math.exp(-n / 2_592_000 * 2 * (km[f"s{s}"] / 6 + 3)))
-    got = {r.a_id: r for r in driver.QUERIES["chance_by_alarm"](spark, str(tmp_path)).collect()}
+    got = {r.a_id: r for r in driver.QUERIES["chance_probability"](spark, str(tmp_path)).collect()}
     alarms = {r.a_id for r in driver.QUERIES["declare_events"](spark, str(tmp_path)).collect()}
     assert set(got) == alarms and 0 in got and got[0].others == 3
     assert abs(got[0].ln_p - part(40, 1) - part(41, 4) - part(42, 1)) < 1e-5

@@ -87,7 +87,8 @@ def trigger_step(at: str, value: str, on: list[str], level: float, least: int, i
 
 def token_trigger_step(at: str, p: str, dt: str, on: list[str], level: float = 0.3, release: float = 0.3, below: float = 2.0, since: float = 5.0, tokens: int = 2):
     """Rising edge of ``p`` after release; or a restart when ``dt`` has peaked at ``since`` or more and then stays at
-    ``below`` or less for ``tokens`` rows."""
+    ``below`` or less for ``tokens`` rows at ``level``, one after another. Rows between release and level count for
+    the peak and break the sequence."""
 
     def step(state, rows):
         armed, top, count = state or (True, 0.0, 0)
@@ -97,13 +98,14 @@ def token_trigger_step(at: str, p: str, dt: str, on: list[str], level: float = 0
                 armed, top, count = True, 0.0, 0
                 continue
             if prob < level:
+                top, count = max(top, d), 0
                 continue
             if armed:
                 out.append((*key, t, False))
                 armed, top, count = False, d, 0
                 continue
-            top = max(top, d)
             count = count + 1 if top >= since and d <= below else 0
+            top = max(top, d)
             if count >= tokens:
                 out.append((*key, t, True))
                 top, count = d, 0
@@ -116,87 +118,118 @@ RELEASED = "released string, id bigint, lo bigint, hi bigint, forced boolean"
 
 
 class Reorder:
-    """Spans of one channel put into order. What comes in order passes; what is ahead is held until the hole before it
-    is filled, has been waited for (data reach more than ``patience`` beyond it) or ``most`` spans are held; then the hole
-    is a gap. What is behind is dropped, an overlap is cut."""
+    """Spans of one channel put into order.
 
-    def __init__(self, patience: int, most: int):
-        self.patience, self.most, self.front, self.held = patience, most, None, []
-        self.stats = dict.fromkeys(("in_order", "held", "stale", "trimmed", "gaps", "forced"), 0)
+    What begins at the front, or before it and ends beyond, passes, without what is behind the front. What begins ahead
+    is held. A hole is a gap when data reach more than ``patience`` beyond its end (the start of the next held span),
+    or when ``most`` spans are held and another has to be. Until the earliest span has been waited for in the same way
+    there is no front, so that spans before the first arrival still find their place. Spans behind the front are stale.
+
+    With ``at``, the time of arrival, a channel that is silent for more than ``idle`` gives out what it holds.
+    """
 
-    def offer(self, lo: int, hi: int, key: int) -> list[tuple]:
+    def __init__(self, patience: int, most: int = 1000, idle: int | None = None, front: int | None = None):
+        self.patience, self.most, self.idle, self.front = patience, most, idle, front
+        self.seen, self.last, self.held = None, None, []
+        self.stats = dict.fromkeys(("records", "in_order", "held", "stale", "trimmed", "gaps", "missing", "forced", "lateness"), 0)
+
+    def offer(self, lo: int | None, hi: int | None, key: int | None, at: int | None = None) -> list[tuple]:
+        """What comes out when a span comes in; one without ends tells the time only."""
         out: list[tuple] = []
-        if self.front is None:
-            self.front = lo
-        if hi <= self.front:
-            self.stats["stale"] += 1
-            return [("stale", key, lo, hi, False)]
-        self.stats["in_order" if lo <= self.front else "held"] += 1
-        heapq.heappush(self.held, (lo, hi, key))
-        self._drain(out)
-        while self.held and (max(h for _, h, _ in self.held) - self.front > self.patience or len(self.held) > self.most):
-            self._gap(out, max(h for _, h, _ in self.held) - self.front <= self.patience)
+        if at is not None:
+            if self.idle is not None and self.last is not None and at - self.last > self.idle:
+                out = self.flush()
+            self.last = at if self.last is None else max(self.last, at)
+        if lo is None or hi is None or hi <= lo:
+            return out
+        self.stats["records"] += 1
+        self.stats["lateness"] = max(self.stats["lateness"], (hi if self.seen is None else self.seen) - hi)
+        self.seen = hi if self.seen is None else max(self.seen, hi)
+        if (self.front is None or lo > self.front) and len(self.held) >= self.most:
+            self._open(out, self.seen - self.held[0][0] <= self.patience)
+        if self.front is None or lo > self.front:
+            self.stats["held"] += 1
+            heapq.heappush(self.held, (lo, hi, key))
+        else:
+            self.stats["in_order"] += lo == self.front
+            self._pass(out, lo, hi, key)
+            self._drain(out)
+        while self.held and self.seen - self.held[0][0] > self.patience:
+            self._open(out, False)
         return out
 
     def flush(self) -> list[tuple]:
+        """All that is held, whatever is missing before it."""
         out: list[tuple] = []
         while self.held:
-            self._gap(out, False)
+            self._open(out, False)
         return out
 
-    def _gap(self, out: list[tuple], forced: bool) -> None:
-        self.stats["gaps"] += 1
-        self.stats["forced"] += forced
-        out.append(("gap", None, self.front, self.held[0][0], forced))
-        self.front = self.held[0][0]
+    def _open(self, out: list[tuple], forced: bool) -> None:
+        start = self.held[0][0]
+        if self.front is not None and start > self.front:
+            self.stats["gaps"] += 1
+            self.stats["missing"] += start - self.front
+            self.stats["forced"] += forced
+            out.append(("gap", None, self.front, start, forced))
+        self.front = start if self.front is None else max(self.front, start)
         self._drain(out)
 
     def _drain(self, out: list[tuple]) -> None:
         while self.held and self.held[0][0] <= self.front:
-            lo, hi, key = heapq.heappop(self.held)
-            if hi <= self.front:
-                self.stats["stale"] += 1
-                out.append(("stale", key, lo, hi, False))
-                continue
-            self.stats["trimmed"] += lo < self.front
-            out.append(("data", key, self.front, hi, False))
-            self.front = hi
+            self._pass(out, *heapq.heappop(self.held))
 
+    def _pass(self, out: list[tuple], lo: int, hi: int, key: int | None) -> None:
+        if hi <= self.front:
+            self.stats["stale"] += 1
+            out.append(("stale", key, lo, hi, False))
+            return
+        self.stats["trimmed"] += self.front - lo
+        out.append(("data", key, self.front, hi, False))
+        self.front = hi
 
-def reorder_steps(channel: str, lo: str, hi: str, key: str, patience: int, most: int = 1000):
-    """Step and end of a reorder buffer; output is ``channel`` and the columns of ``RELEASED``."""
 
-    def frame(name, rows):
-        out = pd.DataFrame(rows, columns=["released", "id", "lo", "hi", "forced"])
-        out["id"] = out["id"].astype("Int64")
-        out.insert(0, channel, name)
-        return out
+def released(keys: list[str], name: tuple, rows: list[tuple]) -> pd.DataFrame | None:
+    """Output of a buffer under the names of its key."""
+    if not rows:
+        return None
+    out = pd.DataFrame(rows, columns=["released", "id", "lo", "hi", "forced"])
+    out["id"] = out["id"].astype("Int64")
+    for i, (k, v) in enumerate(zip(keys, name)):
+        out.insert(i, k, v)
+    return out
+
+
+def reorder_steps(channel: str, lo: str, hi: str, key: str, patience: int, most: int = 1000, at: str | None = None, idle: int | None = None, front: str | None = None):
+    """Step and end of a reorder buffer; output is ``channel`` and the columns of ``RELEASED``. ``front`` names a column
+    with the front that a part of a channel begins with (see :func:`tremolo.operators.parts.time_parts`)."""
 
     def step(state, rows):
-        state = state or Reorder(patience, most)
-        out = [x for a, b, k in zip(rows[lo].tolist(), rows[hi].tolist(), rows[key].tolist()) for x in state.offer(a, b, k)]
-        return state, frame(rows[channel].iloc[0], out) if out else None
+        if state is None:
+            begin = rows[front].iloc[0] if front else None
+            state = Reorder(patience, most, idle, None if begin is None or pd.isna(begin) else int(begin))
+        spans = zip(rows[lo].tolist(), rows[hi].tolist(), rows[key].tolist(), rows[at].tolist() if at else [None] * len(rows))
+        return state, released([channel], (rows[channel].iloc[0],), [x for span in spans for x in state.offer(*span)])
 
     def end(key_, state):
-        out = state.flush()
-        return frame(key_[0], out) if out else None
+        return released([channel], key_[:1], state.flush())
 
     return step, end
 
 
-def live_dedup_step(sequence: str, start: str, columns: list[str], bits: int = 24):
+def live_dedup_step(sequence: str, start: str, columns: list[str], bits: int = 24, channel: str | None = None):
     """Keep rows whose wrapping number is after the last kept one; a row that is not is kept, as a restarted numbering,
-    if its data are newer than all kept before."""
+    if its data are newer than all kept before of its ``channel`` (a key numbers the rows of all its channels)."""
     span, half = 1 << bits, 1 << (bits - 1)
 
     def step(state, rows):
-        last, newest = state or (None, None)
+        last, newest = state or (None, {})
         keep = []
-        for n, t in zip(rows[sequence].tolist(), rows[start].tolist()):
-            ok = last is None or 1 <= (n - last) % span < half or t > newest
+        for n, t, c in zip(rows[sequence].tolist(), rows[start].tolist(), rows[channel].tolist() if channel else [None] * len(rows)):
+            ok = last is None or 1 <= (n - last) % span < half or c not in newest or t > newest[c]
             keep.append(ok)
             if ok:
-                last, newest = n, t if newest is None else max(newest, t)
+                last, newest[c] = n, max(newest.get(c, t), t)
         return (last, newest), rows.loc[keep, columns]
 
     return step

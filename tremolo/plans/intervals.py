@@ -275,18 +275,8 @@ def retention_counts(spark, sf_dir):
     return detections(spark, sf_dir).select("event_id", F.count("*").over(w).alias("kept"), F.max("value").over(w).alias("peak"))
 
 
-@query(
-    "total_order",
-    f"WITH {DETECTIONS} SELECT event_id, row_number() OVER (ORDER BY us, station, event_id) AS seq FROM e QUALIFY seq <= 500",
-)
+@query("total_order", f"WITH {DETECTIONS} SELECT event_id, row_number() OVER (ORDER BY us, station, event_id) AS seq FROM e")
 def total_order(spark, sf_dir):
-    """The first 500 rows of the stream's total order, as its SQL asks for; ``total_order_whole`` numbers all rows."""
-    first = detections(spark, sf_dir).orderBy("us", "station", "event_id").limit(500)
-    return first.select("event_id", F.row_number().over(W.orderBy("us", "station", "event_id")).alias("seq").cast("long"))
-
-
-@query("total_order_whole", f"WITH {DETECTIONS} SELECT event_id, row_number() OVER (ORDER BY us, station, event_id) AS seq FROM e")
-def total_order_whole(spark, sf_dir):
     """Every row's place in the stream's total order (time, station, sequence)."""
     return stats.row_numbers(detections(spark, sf_dir).select("us", "station", "event_id"), ["us", "station", "event_id"]).select("event_id", "seq")
 

@@ -6,10 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremolo.functions.clock import micros
-from tremolo.operators import fold, ranges
+from tremolo.operators import fold, parts, ranges
 from tremolo.plans import intervals
 from tremolo.plans.registry import DETECTIONS, ORACLES, detections, query
-from tremolo.streaming import folds
+from tremolo.streaming import buffer, folds
 
 S, HOUR = 1_000_000, 3_600_000_000
 
@@ -70,16 +70,66 @@ def stream_late_rows(spark, sf_dir):
     return folds.drained(out, spark, "stream-late")
 
 
-@query("stream_release", f"WITH {DETECTIONS} SELECT station % 10 AS channel, count(*) AS n, min(us) AS first, max(us + 600000000) AS last FROM e GROUP BY 1")
+#: What a channel holds is given out when nothing has come from it for so long.
+IDLE = 2 * HOUR
+_LISTED = "STRUCT(front BIGINT, n BIGINT, length BIGINT, gaps BIGINT, missing BIGINT, stale BIGINT, old BIGINT)"
+
+
+def _listed(spans: str, start: str, wait: str) -> str:
+    """The buffer's rule stated over the list of spans in the order of their starts: one is let out if the front has
+    reached it or the data are more than ``wait`` beyond its start."""
+    begin = "coalesce(a.front, z.lo)"
+    front = f"greatest({begin}, z.lo)"
+    let = (
+        f"struct_pack(front := greatest({front}, z.hi), n := a.n + (z.hi > {front})::BIGINT, length := a.length + greatest(z.hi - {front}, 0), gaps := a.gaps + (z.lo > {begin})::BIGINT, "
+        f"missing := a.missing + greatest(z.lo - {begin}, 0), stale := a.stale + (z.hi <= {front})::BIGINT, old := a.old + CASE WHEN z.hi <= {front} THEN z.hi - z.lo ELSE 0 END)"
+    )
+    each = f"list_transform({spans}, lambda z: struct_pack(lo := z.lo, hi := z.hi, t := {start}))"
+    first = f"struct_pack(lo := NULL::BIGINT, hi := NULL::BIGINT, t := {start})"
+    step = f"CASE WHEN coalesce(z.lo <= a.t.front, false) OR seen - z.lo > {wait} THEN {let.replace('a.', 'a.t.')} ELSE a.t END"
+    return f"list_reduce(list_prepend({first}, {each}), lambda a, z: struct_pack(lo := z.lo, hi := z.hi, t := {step})).t"
+
+
+PATIENT = (
+    intervals.ARRIVALS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", x AS (SELECT channel, lo, hi, row_number() OVER w AS k, max(hi) OVER w AS top, coalesce(arrival - lag(arrival) OVER w > {IDLE}, false) AS silent FROM r WINDOW w AS (PARTITION BY channel ORDER BY arrival, event_id)),
+m AS (SELECT channel, max(k) AS most FROM x GROUP BY channel),
+s AS (
+  SELECT channel, 0::BIGINT AS k, []::STRUCT(lo BIGINT, hi BIGINT)[] AS held, struct_pack(front := NULL::BIGINT, n := 0, length := 0, gaps := 0, missing := 0, stale := 0, old := 0)::{_LISTED} AS t FROM m
+  UNION ALL
+  SELECT channel, k, list_filter(here, lambda z: coalesce(z.lo > t.front, true)) AS held, t FROM (
+    SELECT channel, k, here, ({_listed("here", "t", "patience")})::{_LISTED} AS t FROM (
+      SELECT channel, k, seen, patience, t, list_sort(list_append(list_filter(held, lambda z: coalesce(z.lo > t.front, true)), struct_pack(lo := lo, hi := hi))) AS here FROM (
+        SELECT channel, k, seen, patience, lo, hi, held, (CASE WHEN silent THEN {_listed("held", "t", "-4000000000000000")} ELSE t END)::{_LISTED} AS t FROM (
+          SELECT s.channel, x.k, x.top AS seen, x.lo, x.hi, x.silent, s.held, s.t, CASE WHEN x.k = m.most THEN -4000000000000000 ELSE {HOUR} END AS patience
+          FROM s JOIN x ON x.channel = s.channel AND x.k = s.k + 1 JOIN m ON m.channel = s.channel))))),
+f AS (SELECT s.channel, s.t FROM s JOIN m ON s.channel = m.channel AND s.k = m.most)
+SELECT * FROM (SELECT channel, 'data' AS released, t.n AS n, t.length AS length FROM f UNION ALL SELECT channel, 'gap', t.gaps, t.missing FROM f UNION ALL SELECT channel, 'stale', t.stale, t.old FROM f) WHERE n > 0"""
+)
+
+
+def _summed(out):
+    return out.groupBy("channel", "released").agg(F.count("*").alias("n"), F.sum(F.col("hi") - F.col("lo")).alias("length"))
+
+
+@query("reorder_patient", PATIENT)
+def reorder_patient(spark, sf_dir):
+    """The reorder buffer with an hour's patience: spans, stale ones and gaps by channel, all held ones flushed at the
+    end. Channels are cut where they are silent for longer than the buffer remembers."""
+    cut = parts.time_parts(intervals._records(spark, sf_dir), ["channel"], "arrival", "lo", "hi", HOUR, 24 * HOUR)
+    step, end = fold.reorder_steps("channel", "lo", "hi", "event_id", HOUR, at="arrival", idle=IDLE, front="before")
+    return _summed(fold.ordered_fold(cut, ["channel", "part"], ["arrival", "event_id"], step, f"channel bigint, {fold.RELEASED}", end))
+
+
+@query("stream_release", PATIENT)
 def stream_release(spark, sf_dir):
-    """Records of a stream through the reorder buffer, with patience beyond all lateness: what is released and still held
-    after it is every record, which the summary of both shows."""
-    arrival = F.col("us") + F.pmod(F.col("event_id") * 7919, F.lit(601)) * 10 * S
-    s = _stream(spark, sf_dir).select((F.col("station") % 10).alias("channel"), "event_id", F.col("us").alias("lo"), (F.col("us") + 600 * S).alias("hi"), arrival.alias("arrival"))
-    step, end = fold.reorder_steps("channel", "lo", "hi", "event_id", 0)
-    out = folds.drained(folds.stateful(s, ["channel"], ["arrival", "event_id"], step, f"channel bigint, {fold.RELEASED}"), spark, "stream-release")
-    data = out.where("released <> 'gap'").join(detections(spark, sf_dir).select(F.col("event_id").alias("id"), "us"), "id")
-    return data.groupBy("channel").agg(F.count("*").alias("n"), F.min("us").alias("first"), (F.max("us") + 600 * S).alias("last"))
+    """``reorder_patient`` on a stream of six micro-batches, state in Spark's state store: silent channels give out
+    what they hold when a timer ends, and all do after the closing rows, which tell every channel a later time."""
+    r = intervals._records(spark, sf_dir).select("channel", F.col("event_id").alias("id"), "lo", "hi", "arrival")
+    late = r.groupBy("channel").agg(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.max("arrival").alias("arrival"))
+    end = r.agg(F.max("arrival").alias("end"))
+    close = late.crossJoin(F.broadcast(end)).withColumn("arrival", F.col("end") + 2 * IDLE)
+    return _summed(folds.drained(buffer.reorder_stream(folds.replayed(r, "arrival", 6, "stream-records", close), ["channel"], HOUR, IDLE), spark, "stream-release"))
 
 
 @query("reorder_release", ORACLES["reorder_gaps"])
@@ -92,28 +142,35 @@ def reorder_release(spark, sf_dir):
     return gaps.join(data, ["channel", "at"]).select("channel", "event_id", "front", (F.col("at") - F.col("front")).alias("gap"))
 
 
-@query("reorder_patient")
-def reorder_patient(spark, sf_dir):
-    """The reorder buffer with an hour's patience: spans, stale ones and gaps by channel, all held ones flushed at the end."""
-    step, end = fold.reorder_steps("channel", "lo", "hi", "event_id", HOUR)
-    out = fold.ordered_fold(intervals._records(spark, sf_dir), ["channel"], ["arrival", "event_id"], step, f"channel bigint, {fold.RELEASED}", end)
-    return out.groupBy("channel", "released").agg(F.count("*").alias("n"), F.sum(F.col("hi") - F.col("lo")).alias("length"))
-
-
 @query("live_dedup", f"WITH {DETECTIONS} SELECT station, event_id, us FROM e")
 def live_dedup(spark, sf_dir):
-    """Records of a live source without repeats; a numbering that starts again with newer data is let in."""
-    e = detections(spark, sf_dir).select("station", "event_id", "us", F.pmod(F.col("event_id") * 65_537, F.lit(1 << 24)).alias("seq"))
+    """Records of a live source without repeats; a numbering that starts again with data newer than all of their channel
+    is let in."""
+    e = detections(spark, sf_dir).select("station", "event_id", "us", "kind", F.pmod(F.col("event_id") * 65_537, F.lit(1 << 24)).alias("seq"))
     e = e.withColumn("arrival", 2 * F.col("us"))
-    again = e.where("event_id % 5 = 0").select("station", "event_id", (F.col("us") - 1).alias("us"), "seq", (F.col("arrival") + 1).alias("arrival"))
-    return fold.ordered_fold(e.unionByName(again), ["station"], ["arrival", "event_id"], fold.live_dedup_step("seq", "us", ["station", "event_id", "us"]), "station bigint, event_id bigint, us bigint")
+    again = e.where("event_id % 5 = 0").withColumn("us", F.col("us") - 1).withColumn("arrival", F.col("arrival") + 1)
+    step = fold.live_dedup_step("seq", "us", ["station", "event_id", "us"], channel="kind")
+    return fold.ordered_fold(e.unionByName(again), ["station"], ["arrival", "event_id"], step, "station bigint, event_id bigint, us bigint")
+
+
+#: The rule as a fold of each station's list of tokens.
+TOKENS = f"""WITH {DETECTIONS}, l AS (SELECT station, list(struct_pack(t := us, p := value % 100 / 100, d := (event_id % 9)::DOUBLE) ORDER BY us, event_id) AS rows FROM e GROUP BY station),
+i AS (SELECT station, rows, struct_pack(armed := true, top := 0::DOUBLE, n := 0, fired := []::STRUCT(us BIGINT, restart BOOLEAN)[]) AS a FROM l),
+f AS (SELECT station, list_reduce(list_prepend(struct_pack(t := 0::BIGINT, p := 0::DOUBLE, d := 0::DOUBLE, a := a), list_transform(rows, lambda z: struct_pack(t := z.t, p := z.p, d := z.d, a := a))),
+  lambda s, z: struct_pack(t := z.t, p := z.p, d := z.d, a := CASE
+    WHEN z.p < 0.3 THEN struct_pack(armed := true, top := 0::DOUBLE, n := 0, fired := s.a.fired)
+    WHEN z.p < 0.5 THEN struct_pack(armed := s.a.armed, top := greatest(s.a.top, z.d), n := 0, fired := s.a.fired)
+    WHEN s.a.armed THEN struct_pack(armed := false, top := z.d, n := 0, fired := list_append(s.a.fired, struct_pack(us := z.t, restart := false)))
+    WHEN s.a.top >= 5 AND z.d <= 2 AND s.a.n >= 1 THEN struct_pack(armed := false, top := z.d, n := 0, fired := list_append(s.a.fired, struct_pack(us := z.t, restart := true)))
+    ELSE struct_pack(armed := false, top := greatest(s.a.top, z.d), n := CASE WHEN s.a.top >= 5 AND z.d <= 2 THEN s.a.n + 1 ELSE 0 END, fired := s.a.fired) END)).a.fired AS fired FROM i)
+SELECT station, x.us AS us, x.restart AS restart FROM (SELECT station, unnest(fired) AS x FROM f)"""
 
 
-@query("token_trigger")
+@query("token_trigger", TOKENS)
 def token_trigger(spark, sf_dir):
     """Rising edges and restarts of tokens with a probability and a time since onset."""
     e = detections(spark, sf_dir).select("station", "event_id", "us", (F.col("value") % 100 / 100).alias("p"), (F.col("event_id") % 9).cast("double").alias("dt"))
-    return fold.ordered_fold(e, ["station"], ["us", "event_id"], fold.token_trigger_step("us", "p", "dt", ["station"]), "station bigint, us bigint, restart boolean")
+    return fold.ordered_fold(e, ["station"], ["us", "event_id"], fold.token_trigger_step("us", "p", "dt", ["station"], level=0.5, release=0.3), "station bigint, us bigint, restart boolean")
 
 
 @query("scheduled_jobs", f"WITH {DETECTIONS} SELECT t.event_id, min(w.us) AS ran FROM e t LEFT JOIN e w ON w.station = t.station AND w.us >= t.us + {HOUR} AND w.us <= t.us + {10 * 24 * HOUR} WHERE t.kind = 'error' GROUP BY t.event_id")

@@ -205,22 +205,15 @@ def weighted_median(spark, sf_dir):
     return stats.weighted_median(l, "l_discount", F.col("l_quantity"), on).join(mean, on)
 
 
-@query("chance_probability", f"WITH {DETECTIONS}, n AS (SELECT kind, station, count(*) AS n FROM e WHERE station < 5 GROUP BY ALL) SELECT kind, round(exp(sum(ln(1 - exp(-n / 720.0::DOUBLE * 24)))), 6) AS p FROM n GROUP BY kind")
-def chance_probability(spark, sf_dir):
-    """Rates of stations 0 to 4 multiplied by kind, as its SQL asks for; ``chance_by_alarm`` looks at every alarm."""
-    n = detections(spark, sf_dir).where("station < 5").groupBy("kind", "station").agg(F.count("*").alias("n"))
-    return n.groupBy("kind").agg(r6(F.exp(F.sum(F.log(1 - F.exp(-F.col("n") / 720.0 * 24))))).alias("p"))
-
-
 @query(
-    "chance_by_alarm",
+    "chance_probability",
     f"""WITH {CAT}, {PAIRS}, m AS (SELECT a_id, a_station AS station, a_us AS us, a_id AS id FROM q UNION SELECT a_id, b_station, b_us, b_id FROM q),
 f AS (SELECT a_id, arg_min(station, (us, id)) AS station FROM m GROUP BY a_id HAVING count(DISTINCT station) >= 3),
 n AS (SELECT station, count(*) AS n FROM det GROUP BY station),
 s AS (SELECT DISTINCT m.a_id, m.station, f.station AS first, n.n, 2 * ({_km("f", "m")} / 6 + 3) AS w FROM m JOIN f ON m.a_id = f.a_id AND m.station <> f.station JOIN n ON n.station = m.station)
 SELECT a_id, count(*) AS others, round(sum(ln(1 - exp(-n / 2592000.0::DOUBLE * w))), 6) AS ln_p FROM s GROUP BY a_id""",
 )
-def chance_by_alarm(spark, sf_dir):
+def chance_probability(spark, sf_dir):
     """Of every alarm of ``declare_events``, the logarithm of the probability that its other stations fired by chance
     within their association window around its first detection, each at its own rate over all detections."""
     q = _pairs(spark, sf_dir)

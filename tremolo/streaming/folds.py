@@ -8,12 +8,14 @@ themselves (the reorder buffer does).
 from __future__ import annotations
 
 import pickle
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -36,10 +38,42 @@ def stream_table(spark: SparkSession, path: str, files: int = 1000) -> DataFrame
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path if "*" in path else path[:-1] + "[" + path[-1] + "]")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where the session names none, a new temporary one (local mode only)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='tremolo-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def replayed(df: DataFrame, order: str, pieces: int, name: str, close: DataFrame | None = None) -> DataFrame:
+    """A table as a stream of ``pieces`` micro-batches in ``order`` (a number): its files are written one after another,
+    and after them those of ``close``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    edges = df.stat.approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.01) if pieces > 1 else []
+    edges = [None, *sorted(set(edges)), None]
+    for low, high in zip(edges, edges[1:]):
+        piece = df.where((F.lit(low is None) | (F.col(order) > F.lit(low))) & (F.lit(high is None) | (F.col(order) <= F.lit(high))))
+        piece.coalesce(1).write.mode("append").parquet(path)
+    if close is not None:
+        close.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drained(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
     """All that a stream gives for what is there now, through a file sink in the shared folder, read back as a table."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tremolo").rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, rocks)  # typed state and timers need it
+    try:
+        query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
