@@ -27,9 +27,9 @@ def _detections(spark, sf_dir):
     return detections(spark, sf_dir).where("kind <> 'purchase'")
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, which: str = "true"):
     """Detections of different stations that one source can explain: their distance bounds their time difference."""
-    e = _detections(spark, sf_dir)
+    e = _detections(spark, sf_dir).where(which)
     a = e.select(F.col("event_id").alias("a_id"), F.col("station").alias("a_station"), F.col("us").alias("a_us"))
     b = e.select(F.col("event_id").alias("b_id"), F.col("station").alias("b_station"), F.col("us").alias("b_us"))
     most = 300  # seconds: the largest distance over the velocity, and the slack

@@ -1,83 +1,118 @@
-"""Location and size queries. Observations are made from customers (events) and made-up stations, so that the answer is known."""
+"""Location and size queries: the alarms that detections make are located from their stations' times."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from tremolo.functions import arrays, geo
-from tremolo.operators import fold, locate
+from tremolo.operators import fold, grid, locate
+from tremolo.plans.joins import CAT, PAIRS, _pairs
 from tremolo.plans.registry import LAT, LON, detections, km_sql, place, query, r6, table
 from tremolo.plans.signals import X, _long, _sql, _x
 
-STATIONS = 6
-
-
-def _truth(spark, sf_dir):
-    """Every tenth nation's customers as sources in reach of six stations each."""
-    c = table(spark, sf_dir, "customer").where("c_nationkey % 10 = 3").select(F.col("c_custkey").alias("event"))
-    la, lo = place(F.col("event"))
-    return c.withColumn("la", la).withColumn("lo", lo)
-
-
-def _observed(spark, sf_dir, late: float = 0.0):
-    """Six stations around each source with exact arrival times; ``late`` seconds are added at station 4."""
-    o = _truth(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(STATIONS - 1))))
-    angle = F.col("k") * F.lit(2 * math.pi / STATIONS) + F.col("event") % 7
-    o = o.withColumn("lat", F.col("la") + (0.2 + F.col("k") * 0.05) * F.sin(angle)).withColumn("lon", F.col("lo") + (0.2 + F.col("k") * 0.05) * F.cos(angle))
-    km = geo.distance_km(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))
-    extra = F.when(F.col("k") == 4, F.lit(late)).otherwise(F.lit(0.0))
-    o = o.withColumn("p_time", 100 + geo.travel_time(km, 10.0, 6.0) + extra).withColumn("s_time", 100 + geo.travel_time(km, 10.0, 3.5) + extra)
-    return o.select("event", F.col("k").alias("station"), "lat", "lon", "p_time", "s_time", F.log(F.greatest(km, F.lit(1.0))).alias("log_km"), F.lit(0.2).alias("log_sd"))
-
-
-def _located(spark, sf_dir, method, late=0.0, **limits):
-    f = locate.locate(_observed(spark, sf_dir, late), "event", method, **limits).join(_truth(spark, sf_dir), "event")
-    off = geo.distance_km(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo"))
-    return f.select("event", "stations", "dropped", (off <= 1).alias("within_1_km"), (F.abs(F.col("origin") - 100) < 0.3).alias("origin_ok"), (F.col("rms") < 0.2).alias("fits"))
-
-
-def _known(stations: int, dropped: str) -> str:
-    return f"SELECT c_custkey AS event, {stations} AS stations, '{dropped}' AS dropped, true AS within_1_km, true AS origin_ok, true AS fits FROM customer WHERE c_nationkey % 10 = 3"
-
-
-@query("locate_picks", _known(6, ""))
+#: Alarms of the detections of one kind, which are rare enough for their stations' times to overlap by chance only.
+ALARM = f"""WITH {CAT.replace("kind <> 'purchase'", "kind = 'error'")}, {PAIRS}, m AS (SELECT a_id, a_station AS station, a_us AS us, a_id AS id FROM q UNION SELECT a_id, b_station, b_us, b_id FROM q),
+f AS (SELECT a_id, station, arg_min(us, (us, id)) AS us, arg_min(id, (us, id)) AS id FROM m GROUP BY a_id, station),
+g AS (SELECT a_id, min(us) AS first FROM f GROUP BY a_id HAVING count(*) >= 3),
+s AS (SELECT a_id AS event, station, {LAT.format(k="station")} AS lat, {LON.format(k="station")} AS lon, (us - first) / 1000000.0::DOUBLE AS p_time, id FROM f JOIN g USING (a_id))"""
+#: Observations of the methods: first arrivals; with second ones; with distances.
+OBSERVED = {
+    "first_arrivals": "SELECT *, p_time AS time, 6.0::DOUBLE AS speed, NULL::DOUBLE AS log_km, NULL::DOUBLE AS log_sd FROM s",
+    "picks": "SELECT *, p_time AS time, 6.0::DOUBLE AS speed, NULL::DOUBLE AS log_km, NULL::DOUBLE AS log_sd FROM s UNION ALL SELECT *, p_time + 1 + (id % 40) / 2.0::DOUBLE, 3.5::DOUBLE, NULL, NULL FROM s",
+    "geometry": "SELECT *, p_time AS time, 6.0::DOUBLE AS speed, ln(5.0::DOUBLE + id % 200) AS log_km, 0.3::DOUBLE AS log_sd FROM s",
+}
+
+
+def _grid_sql(obs: str, t: str, coarse: tuple[float, int] = grid.COARSE, fine: tuple[float, int] = grid.FINE) -> str:
+    """Common table expressions that search every node of both grids for observations ``obs``: ``best`` and ``told``."""
+
+    def level(name: str, centres: str, step: float, most: int) -> str:
+        km = km_sql("n.lat", "n.lon", "o.lat", "o.lon")
+        return f"""{name}{t} AS MATERIALIZED (SELECT event, lat, lon, sum(r) / count(*) AS origin, sqrt(greatest(sum(r * r) - sum(r) * sum(r) / count(*), 0) / count(*)) AS rms,
+  greatest(sum(r * r) - sum(r) * sum(r) / count(*), 0) / 2 + coalesce(sum(d * d), 0) / 2 AS j FROM (
+    SELECT event, lat, lon, time - sqrt(km * km + 100) / speed AS r, (ln(greatest(km, 1.0)) - log_km) / log_sd AS d FROM (
+      SELECT n.event, n.lat, n.lon, o.time, o.speed, o.log_km, o.log_sd, {km} AS km FROM (
+        SELECT event, lat0 + i * {step}::DOUBLE AS lat, lon0 + k * {step}::DOUBLE AS lon FROM {centres}, range(-{most}, {most + 1}) AS a(i), range(-{most}, {most + 1}) AS b(k)) n JOIN {obs} o ON o.event = n.event)) GROUP BY event, lat, lon)"""
+
+    km = km_sql("b.lat", "b.lon", "o.lat", "o.lon")
+    return f"""c{t} AS MATERIALIZED (SELECT event, count(*) AS stations, avg(lat) AS lat0, avg(lon) AS lon0 FROM (SELECT DISTINCT event, station, lat, lon FROM {obs}) GROUP BY event),
+{level("wide", f"c{t}", *coarse)},
+top{t} AS (SELECT event, min(struct_pack(j := j, lat := lat, lon := lon, origin := origin, rms := rms)) AS x FROM wide{t} GROUP BY event),
+{level("near", f"(SELECT event, x.lat AS lat0, x.lon AS lon0 FROM top{t})", *fine)},
+pick{t} AS (SELECT t.event, CASE WHEN n.x.j < t.x.j THEN n.x ELSE t.x END AS x FROM top{t} t JOIN (SELECT event, min(struct_pack(j := j, lat := lat, lon := lon, origin := origin, rms := rms)) AS x FROM near{t} GROUP BY event) n ON n.event = t.event),
+b{t} AS (SELECT event, x.j AS j, x.lat AS lat, x.lon AS lon, x.origin AS origin, x.rms AS rms FROM pick{t}),
+e{t} AS (SELECT b.event, greatest(max({km_sql("b.lat", "b.lon", "w.lat", "w.lon")}) FILTER (w.j <= b.j + {grid.ONE_SIGMA}), 6371.0::DOUBLE * radians({coarse[0]}::DOUBLE) / 2) AS error_km FROM b{t} b JOIN wide{t} w ON w.event = b.event GROUP BY b.event),
+u{t} AS (SELECT event, station, abs(d) AS z, pow(r, 2) / 2 + coalesce(d * d / 2, 0) AS share FROM (SELECT event, station, time - sqrt(km * km + 100) / speed - origin AS r, (ln(greatest(km, 1.0)) - log_km) / log_sd AS d FROM (SELECT o.*, b.origin, {km} AS km FROM {obs} o JOIN b{t} b ON b.event = o.event))),
+told{t} AS (SELECT event, max(z) AS z, arg_max(station, (share, station)) AS worst FROM u{t} GROUP BY event),
+fit{t} AS MATERIALIZED (SELECT b.*, c.stations, e.error_km, x.z, x.worst FROM b{t} b JOIN c{t} c ON c.event = b.event JOIN e{t} e ON e.event = b.event JOIN told{t} x ON x.event = b.event)"""
+
+
+_ROUNDED = "event, round(lat, 6) AS lat, round(lon, 6) AS lon, round(origin, 6) AS origin, round(rms, 6) AS rms, round(error_km, 6) AS error_km, stations, round(z, 6) AS z, worst"
+
+
+def _fit_sql(method: str, **grids) -> str:
+    return f"{ALARM}, obs AS MATERIALIZED ({OBSERVED[method]}), {_grid_sql('obs', '1', **grids)} SELECT {_ROUNDED} FROM fit1"
+
+
+RELOCATE = f"""{ALARM}, obs AS MATERIALIZED ({OBSERVED["picks"]}), {_grid_sql("obs", "1")},
+obs2 AS MATERIALIZED (SELECT o.* FROM obs o JOIN fit1 f ON f.event = o.event WHERE f.rms > 2 AND f.stations > 2 AND o.station <> f.worst), {_grid_sql("obs2", "2")}
+SELECT {_ROUNDED}, '' AS dropped FROM fit1 WHERE NOT (rms > 2 AND stations > 2) UNION ALL
+SELECT s.event, round(s.lat, 6), round(s.lon, 6), round(s.origin, 6), round(s.rms, 6), round(s.error_km, 6), s.stations, round(s.z, 6), s.worst, f.worst::VARCHAR FROM fit2 s JOIN fit1 f ON f.event = s.event"""
+
+
+def _observed(spark, sf_dir, method):
+    """The first detections of every alarm's stations as first arrivals, in seconds from the alarm's first."""
+    q = _pairs(spark, sf_dir, "kind = 'error'")
+    each = F.explode(F.array(F.struct(F.col("a_station").alias("station"), F.col("a_us").alias("us"), F.col("a_id").alias("id")), F.struct(F.col("b_station").alias("station"), F.col("b_us").alias("us"), F.col("b_id").alias("id"))))
+    f = q.select("a_id", each.alias("m")).groupBy("a_id", "m.station").agg(F.min(F.struct("m.us", "m.id")).alias("at")).select("a_id", "station", "at.us", "at.id")
+    g = f.groupBy("a_id").agg(F.min("us").alias("first"), F.count("*").alias("n")).where("n >= 3")
+    la, lo = place(F.col("station"))
+    s = f.join(g, "a_id").select(F.col("a_id").alias("event"), "station", la.alias("lat"), lo.alias("lon"), ((F.col("us") - F.col("first")) / 1_000_000.0).alias("p_time"), "id")
+    if method == "picks":
+        o = grid.with_second_arrivals(s.withColumn("s_time", F.col("p_time") + 1 + F.col("id") % 40 / 2.0))
+    else:
+        o = s.select("*", F.col("p_time").alias("time"), F.lit(6.0).alias("speed"))
+    near = method == "geometry"
+    return o.withColumn("log_km", F.log(5.0 + F.col("id") % 200) if near else F.lit(None).cast("double")).withColumn("log_sd", F.lit(0.3) if near else F.lit(None).cast("double"))
+
+
+def _rounded(f):
+    return f.select("event", *[r6(F.col(c)).alias(c) for c in ("lat", "lon", "origin", "rms", "error_km")], "stations", r6(F.col("z")).alias("z"), "worst", *(["dropped"] if "dropped" in f.columns else []))
+
+
+@query("locate_picks", _fit_sql("picks"))
 def locate_picks(spark, sf_dir):
-    """Sources from first and second arrivals."""
-    return _located(spark, sf_dir, "picks")
+    """Alarms located from first and second arrivals."""
+    return _rounded(grid.fit(_observed(spark, sf_dir, "picks"), "event", 2))
 
 
-@query("locate_geometry", _known(6, ""))
+@query("locate_geometry", _fit_sql("geometry"))
 def locate_geometry(spark, sf_dir):
-    """Sources from first arrivals and single-station distances."""
-    return _located(spark, sf_dir, "geometry")
+    """Alarms located from first arrivals and single-station distances."""
+    return _rounded(grid.fit(_observed(spark, sf_dir, "geometry"), "event", 3))
 
 
-@query("locate_first_arrivals", _known(6, ""))
+@query("locate_first_arrivals", _fit_sql("first_arrivals"))
 def locate_first_arrivals(spark, sf_dir):
-    """Sources from first arrivals alone."""
-    return _located(spark, sf_dir, "first_arrivals")
+    """Alarms located from first arrivals alone."""
+    return _rounded(grid.fit(_observed(spark, sf_dir, "first_arrivals"), "event", 3))
 
 
-@query("locate_without_worst", _known(5, "4"))
+@query("locate_without_worst", RELOCATE)
 def locate_without_worst(spark, sf_dir):
-    """Sources where one station's times are twelve seconds late: it is left out and the rest located again."""
-    return _located(spark, sf_dir, "picks", late=12.0)
+    """Alarms located from first and second arrivals, once more without the worst station where they fit badly."""
+    f = grid.relocate(_observed(spark, sf_dir, "picks"), "event", 2, most_dropped=1)
+    return _rounded(f.withColumn("dropped", F.array_join("dropped", ",")))
 
 
-@query("one_source", "SELECT c_custkey AS event, true AS as_one, false AS with_late FROM customer WHERE c_nationkey % 10 = 3")
-def one_source(spark, sf_dir):
-    """Whether one source fits all first arrivals to a second, and whether it still does with a late station."""
-    both = _observed(spark, sf_dir).withColumn("late", F.lit(False)).unionByName(_observed(spark, sf_dir, 12.0).withColumn("late", F.lit(True)))
-
-    def run(key, rows):
-        import pandas as pd
+_CLOSE = {"coarse": (0.05, 20), "fine": (0.005, 15)}
 
-        return pd.DataFrame([(*key, locate.one_source_rms(rows))], columns=["event", "late", "rms"])
 
-    r = both.groupBy("event", "late").applyInPandas(run, "event bigint, late boolean, rms double")
-    return r.groupBy("event").agg(F.max(F.when(~F.col("late"), F.col("rms") <= 1)).alias("as_one"), F.max(F.when(F.col("late"), F.col("rms") <= 1)).alias("with_late"))
+@query("one_source", _fit_sql("first_arrivals", **_CLOSE).replace(f"SELECT {_ROUNDED}", "SELECT event, round(rms, 6) AS rms, rms <= 1 AS as_one"))
+def one_source(spark, sf_dir):
+    """Whether one source near the stations fits all first arrivals of an alarm to a second."""
+    f = grid.fit(_observed(spark, sf_dir, "first_arrivals"), "event", 1, **_CLOSE)
+    return f.select("event", r6(F.col("rms")).alias("rms"), (F.col("rms") <= 1).alias("as_one"))
 
 
 @query("censored_size")

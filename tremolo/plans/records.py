@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tremolo.functions import clock
 from tremolo.plans.registry import DETECTIONS, detections, query, table
 from tremolo.sources import records, sinks
-from tremolo.streaming import folds
+from tremolo.sources.shared import shared_folder
 
 CHUNK = 100
 SERIES = f"{DETECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY us, event_id) - 1 AS i FROM e), x AS (SELECT station, i // {CHUNK} AS chunk, i % {CHUNK} AS seq, us, CAST(floor(value * 100) AS BIGINT) % 30000 - 10000 AS sample FROM n)"
@@ -133,7 +133,7 @@ def parse_stream_list(spark, sf_dir):
 @query("message_sink", "SELECT event_type AS kind, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY kind")
 def message_sink(spark, sf_dir):
     """Messages written by tag and read back."""
-    path = f"{folds.shared_folder(spark)}/messages-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/messages-{uuid.uuid4().hex}"
     sinks.write_messages(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), "value"), path, "kind")
     back = spark.read.schema(T.StructType.fromDDL("event_id bigint, value double, kind string")).parquet(path)
     return back.groupBy("kind").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))

@@ -8,7 +8,6 @@ themselves (the reorder buffer does).
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tremolo.sources.shared import shared_folder
+
 
 def stateful(df: DataFrame, on: list[str], order: list[str], step: Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame | None]], schema: str) -> DataFrame:
     """``step(state, rows)`` for the rows of each key of a stream; returns state and output."""
@@ -38,18 +39,6 @@ def stream_table(spark: SparkSession, path: str, files: int = 1000) -> DataFrame
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path if "*" in path else path[:-1] + "[" + path[-1] + "]")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none, a new temporary one (local mode only)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='tremolo-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def replayed(df: DataFrame, order: str, pieces: int, name: str, close: DataFrame | None = None) -> DataFrame:
     """A table as a stream of ``pieces`` micro-batches in ``order`` (a number): its files are written one after another,
     and after them those of ``close``."""
