@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremolo.functions import geo, inference
-from tremolo.operators import ranges, stats
+from tremolo.operators import ranges, regression, stats
 from tremolo.plans.joins import CAT, MATCH, PAIRS, _catalogue, _detections, _km, _matched, _pairs
 from tremolo.plans.registry import DETECTIONS, LAT, LON, detections, km_sql, place, query, r6, table
 
@@ -367,3 +367,21 @@ def two_source_test(spark, sf_dir):
     p = s.join(b, "s_nationkey").where("k < b_k").withColumn("km", km)
     verdict = F.when(F.expr("d > 400 or b_d > 400"), "unclassified").when(F.expr("km > d + b_d + 5"), "apart").when(F.expr("km < abs(d - b_d) - 5"), "inside").otherwise("one source")
     return p.select(F.col("k").alias("a_key"), F.col("b_k").alias("b_key"), verdict.alias("verdict"))
+
+
+@query(
+    "station_terms",
+    """WITH d AS (SELECT l_suppkey AS station, log10(l_extendedprice::DOUBLE) AS y, l_quantity::DOUBLE AS x1, greatest(l_quantity::DOUBLE - 25, 0) AS x2, 1.0::DOUBLE / count(*) OVER (PARTITION BY l_orderkey) AS w FROM lineitem),
+m AS (SELECT station, count(*) AS n, sum(w * x1) / sum(w) AS m1, sum(w * x2) / sum(w) AS m2, sum(w * y) / sum(w) AS my FROM d GROUP BY station),
+c AS (SELECT sum(w * (x1 - m1) * (x1 - m1)) AS a11, sum(w * (x1 - m1) * (x2 - m2)) AS a12, sum(w * (x2 - m2) * (x2 - m2)) AS a22, sum(w * (x1 - m1) * (y - my)) AS b1, sum(w * (x2 - m2) * (y - my)) AS b2 FROM d JOIN m USING (station)),
+k AS (SELECT (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) AS c1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS c2 FROM c),
+t AS (SELECT station, n, my - c1 * m1 - c2 * m2 AS level, c1, c2 FROM m, k)
+SELECT station, n, round(level - avg(level) OVER (), 6) AS term, round(avg(level) OVER (), 6) AS constant, round(c1, 6) AS slope, round(c2, 6) AS bend FROM t""",
+)
+def station_terms(spark, sf_dir):
+    """Price against quantity with a bend, lines weighted so that every order counts once, and a term per supplier."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("double").alias("slope"))
+    d = l.withColumn("y", F.log10(F.col("l_extendedprice").cast("double"))).withColumn("bend", F.greatest(F.col("slope") - 25, F.lit(0.0)))
+    d = d.withColumn("w", 1.0 / F.count("*").over(W.partitionBy("l_orderkey")))
+    fit, terms = regression.station_fit(d, "l_suppkey", "y", ["slope", "bend"], "w")
+    return terms.select(F.col("l_suppkey").alias("station"), "n", r6(F.col("term")).alias("term"), *[F.lit(round(fit[c], 6)).alias(c) for c in ("constant", "slope", "bend")])
