@@ -173,13 +173,14 @@ def token_trigger(spark, sf_dir):
     return fold.ordered_fold(e, ["station"], ["us", "event_id"], fold.token_trigger_step("us", "p", "dt", ["station"], level=0.5, release=0.3), "station bigint, us bigint, restart boolean")
 
 
-@query("scheduled_jobs", f"WITH {DETECTIONS} SELECT t.event_id, min(w.us) AS ran FROM e t LEFT JOIN e w ON w.station = t.station AND w.us >= t.us + {HOUR} AND w.us <= t.us + {10 * 24 * HOUR} WHERE t.kind = 'error' GROUP BY t.event_id")
+@query("scheduled_jobs", f"WITH {DETECTIONS} SELECT t.event_id, min(w.us) AS ran FROM e t LEFT JOIN e w ON w.station = t.station AND w.us >= t.us + {HOUR} WHERE t.kind = 'error' GROUP BY t.event_id")
 def scheduled_jobs(spark, sf_dir):
-    """Jobs that run when their station's data reach their end: the first row an hour or more after the trigger."""
+    """Jobs that run when their station's data reach their end: the first row an hour or more after the trigger, however
+    long it takes; an as-of join with the time line turned round."""
     e = detections(spark, sf_dir)
-    t = e.where("kind = 'error'").select("event_id", "station", F.col("us").alias("at"))
-    ran = ranges.first_after(t, e.select("station", "us"), "at", "us", -HOUR, 240 * HOUR, ["event_id"], ["station"]).select("event_id", F.col("us").alias("ran"))
-    return t.select("event_id").join(ran, "event_id", "left")
+    t = e.where("kind = 'error'").select("event_id", "station", (-(F.col("us") + HOUR)).alias("due"))
+    back = e.select("station", (-F.col("us")).alias("came"), F.col("us").alias("ran"))
+    return ranges.asof_join(t, back, "due", "came", ["station"], ["ran"]).select("event_id", "ran")
 
 
 @query("coda_absorption", f"WITH {DETECTIONS}, d AS (SELECT event_id, station, us FROM e WHERE kind = 'purchase'), x AS (SELECT e.event_id, e.us, e.value, d.event_id AS into_id, d.us AS at_us FROM (SELECT * FROM e WHERE kind <> 'purchase') e ASOF LEFT JOIN d ON e.station = d.station AND e.us >= d.us) SELECT event_id, CASE WHEN us - at_us <= {24 * HOUR} AND value < 150 THEN into_id END AS into_id FROM x")
