@@ -196,10 +196,11 @@ def coda_absorption(spark, sf_dir):
 def emission_schedule(spark, sf_dir):
     """How often an onset gives out its geometry: every hour until released, twenty times at most."""
     e = detections(spark, sf_dir)
-    t = e.where("kind = 'error'").select("event_id", "station", F.col("us").alias("at"))
-    r = ranges.first_after(t, e.where("kind = 'click'").select("station", "us"), "at", "us", -1, 20 * HOUR, ["event_id"], ["station"]).select("event_id", F.floor((F.col("us") - F.col("at")) / HOUR).cast("long").alias("k"))
-    j = t.select("event_id").join(r, "event_id", "left")
-    return j.select("event_id", F.least(F.lit(20), F.coalesce("k", F.lit(20))).cast("long").alias("emissions"), F.col("k").isNotNull().alias("released"))
+    t = e.where("kind = 'error'").select("event_id", "station", (-F.col("us")).alias("at"))
+    c = e.where("kind = 'click'").select("station", (-F.col("us")).alias("came"))
+    r = ranges.asof_join(t, c, "at", "came", ["station"], ["came"], strict=True, tolerance=20 * HOUR)
+    k = F.floor((F.col("at") - F.col("came")) / HOUR).cast("long")
+    return r.select("event_id", F.least(F.lit(20), F.coalesce(k, F.lit(20))).cast("long").alias("emissions"), F.col("came").isNotNull().alias("released"))
 
 
 @query("watermark_release", f"WITH {DETECTIONS}, m AS (SELECT min(last) AS until FROM (SELECT station % 10 AS channel, max(us) AS last FROM e GROUP BY 1)) SELECT count(*) FILTER (us < until) AS released, count(*) FILTER (us >= until) AS waiting, any_value(until) AS until FROM e, m")
