@@ -3,11 +3,11 @@
 import math
 import random
 
-import pandas as pd
 import pytest
 
 from tests.conftest import SF, rows
-from tremolo.operators import explain, fold, release
+from tremolo.functions import inference
+from tremolo.operators import explain, fold, rates, release, report, sizes
 from tremolo.plans import driver, review
 
 
@@ -149,3 +149,135 @@ def test_explain_against_loops(spark):
         assert any(g.best is not None for g in got) and any(g.best is None and g.near is not None for g in got)
     assert explain.explain(d.where("false"), c, _times, TIERS).count() == 0
     assert [x.best for x in explain.explain(d, c.where("false"), _times, TIERS).collect()] == [None] * 25
+
+
+def test_exact_tests_of_counts():
+    from fractions import Fraction
+
+    for n, p in ((1, 0.3), (57, 0.01), (57, 0.9), (300, 0.37)):
+        terms = [Fraction(math.comb(n, i)) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(n + 1)]
+        for k in range(-1, n + 1):
+            assert abs(inference.binomial_cdf(k, n, p) - float(sum(terms[: k + 1]))) < 1e-12
+    low, high = inference.clopper_pearson(3, 10)
+    assert (round(low, 4), round(high, 4)) == (0.0667, 0.6525) and inference.clopper_pearson(0, 5)[0] == 0 and inference.clopper_pearson(5, 5)[1] == 1
+    assert abs(inference.mcnemar(700, 650) - min(1, 2 * sum(Fraction(math.comb(1350, i)) for i in range(651)) / 2**1350)) < 1e-12
+    ratio, low, high, p = inference.poisson_ratio(0, 5.0, 0, 5.0)
+    assert math.isnan(ratio) and (low, high, p) == (0.0, math.inf, 1.0)
+    assert inference.poisson_ratio(4, 5.0, 0, 5.0)[::2] == (math.inf, math.inf) and abs(inference.poisson_ratio(4, 5.0, 0, 5.0)[3] - 0.125) < 1e-12
+
+
+def test_rates_with_rows_of_one_window_and_none(spark):
+    one = [("x", w, 6.0, w % 3, 2) for w in range(20)] + [(None, 1, 5.0, 4, 0), ("z", 1, None, 1, 1)]
+    whole = spark.createDataFrame(one, "g string, window long, hours double, a long, b long")
+    cut = [(g, w, h, None, b) for g, w, h, _, b in one] + [(g, w, 0.0, a, None) for g, w, _, a, _ in one]
+    parts = spark.createDataFrame(cut, whole.schema).repartition(3)
+    a, b = (rates.compare_rates(x, ["g"], 200).toPandas() for x in (whole, parts))
+    assert rows(a.drop(columns="hours").replace(math.inf, 1e18)) == rows(b.drop(columns="hours").replace(math.inf, 1e18)) and len(a) == 3
+    x = a[a.g == "x"].iloc[0]
+    assert (x.hours, x.a, x.b) == (120, 19, 40) and x.ratio == 19 / 40 and x.low < 19 / 40 < x.high and x.ratio_low <= 19 / 40 <= x.ratio_high and x.b_per_day_low == x.b_per_day_high == 8
+    n = a[a.g.isna()].iloc[0]
+    assert n.ratio == math.inf and n.high == math.inf and abs(n.p - 0.125) < 1e-12
+    assert math.isnan(a[a.g == "z"].iloc[0].p)
+    assert rates.compare_rates(whole.where("false"), ["g"]).count() == 0
+
+
+def _told(seed, n=60):
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        what = r.choice(["peak", "peak", "peak", "quiet", "distance", "location", "first_location"])
+        out.append((what, k // 2, r.randrange(5), r.uniform(38, 39), r.uniform(28, 29), 7.0 if k % 29 == 28 else r.choice([1.0, 1.0, 1.0, 2.0]), 10 ** r.uniform(-6, -3), 10 ** r.uniform(-6, -5), r.uniform(5, 200), r.choice([None, 5.0, 50.0])))
+    return out
+
+
+def _sizes(told, model):
+    """Everything reckoned anew at every row, sizes on a list."""
+    grid = [1 + 0.01 * k for k in range(751)]
+    out, said, count, first = [], None, None, None
+    for k, (what, at, *_) in enumerate(told):
+        seen = told[: k + 1]
+        peaks, quiet, km, loc = {}, {}, {}, {}
+        for x in seen:
+            if x[0] == "peak":
+                peaks[x[2]] = x if x[2] not in peaks or x[5] >= peaks[x[2]][5] else peaks[x[2]]
+            if x[0] == "quiet":
+                quiet[x[2]] = x
+            if x[0] == "distance":
+                km[x[2]] = x[8]
+            if "location" in x[0]:
+                loc[x[0]] = x
+        if what == "distance" or not peaks:
+            continue
+        a, b = loc.get("location"), loc.get("first_location")
+        place, source = (a, "location") if a and (a[9] is None or a[9] <= 20) else (b, "first_location") if b and b[9] is not None and b[9] <= 20 else (None, "distance")
+        if place:
+            h = lambda x: 2 * 6371 * math.asin(math.sqrt(math.sin(math.radians(x[3] - place[3]) / 2) ** 2 + math.cos(math.radians(x[3])) * math.cos(math.radians(place[3])) * math.sin(math.radians(x[4] - place[4]) / 2) ** 2))  # noqa: B023, E731
+            used = [(x, h(x), True) for x in peaks.values()] + [(x, h(x), False) for s, x in quiet.items() if s not in peaks]
+        else:
+            used = [(x, km[s], True) for s, x in peaks.items() if s in km]
+        logs, n, above = [-model.b_value * math.log(10) * m for m in grid], 0, 0
+        for x, d, _ in used:
+            r = next((r for r in model.relations if r.tau == x[5]), None)
+            term, usual = model.terms.get((x[2], x[5]), 0.0), model.noise.get(x[2])
+            if r is None or abs(term) > model.most_term or (usual and not usual / 10 <= x[7] <= usual * 10):
+                continue
+            n, up = n + 1, x[6] >= r.least_snr * x[7]
+            above += up
+            y = math.log10(x[6] if up else r.least_snr * x[7])
+            lr = math.log10(math.hypot(d, r.depth))
+            base = r.constant + r.log_km * lr + sum(g * max(0, lr - math.log10(c)) for g, c in r.beyond) + term
+            for i, m in enumerate(grid):
+                z = (y - base - r.slope * m - r.above * max(0, m - r.knot)) / r.sigma
+                logs[i] += -z * z / 2 - math.log(r.sigma * math.sqrt(2 * math.pi)) if up else math.log(math.erfc(-z / math.sqrt(2)) / 2) if z > -30 else -1e4
+        if not above:
+            continue
+        p = [math.exp(x - max(logs)) for x in logs]
+        mean = sum(a * m for a, m in zip(p, grid)) / sum(p)
+        first = first or (mean, at)
+        if said is None or abs(mean - said) >= 0.1 or n != count:
+            said = mean
+            out.append((at, round(mean, 6), n, above, max(x[5] for x, _, own in used if own), source, round(first[0], 6), first[1]))
+        count = n
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sizes_reckoned_anew(spark, seed):
+    rows_of = {e: _told(seed * 10 + e) for e in range(3)}
+    model = review.MODEL
+    data = [(e, *x, k) for e, told in rows_of.items() for k, x in enumerate(told)]
+    schema = "event long, what string, at long, station long, lat double, lon double, tau double, peak double, noise double, km double, error double, k long"
+    junk = [(1, w, 5, None, None, None, None, None, None, None, None, -1) for w in ("peak", "quiet", "distance", "location", None)]
+    df = spark.createDataFrame(data + junk, schema).repartition(4)
+    r = fold.ordered_fold(df, ["event"], ["at", "k"], sizes.report_step("event", model), f"event long, {sizes.REPORT}").collect()
+    for e, told in rows_of.items():
+        got = [(x.at, round(x["mean"], 6), x.stations, x.above, x.tau, x.distances, round(x["first"], 6), x.first_at) for x in r if x.event == e]
+        want = _sizes(told, model)
+        assert len(want) > 3 and len(got) == len(want)
+        for g, w in zip(got, want):
+            assert g[2:6] == w[2:6] and g[0] == w[0] and g[7] == w[7] and abs(g[1] - w[1]) < 1e-5 and abs(g[6] - w[6]) < 1e-5
+    assert all(abs(x.p_small + x.p_medium + x.p_large - 1) < 1e-9 for x in r)
+    assert fold.ordered_fold(df.where("false"), ["event"], ["at", "k"], sizes.report_step("event", model), f"event long, {sizes.REPORT}").count() == 0
+
+
+H = 3_600_000_000
+
+
+def test_report_of_awkward_rows(spark, tmp_path):
+    a = spark.createDataFrame([(1, H, 3, 10), (2, 2 * H, 2, 10), (3, 3 * H + 5_000, 4, None), (4, 3 * H, 1, None), (5, 5 * H, 2, 12)], "alarm long, declared long, stations long, event long").repartition(3)
+    e = spark.createDataFrame([(10, H - 2_500_000, 3.25, 7.5), (11, 4 * H, None, None), (12, 5 * H - 4_000_000, 1.0, 1.0), (13, 86_399_999_600, 2.0, 0.4)], "event long, us long, size double, km double").repartition(2)
+    got = sorted((tuple(r) for r in report.lines(a, e, [1.5, 3.0]).collect()), key=lambda r: r[:3])
+    text = lambda n: [r[3] for r in got if r[0] == n]
+    assert [x.split() for x in text(0)] == [["alarms", "5"], ["correct", "(match", "an", "event)", "3", "60.0%"], ["false", "(no", "event)", "2", "40.0%"], ["events", "4"], ["detected", "2", "50.0%"], ["missed", "2", "50.0%"]]
+    assert [x.split() for x in text(1)] == [["below", "1.5", "1", "1", "0"], ["1.5", "to", "3", "1", "0", "1"], ["3", "and", "more", "1", "1", "0"]]
+    assert text(2) == ["alarm after the event, median           3.3 s"]  # of 2.5 and 4 seconds: 3.25
+    assert [x.split() for x in text(3)] == [["04:00:00.00", "UTC", "?", "?", "km"], ["00:00:00.00", "UTC", "2.0", "0", "km"]]
+    assert text(4) == ["03:00:00.00 UTC  #4  1 stations", "03:00:00.00 UTC  #3  4 stations"]
+    report.write_lines(report.lines(a, e, [1.5, 3.0]), f"{tmp_path}/report", 3)
+    files = sorted((tmp_path / "report").glob("part-*.txt"))
+    assert len(files) == 3 and [x for f in files for x in f.read_text().splitlines()] == [r[3] for r in got]
+    none = [r.line.split() for r in report.lines(a.where("false"), e.where("false"), [1.0]).orderBy("us").collect()]
+    assert none[:2] == [["alarms", "0"], ["correct", "(match", "an", "event)", "0", "-%"]] and len(none) == 6
+    d = spark.createDataFrame([(1, 8, 100), (1, 7, 2_345_100), (3, 1, 5), (3, 2, None)], "alarm long, station long, us long")
+    t = {r.alarm: tuple(r)[1:] for r in report.declared_table(a, d, e).collect()}
+    assert t[1] == ("1970-01-01 01:00:00", "3.3 00:59:57.50", "8 7", "8", "7", "2.35") and t[3] == ("1970-01-01 03:00:00", "", "1", "1", "", "") and t[4][1:] == ("", "", "", "", "") and len(t) == 5

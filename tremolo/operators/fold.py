@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 
 
 def ordered_fold(
-    df: DataFrame, on: list[str], order: list[str], step: Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame | None]], schema: str, end: Callable[[tuple, Any], pd.DataFrame | None] | None = None
+    df: DataFrame, on: list[str], order: list[str], step: Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame | None]], schema: str, end: Callable[[tuple, Any], pd.DataFrame | None] | None = None, dealt: bool = False
 ) -> DataFrame:
     """``step(state, rows)`` for the rows of each key in order, ``state`` None at first; returns state and output.
     ``end(key, state)`` gives what is left when a key has no more rows.
 
-    Keys are clustered by one shuffle and rows sorted inside partitions, so that a key may be longer than memory.
+    Keys are clustered by one shuffle and rows sorted inside partitions, so that a key may be longer than memory. With
+    ``dealt`` all shuffle partitions stay tasks of their own: for few bytes that are much work.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,7 +40,8 @@ def ordered_fold(
         if end is not None and key is not None and (out := end(key, state)) is not None and len(out):
             yield out
 
-    return df.repartition(*on).sortWithinPartitions(*on, *order).mapInPandas(run, schema)
+    tasks = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if dealt else []
+    return df.repartition(*tasks, *on).sortWithinPartitions(*on, *order).mapInPandas(run, schema)
 
 
 def min_gap_step(at: str, gap: int, columns: list[str]):

@@ -3,13 +3,16 @@ event goes on, ordered release of live messages, and the report's lines."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tremolo.functions import geo
-from tremolo.operators import explain, fold, release
-from tremolo.plans.joins import CAT, LA, LO, PAIRS, _catalogue, _detections, _km, _pairs
-from tremolo.plans.registry import DETECTIONS, detections, place, query, table
+from tremolo.functions.clock import micros
+from tremolo.operators import explain, fold, ranges, rates, release, report, sizes
+from tremolo.plans.joins import CAT, PAIRS, _km, _pairs
+from tremolo.plans.registry import DETECTIONS, LAT, LON, detections, km_sql, place, query, r6, table
 from tremolo.streaming import folds
 
 S = 1_000_000
@@ -111,3 +114,176 @@ def stream_ordered_release(spark, sf_dir):
     r = folds.replayed(_received(spark, sf_dir), "at", 4, "stream-messages")
     out = folds.stateful(r, ["network"], _ORDER, release.release_step("network", 6 * HOUR), f"network bigint, {release.RELEASED}")
     return folds.drained(out, spark, "stream-ordered")
+
+
+# ---- rates ---------------------------------------------------------------------------------------------------------------
+
+_POISSON = " + ".join(f"(u >= {p!r}::DOUBLE)::BIGINT" for p in rates.POISSON)
+_BELOW = "list_sum(list_transform(range(0, {k} + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))))"
+_ENDS = ", ".join(f"list_sort(list({c}))[floor({q}::DOUBLE * (count(*) - 1))::BIGINT + 1] AS {c}_{n}" for c in ("a_per_day", "b_per_day", "ratio") for n, q in (("low", 0.025), ("high", 0.975)))
+#: Exact ends are found by halving, with the binomial distribution summed term by term.
+RATIOS = f"""WITH RECURSIVE {DETECTIONS}, h AS (SELECT station % 5 AS grp, us // 86400000000 AS day, us // 3600000000 AS hour, count(*) FILTER (kind = 'error') AS a, count(*) FILTER (kind = 'click') AS b FROM e GROUP BY ALL),
+d AS (SELECT grp, grp * 1000000 + day AS window_id, count(*) AS hours, sum(a) AS a, sum(b) AS b FROM h GROUP BY ALL),
+w AS (SELECT * FROM d UNION ALL SELECT -1, window_id, hours, a, b FROM d),
+t AS (SELECT grp, sum(hours)::DOUBLE AS hours, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM w GROUP BY grp),
+i AS (SELECT grp, a AS k, a + b AS n, unnest(['low', 'high']) AS side, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS s FROM t UNION ALL
+  SELECT grp, k, n, side, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, s + 1 FROM (
+    SELECT *, CASE side WHEN 'low' THEN {_BELOW.format(k='(n - k)', n='n', p='(1 - mid)')} < 0.025 ELSE {_BELOW.format(k='k', n='n', p='mid')} > 0.025 END AS up FROM (SELECT *, (lo + hi) / 2 AS mid FROM i WHERE s < 50))),
+c AS (SELECT grp, max((lo + hi) / 2) FILTER (side = 'low') AS low, max((lo + hi) / 2) FILTER (side = 'high') AS high FROM i WHERE s = 50 GROUP BY grp),
+r AS (SELECT w.*, draw, ('0x' || substr(md5(window_id || '-' || draw), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM w, (SELECT unnest(range(0, 500)) AS draw)),
+x AS (SELECT grp, draw, sum(({_POISSON}) * hours) AS hours, sum(({_POISSON}) * a) AS a, sum(({_POISSON}) * b) AS b FROM r GROUP BY ALL),
+y AS (SELECT grp, 24 * a / hours::DOUBLE AS a_per_day, 24 * b / hours::DOUBLE AS b_per_day, CASE WHEN b > 0 THEN a / b::DOUBLE ELSE 'inf'::DOUBLE END AS ratio FROM x WHERE hours > 0),
+z AS (SELECT grp, {_ENDS} FROM y GROUP BY grp)
+SELECT grp, t.hours, t.a, t.b, round(24 * t.a / t.hours, 6) AS a_per_day, round(24 * t.b / t.hours, 6) AS b_per_day, round(t.a / t.b::DOUBLE, 6) AS ratio, round(low / (1 - low), 6) AS low, round(high / (1 - high), 6) AS high,
+round(least(1, 2 * {_BELOW.format(k='least(t.a, t.b)', n='(t.a + t.b)', p='0.5::DOUBLE')}), 6) AS p, {', '.join(f'round({c}_{n}, 6) AS {c}_{n}' for c in ('a_per_day', 'b_per_day', 'ratio') for n in ('low', 'high'))}
+FROM t JOIN c USING (grp) JOIN z USING (grp)"""
+
+
+@query("rate_ratios", RATIOS)
+def rate_ratios(spark, sf_dir):
+    """Alarms a day of two detectors on the same hours, for all stations (-1) and by group: ratio, exact interval and p of
+    equal rates, intervals over resampled days."""
+    e = detections(spark, sf_dir).select((F.col("station") % 5).alias("grp"), F.floor(F.col("us") / (24 * HOUR)).alias("day"), F.floor(F.col("us") / HOUR).alias("hour"), "kind")
+    h = e.groupBy("grp", "day", "hour").agg(F.count_if(F.expr("kind = 'error'")).alias("a"), F.count_if(F.expr("kind = 'click'")).alias("b"))
+    d = h.groupBy("grp", "day").agg(F.count("*").alias("hours"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = d.select(F.explode(F.array("grp", F.lit(-1).cast("long"))).alias("g"), (F.col("grp") * 1_000_000 + F.col("day")).alias("window"), "hours", "a", "b").withColumnRenamed("g", "grp")
+    r = rates.compare_rates(w, ["grp"], 500)
+    return r.select("grp", "hours", "a", "b", *[r6(F.col(c)).alias(c) for c in r.columns if c not in ("grp", "hours", "a", "b")])
+
+
+# ---- sizes while events go on --------------------------------------------------------------------------------------------
+
+MODEL = sizes.Model(
+    (sizes.Relation(1.0, -4.5, 0.8, -1.2, above=-0.3), sizes.Relation(2.0, -4.3, 0.85, -1.3, beyond=((0.4, 150.0),))),
+    terms={(3, 1.0): 0.2, (5, 2.0): 0.9},
+    noise={s: 1e-5 for s in range(4)},
+)
+
+
+def _log_scaled_tail() -> str:
+    """SQL of the logarithm of exp(x^2) erfc(x) for x >= 0, from a fit over t = 1 / (1 + x / 2)."""
+    t = (np.cos((np.arange(400) + 0.5) * np.pi / 400) + 1) / 2
+    x = 2 / t - 2
+    far = [math.log(1 - 1 / (2 * v * v) + 3 / (4 * v**4) - 15 / (8 * v**6)) - math.log(v * math.sqrt(math.pi)) if v > 20 else v * v + math.log(math.erfc(v)) for v in x]
+    c = np.polynomial.chebyshev.cheb2poly(np.polynomial.chebyshev.chebfit(2 * t - 1, np.array(far) - np.log(t), 20))
+    sql = f"{c[-1]!r}::DOUBLE".replace("np.float64(", "").replace(")", "")
+    for v in c[-2::-1]:
+        sql = f"({sql} * u + {float(v)!r}::DOUBLE)"
+    return f"({sql} - ln(1 + x / 2))"
+
+
+_TOLD = f"""SELECT o_custkey AS event, epoch_us(o_orderdate) AS t, o_orderkey AS seq, CASE o_orderkey % 8 WHEN 0 THEN 'location' WHEN 1 THEN 'first_location' WHEN 2 THEN 'distance' WHEN 3 THEN 'quiet' ELSE 'peak' END AS what, o_orderkey % 5 + (o_orderkey // 8) % 3 AS station,
+ (1 + (o_orderkey // 8) % 3)::DOUBLE AS tau, pow(10.0::DOUBLE, o_totalprice / 100000 - 6) AS peak, (1 + o_orderkey % 50) / 1000000.0::DOUBLE AS noise, (10 + o_orderkey % 300)::DOUBLE AS km, CASE WHEN o_orderkey % 9 > 0 THEN (o_orderkey % 40)::DOUBLE END AS error FROM orders"""
+_SLAT, _SLON = LAT.format(k="(s.event + s.station)"), LON.format(k="(s.event + s.station)")
+SIZES_SQL = f"""WITH o AS ({_TOLD}), n AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY t, seq) AS k FROM o),
+p AS (SELECT a.event, a.k, b.station, arg_max(b.k, b.tau * 1000000 + b.k) AS j FROM n a JOIN n b ON a.event = b.event AND b.k <= a.k AND b.what = 'peak' WHERE a.what <> 'distance' GROUP BY ALL),
+q AS (SELECT a.event, a.k, b.station, max(b.k) AS j FROM n a JOIN n b ON a.event = b.event AND b.k <= a.k AND b.what = 'quiet' WHERE a.what <> 'distance' AND NOT EXISTS (SELECT 1 FROM p WHERE p.event = a.event AND p.k = a.k AND p.station = b.station) GROUP BY ALL),
+l AS (SELECT a.event, a.k, max(b.k) FILTER (b.what = 'location') AS l1, max(b.k) FILTER (b.what = 'first_location') AS l2 FROM n a JOIN n b ON a.event = b.event AND b.k <= a.k WHERE a.what <> 'distance' GROUP BY ALL),
+f AS (SELECT l.event, l.k, CASE WHEN x.k IS NOT NULL AND (x.error IS NULL OR x.error <= 20) THEN x.seq WHEN y.error <= 20 THEN y.seq END AS place, CASE WHEN x.k IS NOT NULL AND (x.error IS NULL OR x.error <= 20) THEN 'location' WHEN y.error <= 20 THEN 'first_location' ELSE 'distance' END AS distances
+  FROM l LEFT JOIN n x ON x.event = l.event AND x.k = l1 LEFT JOIN n y ON y.event = l.event AND y.k = l2),
+d AS (SELECT a.event, a.k, b.station, arg_max(b.km, b.k) AS km FROM n a JOIN n b ON a.event = b.event AND b.k <= a.k AND b.what = 'distance' GROUP BY ALL),
+s AS (SELECT event, k, station, j, true AS own FROM p UNION ALL SELECT event, k, station, j, false FROM q),
+v AS (SELECT s.event, s.k, s.station, s.own, n.tau, n.peak, n.noise, f.distances, CASE WHEN place IS NULL THEN CASE WHEN own THEN d.km END ELSE {km_sql(LAT.format(k='place'), LON.format(k='place'), _SLAT, _SLON)} END AS km
+  FROM s JOIN n ON n.event = s.event AND n.k = s.j JOIN f ON f.event = s.event AND f.k = s.k LEFT JOIN d ON d.event = s.event AND d.k = s.k AND d.station = s.station),
+taus AS (SELECT event, k, max(tau) AS tau FROM v WHERE own AND km IS NOT NULL GROUP BY ALL),
+u AS (SELECT event, k, station, distances, peak >= 3 * noise AS up, log10(CASE WHEN peak >= 3 * noise THEN peak ELSE 3 * noise END) AS y, tau, log10(sqrt(km * km + 100)) AS r FROM v SEMI JOIN taus ON taus.event = v.event AND taus.k = v.k
+  WHERE km IS NOT NULL AND tau < 3 AND NOT (station = 5 AND tau = 2) AND (station > 3 OR noise BETWEEN 0.1::DOUBLE * 1e-5::DOUBLE AND 10 * 1e-5::DOUBLE)),
+w AS (SELECT event, k, distances, up, CASE WHEN tau = 1 THEN y + 4.5::DOUBLE + 1.2::DOUBLE * r - CASE WHEN station = 3 THEN 0.2::DOUBLE ELSE 0 END - 0.8::DOUBLE * m + 0.3::DOUBLE * greatest(0, m - 6) ELSE y + 4.3::DOUBLE + 1.3::DOUBLE * r - 0.4::DOUBLE * greatest(0, r - log10(150.0::DOUBLE)) - 0.85::DOUBLE * m END / 0.3::DOUBLE AS z, m
+  FROM u CROSS JOIN (SELECT 1.0::DOUBLE + 0.01::DOUBLE * unnest(range(0, 751)) AS m)),
+x AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x, 2 / (1 + abs(z) / sqrt(2.0::DOUBLE) / 2) - 1 AS u FROM w),
+g AS (SELECT event, k, m, any_value(distances) AS distances, count(*) AS stations, count(*) FILTER (up) AS above, -ln(10.0::DOUBLE) * m + sum(CASE WHEN up THEN -0.5::DOUBLE * z * z - ln(0.3::DOUBLE) - 0.5::DOUBLE * ln(2 * pi()) WHEN z <= 0 THEN {_log_scaled_tail()} - x * x - ln(2.0::DOUBLE) ELSE ln(1 - exp({_log_scaled_tail()} - x * x) / 2) END) AS lp FROM x GROUP BY event, k, m),
+h AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY event, k)) AS p FROM g WHERE above > 0),
+c AS (SELECT event, k, any_value(distances) AS distances, any_value(stations) AS stations, any_value(above) AS above, sum(p * m) / sum(p) AS mean, sqrt(greatest(0, sum(p * m * m) / sum(p) - pow(sum(p * m) / sum(p), 2))) AS sd, sum(CASE WHEN m < 4.495 THEN p ELSE 0 END) / sum(p) AS p_small, sum(CASE WHEN m >= 5.495 THEN p ELSE 0 END) / sum(p) AS p_large FROM h GROUP BY event, k),
+i AS (SELECT event, list(struct_pack(k := k, mean := mean, n := stations) ORDER BY k) AS rows FROM c GROUP BY event),
+e AS (SELECT event, rows[1].k AS first_k, list_reduce(list_prepend(struct_pack(k := 0::BIGINT, mean := 0::DOUBLE, n := 0::BIGINT, said := NULL::DOUBLE, last := NULL::BIGINT, out := []::BIGINT[]), list_transform(rows, lambda z: struct_pack(k := z.k, mean := z.mean, n := z.n, said := NULL::DOUBLE, last := NULL::BIGINT, out := []::BIGINT[]))),
+  lambda a, z: CASE WHEN a.said IS NULL OR abs(z.mean - a.said) >= 0.1 OR z.n <> a.last THEN struct_pack(k := z.k, mean := z.mean, n := z.n, said := z.mean, last := z.n, out := list_append(a.out, z.k)) ELSE struct_pack(k := z.k, mean := z.mean, n := z.n, said := a.said, last := z.n, out := a.out) END).out AS out FROM i),
+b AS (SELECT event, first_k, unnest(out) AS k FROM e)
+SELECT c.event, n.t AS at, round(c.mean, 5) AS mean, round(c.sd, 4) AS sd, round(c.p_small, 4) AS p_small, round(1 - c.p_small - c.p_large, 4) AS p_medium, round(c.p_large, 4) AS p_large, c.stations, c.above, taus.tau, c.distances, round(fc.mean, 5) AS first, fn.t AS first_at
+FROM b JOIN c ON c.event = b.event AND c.k = b.k JOIN n ON n.event = b.event AND n.k = b.k JOIN taus ON taus.event = b.event AND taus.k = b.k JOIN c fc ON fc.event = b.event AND fc.k = first_k JOIN n fn ON fn.event = b.event AND fn.k = first_k"""
+
+
+@query("sizes_going_on", SIZES_SQL)
+def sizes_going_on(spark, sf_dir):
+    """Sizes of events as their orders come in (peaks, bounds by quiet stations, distances, places), said on change."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    case = key % 8
+    what = F.when(case == 0, "location").when(case == 1, "first_location").when(case == 2, "distance").when(case == 3, "quiet").otherwise("peak")
+    eighth = F.floor(key / 8) % 3
+    station = key % 5 + eighth
+    own, there = place(F.col("o_custkey") + station), place(key)
+    at = [F.when(case < 2, b).otherwise(a) for a, b in zip(own, there)]
+    told = o.select(
+        F.col("o_custkey").alias("event"), micros(F.col("o_orderdate").cast("timestamp")).alias("at"), key.alias("seq"), what.alias("what"), station.alias("station"), at[0].alias("lat"), at[1].alias("lon"), (1 + eighth).cast("double").alias("tau"),
+        F.pow(F.lit(10.0), F.col("o_totalprice") / 100_000 - 6).alias("peak"), ((1 + key % 50) / 1_000_000.0).alias("noise"), (10 + key % 300).cast("double").alias("km"), F.when(key % 9 > 0, (key % 40).cast("double")).alias("error"),
+    )
+    r = fold.ordered_fold(told, ["event"], ["at", "seq"], sizes.report_step("event", MODEL), f"event bigint, {sizes.REPORT}", dealt=True)
+    four = [F.round(F.col(c), 4).alias(c) for c in ("sd", "p_small", "p_medium", "p_large")]
+    return r.select("event", "at", F.round("mean", 5).alias("mean"), *four, "stations", "above", "tau", "distances", F.round("first", 5).alias("first"), "first_at")
+
+
+# ---- report --------------------------------------------------------------------------------------------------------------
+
+BANDS = [20.0, 50.0, 100.0, 200.0]
+
+
+def _hms_sql(us: str) -> str:
+    ms = f"(({us} + 500) // 1000 % 86400000)"
+    two = lambda x: f"lpad(({x})::VARCHAR, 2, '0')"
+    return f"{two(f'{ms} // 3600000')} || ':' || {two(f'{ms} % 3600000 // 60000')} || ':' || {two(f'{ms} % 60000 // 1000')} || '.' || {two(f'{ms} % 1000 // 10')}"
+
+
+def _tenths_sql(n: str, of: str) -> str:
+    return f"CASE WHEN {of} > 0 THEN ((20 * ({n}) + {of}) // (2 * {of}) // 10)::VARCHAR || '.' || ((20 * ({n}) + {of}) // (2 * {of}) % 10)::VARCHAR ELSE '-' END"
+
+
+_REVIEWED = f"""WITH {ALARMS}, av AS (SELECT alarm, min(us) AS first_us, max(us) AS declared, count(*) AS stations FROM al GROUP BY alarm),
+mt AS (SELECT alarm, cat_id, abs(first_us - cat_us) AS off, cat_us FROM av JOIN cat ON abs(first_us - cat_us) <= 600000000 QUALIFY row_number() OVER (PARTITION BY alarm ORDER BY abs(first_us - cat_us), cat_us, cat_id) = 1),
+aa AS (SELECT av.*, mt.cat_id AS ev FROM av LEFT JOIN mt USING (alarm)),
+ee AS (SELECT cat_id AS ev, cat_us, c.value AS size, {km_sql('39.0::DOUBLE', '32.0::DOUBLE', LAT.format(k='c.station'), LON.format(k='c.station'))} AS km FROM cat JOIN e c ON c.event_id = cat_id)"""
+_LINE = "rpad('{}', 34, ' ') || lpad(({})::VARCHAR, 9, ' ')"
+
+
+def _share_sql(name: str, n: str, of: str) -> str:
+    return f"{_LINE.format(name, n)} || lpad({_tenths_sql(f'100 * ({n})', of)} || '%', 9, ' ')"
+
+
+_NAMES = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(report._names(BANDS)))
+_SIZE = "(floor(size * 10 + 0.5)::BIGINT // 10)::VARCHAR || '.' || (floor(size * 10 + 0.5)::BIGINT % 10)::VARCHAR"
+REPORT = f"""{_REVIEWED}, sc AS (SELECT ee.*, x.declared FROM ee LEFT JOIN (SELECT ev, min(declared) AS declared FROM aa WHERE ev IS NOT NULL GROUP BY ev) x USING (ev)),
+n AS (SELECT (SELECT count(*) FROM aa) AS a, (SELECT count(ev) FROM aa) AS c, (SELECT count(*) FROM sc) AS e, (SELECT count(declared) FROM sc) AS d),
+b AS (SELECT {' + '.join(f'(size >= {x})::BIGINT' for x in BANDS)} AS band, count(*) AS n, count(declared) AS hit FROM sc GROUP BY band),
+dl AS (SELECT floor(median(declared - cat_us) / 1000 + 0.5)::BIGINT AS ms FROM sc WHERE declared IS NOT NULL)
+SELECT 0 AS section, 0 AS us, 0 AS id, {_LINE.format('alarms', 'a')} AS line FROM n
+UNION ALL SELECT 0, 1, 0, {_share_sql('correct (match an event)', 'c', 'a')} FROM n UNION ALL SELECT 0, 2, 0, {_share_sql('false (no event)', 'a - c', 'a')} FROM n
+UNION ALL SELECT 0, 3, 0, {_LINE.format('events', 'e')} FROM n UNION ALL SELECT 0, 4, 0, {_share_sql('detected', 'd', 'e')} FROM n UNION ALL SELECT 0, 5, 0, {_share_sql('missed', 'e - d', 'e')} FROM n
+UNION ALL SELECT 1, band, 0, rpad(CASE band {_NAMES} END, 34, ' ') || lpad(n::VARCHAR, 9, ' ') || lpad(hit::VARCHAR, 9, ' ') || lpad((n - hit)::VARCHAR, 9, ' ') FROM b
+UNION ALL SELECT 2, 0, 0, 'alarm after the event, median' || lpad({_tenths_sql('ms', '1000')}, 14, ' ') || ' s' FROM dl WHERE ms IS NOT NULL
+UNION ALL SELECT 3, cat_us, ev, {_hms_sql('cat_us')} || ' UTC' || lpad({_SIZE}, 8, ' ') || lpad(floor(km + 0.5)::BIGINT::VARCHAR, 7, ' ') || ' km' FROM sc WHERE declared IS NULL
+UNION ALL SELECT 4, declared, alarm, {_hms_sql('declared')} || ' UTC  #' || alarm::VARCHAR || '  ' || stations::VARCHAR || ' stations' FROM aa WHERE ev IS NULL"""
+DECLARED = f"""{_REVIEWED}, sn AS (SELECT alarm, list(struct_pack(us := us, station := station) ORDER BY us, station) AS seen FROM al GROUP BY alarm), h AS (SELECT *, floor((seen[2].us - seen[1].us) / 10000 + 0.5)::BIGINT AS cs FROM sn)
+SELECT aa.alarm, strftime(make_timestamp(declared), '%Y-%m-%d %H:%M:%S') AS alarm_utc, coalesce({_SIZE} || ' ' || {_hms_sql('cat_us')}, '') AS matched, array_to_string(list_transform(seen, lambda x: x.station::VARCHAR), ' ') AS stations,
+seen[1].station::VARCHAR AS station_a, seen[2].station::VARCHAR AS station_b, (cs // 100)::VARCHAR || '.' || lpad((cs % 100)::VARCHAR, 2, '0') AS dt_s FROM aa JOIN h USING (alarm) LEFT JOIN ee USING (ev)"""
+
+
+def _reviewed(spark, sf_dir):
+    """Alarms with the nearest catalogue row within ten minutes of their first detection, their detections, the catalogue."""
+    d = _alarms(spark, sf_dir)
+    a = d.groupBy("alarm").agg(F.min("us").alias("first_us"), F.max("us").alias("declared"), F.count("*").alias("stations"))
+    lat, lon = place(F.col("station"))
+    e = detections(spark, sf_dir).where("kind = 'purchase'").select(F.col("event_id").alias("event"), "us", F.col("value").alias("size"), geo.distance_km(F.lit(39.0), F.lit(32.0), lat, lon).alias("km"))
+    near = ranges.tolerance_join(a.select("alarm", "first_us"), e.select("event", F.col("us").alias("cat_us")), "first_us", "cat_us", 600 * S)
+    best = near.groupBy("alarm").agg(F.min(F.struct(F.abs(F.col("first_us") - F.col("cat_us")), "cat_us", "event"))["event"].alias("event"))
+    return a.join(best, "alarm", "left").select("alarm", "declared", "stations", "event"), d, e
+
+
+@query("alarm_report", REPORT)
+def alarm_report(spark, sf_dir):
+    """The report's lines: counts, bands of size, median delay, every missed event and every false alarm."""
+    a, _, e = _reviewed(spark, sf_dir)
+    return report.lines(a, e, BANDS)
+
+
+@query("alarm_table", DECLARED)
+def alarm_table(spark, sf_dir):
+    """Every declared alarm as the text columns of a table."""
+    return report.declared_table(*_reviewed(spark, sf_dir))
