@@ -7,7 +7,7 @@ import pytest
 
 from tests.conftest import SF, rows
 from tremolo.functions import inference
-from tremolo.operators import explain, fold, rates, release, report, sizes
+from tremolo.operators import explain, fold, rates, release, rematch, report, sizes
 from tremolo.plans import driver, review
 
 
@@ -281,3 +281,60 @@ def test_report_of_awkward_rows(spark, tmp_path):
     d = spark.createDataFrame([(1, 8, 100), (1, 7, 2_345_100), (3, 1, 5), (3, 2, None)], "alarm long, station long, us long")
     t = {r.alarm: tuple(r)[1:] for r in report.declared_table(a, d, e).collect()}
     assert t[1] == ("1970-01-01 01:00:00", "3.3 00:59:57.50", "8 7", "8", "7", "2.35") and t[3] == ("1970-01-01 03:00:00", "", "1", "1", "", "") and t[4][1:] == ("", "", "", "", "") and len(t) == 5
+
+
+def _km(a, b, c, d):
+    h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+    return 2 * 6371 * math.asin(math.sqrt(h))
+
+
+def test_rematch_against_loops(spark):
+    r = random.Random(5)
+    events = [(k, int(r.uniform(0, 4000) * 1e6), r.uniform(36, 40), r.uniform(26, 32), r.choice([None, 5.0, 60.0])) for k in range(80)]
+    dets, alarms = [], []
+    for a in range(60):
+        e = r.choice(events)
+        for s in range(r.choice([0, 1, 3])):
+            us = e[1] + int(r.uniform(0, 60) * 1e6)
+            dets.append((a, s, us, us + int(r.choice([1, 30]) * 1e6), r.uniform(36, 40), r.uniform(26, 32)))
+        alarms.append((a, e[2] + 0.1, e[3], e[1] + int(r.uniform(-4, 8) * 1e6)) if a % 2 else (a, None, None, None))
+    times = lambda km, depth: (km / 6 + depth / 50, km / 3 + 1)
+    credit, first = {}, {}
+    for a, lat, lon, origin in alarms:
+        mine, best = [d for d in dets if d[0] == a], None
+        for e, at, la, lo, depth in events:
+            depth, misses = 10.0 if depth is None else depth, []
+            if lat is not None and _km(la, lo, lat, lon) <= 30 and abs(origin - at) <= 5e6:
+                misses.append(round(abs(origin - at) / 100))
+            misses += [round(abs(d[2] - at - 1e6 * times(_km(la, lo, d[4], d[5]), depth)[0])) for d in mine]
+            if misses and min(misses) <= 20e6:
+                before = bool(mine) and all(d[3] < at + 1e6 * times(_km(la, lo, d[4], d[5]), depth)[1] for d in mine)
+                best = min(best or (1e18,), (min(misses), at, e, before))
+        credit[a] = best and best[2]
+        if best:
+            first.setdefault(best[2], (a, best[3]))
+    d = spark.createDataFrame(dets + [(0, 9, None, 1, 38.0, 28.0), (0, 9, 1, 1, None, 28.0)], "alarm long, station long, us long, declared long, lat double, lon double").repartition(3)
+    a = spark.createDataFrame(alarms, "alarm long, lat double, lon double, origin long")
+    e = spark.createDataFrame(events + [(500, None, 38.0, 28.0, 1.0)], "event long, event_us long, event_lat double, event_lon double, depth double").repartition(2)
+    got, scored = rematch.rematch(d, a, e, times, 20.0, 200.0)
+    assert {x.alarm: x.event for x in got.collect()} == credit and any(credit.values()) and None in credit.values()
+    s = {x.event: (x.alarm, x.detected, x.before) for x in scored.collect()}
+    assert s == {k: (*first[k][:1], True, first[k][1]) if k in first else (None, False, False) for k in [*range(80), 500]}
+    assert {x[2] for x in s.values() if x[1]} == {True, False}
+    none, missed = rematch.rematch(d.where("false"), a.where("false"), e, times, 20.0, 200.0)
+    assert none.count() == 0 and missed.where("detected").count() == 0 and missed.count() == 81
+
+
+def test_prediction_check(spark):
+    km = [("a", 1, 8.0), ("a", 2, 8.0), ("a", 3, 1.0), ("a", 3, 1.0), ("b", 1, 30.0), ("b", 2, 60.0), ("c", 1, 5.0), ("d", 1, None), ("d", 2, 3.0), ("e", 1, 9.0), ("e", 2, 5.0), (None, 1, 1.0), (None, 2, 2.0)]
+    s = spark.createDataFrame(km, "subset string, station long, km double").repartition(3)
+    o = spark.createDataFrame([("a", 5.0), ("b", 20.0), ("c", 1.0), ("d", 1.0), ("e", None), ("z", 3.0)], "subset string, observed_s double")
+    p, one = rematch.prediction_check(s, o)
+    assert sorted((r.subset, r.predicted_s, r.latency_s) for r in p.collect()) == [("a", round(math.hypot(8, 10) / 6, 6), round(5 - math.hypot(8, 10) / 6, 6)), ("b", round(math.hypot(60, 10) / 6, 6), round(20 - math.hypot(60, 10) / 6, 6))]
+    r = one.first()
+    assert r.subsets == 2 and abs(r.rho - 1) < 1e-12 and r.q25 < r["median"] < r.q75
+    assert [x.subset for x in rematch.worst(p, 1).collect()] == ["b"]
+    r = rematch.prediction_check(s, o.where("subset = 'a'"))[1].first()
+    assert (r.subsets, r.rho) == (1, None) and r["median"] == r.q25
+    r = rematch.prediction_check(s.where("false"), o)[1].first()
+    assert (r.subsets, r["median"], r.rho) == (0, None, None)

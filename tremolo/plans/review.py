@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tremolo.functions import geo
 from tremolo.functions.clock import micros
-from tremolo.operators import explain, fold, ranges, rates, release, report, sizes
+from tremolo.operators import explain, fold, ranges, rates, release, rematch, report, sizes
 from tremolo.plans.joins import CAT, PAIRS, _km, _pairs
 from tremolo.plans.registry import DETECTIONS, LAT, LON, detections, km_sql, place, query, r6, table
 from tremolo.streaming import folds
@@ -287,3 +287,77 @@ def alarm_report(spark, sf_dir):
 def alarm_table(spark, sf_dir):
     """Every declared alarm as the text columns of a table."""
     return report.declared_table(*_reviewed(spark, sf_dir))
+
+
+# ---- other travel times --------------------------------------------------------------------------------------------------
+
+_TABLE_SQL = "CASE WHEN {ray} < 100 THEN {ray} / 5.8 ELSE 6.0 + {ray} / 8.0 END", "CASE WHEN {ray} < 100 THEN {ray} / 3.4 ELSE 8.0 + {ray} / 4.6 END"
+_SPACE_SQL = "{ray} / 6.0", "{ray} / 3.5"
+
+
+def _table_times(km, depth):
+    ray = F.hypot(km, depth)
+    return F.when(ray < 100, ray / 5.8).otherwise(6.0 + ray / 8.0), F.when(ray < 100, ray / 3.4).otherwise(8.0 + ray / 4.6)
+
+
+def _space_times(km, depth):
+    ray = F.hypot(km, depth)
+    return ray / 6.0, ray / 3.5
+
+
+def _credit_sql(name: str, times: tuple[str, str]) -> str:
+    p, s = (t.format(ray="ray") for t in times)
+    return f"""{name}_m AS (SELECT alarm, ev, ev_us, least(min(round(abs(us - ev_us - ({p}) * 1000000))::BIGINT), min(CASE WHEN loc_km <= 60 AND abs(origin - ev_us) <= 60000000 THEN round(abs(origin - ev_us) / 100.0::DOUBLE)::BIGINT END)) AS miss, bool_and(us + 5000000 * (station % 4) < ev_us + ({s}) * 1000000) AS before FROM g GROUP BY ALL),
+{name}_b AS (SELECT * FROM {name}_m WHERE miss <= 90000000 QUALIFY row_number() OVER (PARTITION BY alarm ORDER BY miss, ev_us, ev) = 1),
+{name} AS (SELECT ev, min(alarm) AS alarm, arg_min(before, alarm) AS before FROM {name}_b GROUP BY ev)"""
+
+
+_ORIGIN = "CASE WHEN alarm % 3 > 0 THEN first_us - 10000000 END"
+REMATCH = f"""WITH {ALARMS}, av AS (SELECT alarm, min(us) AS first_us, arg_min(station, us) AS near FROM al GROUP BY alarm),
+ev AS (SELECT cat_id AS ev, cat_us AS ev_us, e.station AS place, (cat_id % 60)::DOUBLE AS depth FROM cat JOIN e ON e.event_id = cat_id),
+k AS (SELECT al.alarm, al.us, al.station, ev, ev_us, depth, {_ORIGIN} AS origin, {_km('al', 'c').replace('c.station', 'c.place')} AS km, {_km('n', 'c').replace('c.station', 'c.place').replace('n.station', 'n.near')} AS loc_km FROM al JOIN av n USING (alarm) JOIN ev c ON ev_us BETWEEN first_us - 1200000000 AND first_us + 1200000000),
+g AS (SELECT *, sqrt(km * km + depth * depth) AS ray FROM k),
+{_credit_sql('a', _SPACE_SQL)}, {_credit_sql('b', _TABLE_SQL)}
+SELECT ev.ev AS event, a.alarm AS alarm, coalesce(a.before, false) AS before, b.alarm AS table_alarm, coalesce(b.before, false) AS table_before, a.alarm IS DISTINCT FROM b.alarm AS changed FROM ev LEFT JOIN a ON a.ev = ev.ev LEFT JOIN b ON b.ev = ev.ev"""
+
+
+@query("rematch_times", REMATCH)
+def rematch_times(spark, sf_dir):
+    """Every catalogue row with its first alarm, and whether that came before the second arrival, by half-space and by table
+    times."""
+    lat, lon = place(F.col("station"))
+    d = _alarms(spark, sf_dir).withColumn("lat", lat).withColumn("lon", lon).withColumn("declared", F.col("us") + F.col("station") % 4 * 5 * S)
+    first = d.groupBy("alarm").agg(F.min(F.struct("us", "lat", "lon")).alias("f"))
+    a = first.select("alarm", "f.lat", "f.lon", F.when(F.col("alarm") % 3 > 0, F.col("f.us") - 10 * S).alias("origin"))
+    e = detections(spark, sf_dir).where("kind = 'purchase'").select(F.col("event_id").alias("event"), F.col("us").alias("event_us"), lat.alias("event_lat"), lon.alias("event_lon"), (F.col("event_id") % 60).alias("depth"))
+    own, table_ = (rematch.rematch(d, a, e, t, 90.0, 500.0, 60.0, 60.0)[1] for t in (_space_times, _table_times))
+    other = table_.select("event", F.col("alarm").alias("table_alarm"), F.col("before").alias("table_before"))
+    return own.join(other, "event").select("event", "alarm", "before", "table_alarm", "table_before", (~F.col("alarm").eqNullSafe(F.col("table_alarm"))).alias("changed"))
+
+
+_CENTRE = km_sql("39.0::DOUBLE", "32.0::DOUBLE", LAT.format(k="l_suppkey"), LON.format(k="l_suppkey"))
+CHECK = f"""WITH s AS (SELECT DISTINCT l_orderkey AS subset, l_suppkey AS station, {_CENTRE} AS km FROM lineitem),
+p AS (SELECT subset, round(sqrt(km * km + 100) / 6, 6) AS predicted_s, round(o_totalprice / 5000, 6) AS observed_s FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY subset ORDER BY km, station) = 2) JOIN orders ON o_orderkey = subset WHERE o_orderstatus <> 'P'),
+c AS (SELECT *, round(observed_s - predicted_s, 6) AS latency_s FROM p),"""
+RANKED = """r AS (SELECT *, rank() OVER (ORDER BY predicted_s) + (count(*) OVER (PARTITION BY predicted_s) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY observed_s) + (count(*) OVER (PARTITION BY observed_s) - 1) / 2.0::DOUBLE AS y FROM c)
+SELECT count(*) AS subsets, round(median(latency_s), 6) AS median, round(quantile_cont(latency_s, 0.25), 6) AS q25, round(quantile_cont(latency_s, 0.75), 6) AS q75, round(corr(x, y), 6) AS rho FROM r"""
+
+
+def _checked(spark, sf_dir):
+    lat, lon = place(F.col("l_suppkey"))
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("subset"), F.col("l_suppkey").alias("station"), geo.distance_km(F.lit(39.0), F.lit(32.0), lat, lon).alias("km"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("subset"), r6(F.col("o_totalprice") / 5000).alias("observed_s"))
+    return rematch.prediction_check(s, o)
+
+
+@query("prediction_check", CHECK + RANKED)
+def prediction_check(spark, sf_dir):
+    """Observed alerts of subsets of stations beside the arrival at the second nearest: latency and rank correlation."""
+    r = _checked(spark, sf_dir)[1]
+    return r.select("subsets", *[r6(F.col(c)).alias(c) for c in ("median", "q25", "q75", "rho")])
+
+
+@query("prediction_worst", CHECK[:-1] + " SELECT * FROM c ORDER BY abs(latency_s) DESC, subset LIMIT 5")
+def prediction_worst(spark, sf_dir):
+    """The five subsets that are furthest from the prediction (a top-k report)."""
+    return rematch.worst(_checked(spark, sf_dir)[0])
