@@ -221,17 +221,20 @@ def reorder_steps(channel: str, lo: str, hi: str, key: str, patience: int, most:
 
 def live_dedup_step(sequence: str, start: str, columns: list[str], bits: int = 24, channel: str | None = None):
     """Keep rows whose wrapping number is after the last kept one; a row that is not is kept, as a restarted numbering,
-    if its data are newer than all kept before of its ``channel`` (a key numbers the rows of all its channels)."""
+    if its data are newer than all kept before of its ``channel`` (a key numbers the rows of all its channels). Rows
+    without a time are never newer."""
     span, half = 1 << bits, 1 << (bits - 1)
 
     def step(state, rows):
         last, newest = state or (None, {})
         keep = []
         for n, t, c in zip(rows[sequence].tolist(), rows[start].tolist(), rows[channel].tolist() if channel else [None] * len(rows)):
-            ok = last is None or 1 <= (n - last) % span < half or c not in newest or t > newest[c]
+            ok = last is None or 1 <= (n - last) % span < half or (t == t and (c not in newest or t > newest[c]))
             keep.append(ok)
             if ok:
-                last, newest[c] = n, max(newest.get(c, t), t)
+                last = n
+                if t == t:
+                    newest[c] = max(newest.get(c, t), t)
         return (last, newest), rows.loc[keep, columns]
 
     return step

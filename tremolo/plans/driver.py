@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tremolo.plans import detectors, evaluation, intervals, joins, live, location, records, review, signals, stats  # noqa: F401
+from tremolo.plans import detectors, evaluation, intervals, joins, live, location, packets, records, review, signals, stats  # noqa: F401
 from tremolo.plans.joins import association_scorecard as flagship  # noqa: F401
 from tremolo.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -54,9 +54,10 @@ def replayed(df: DataFrame, order: str, pieces: int, name: str, close: DataFrame
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drained(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives for what is there now, through a file sink in the shared folder, read back as a table."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def drained(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """All that a stream gives for what is there now, through a file sink in the shared folder, read back as a table.
+    With the ``path`` of a run before it goes on from there."""
+    path = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     provider, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, rocks)  # typed state and timers need it
