@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremolo.functions.clock import micros
-from tremolo.operators import fold, parts, ranges
+from tremolo.operators import fold, parts, ranges, rules
 from tremolo.plans import intervals
 from tremolo.plans.registry import DETECTIONS, ORACLES, detections, query
+from tremolo.sources.shared import staged
 from tremolo.streaming import buffer, folds
 
 S, HOUR = 1_000_000, 3_600_000_000
@@ -173,6 +174,65 @@ def token_trigger(spark, sf_dir):
     return fold.ordered_fold(e, ["station"], ["us", "event_id"], fold.token_trigger_step("us", "p", "dt", ["station"], level=0.5, release=0.3), "station bigint, us bigint, restart boolean")
 
 
+GRID = rules.rule_grid(0.5, 0.3, (1, 2, 4), (5, 7), (1, 2))
+#: Onsets that count are so far apart; an arrival is looked for from a little before to a while after it.
+GATE, EARLY, LATE, LONG = 20 * HOUR, 3 * HOUR, 20 * HOUR, 60 * HOUR
+_FIRED = "STRUCT(us BIGINT, onset BIGINT, restart BOOLEAN)[]"
+
+
+def _fires(restart: str) -> str:
+    onset = f"(z.t - (least(z.d, 10) * {HOUR})::BIGINT)"
+    ok = f"{onset} - s.a.last >= {GATE}"
+    return f"struct_pack(armed := false, top := z.d, n := 0, last := CASE WHEN {ok} THEN {onset} ELSE s.a.last END, fired := CASE WHEN {ok} THEN list_append(s.a.fired, struct_pack(us := z.t, onset := {onset}, restart := {restart})) ELSE s.a.fired END)"
+
+
+def _stays(armed: str, top: str, n: str) -> str:
+    return f"struct_pack(armed := {armed}, top := {top}, n := {n}, last := s.a.last, fired := s.a.fired)"
+
+
+#: Each rule by itself as a fold of each station's list of tokens.
+RULES = f"""WITH {DETECTIONS}, g AS (SELECT row_number() OVER (ORDER BY below, since, tokens) AS rule, * FROM (SELECT unnest([1, 2, 4]) AS below) CROSS JOIN (SELECT unnest([5, 7]) AS since) CROSS JOIN (SELECT unnest([1, 2]) AS tokens) UNION ALL SELECT 0, 0, 0, 1000000000),
+k AS (SELECT station, us, event_id, value % 100 / 100 AS p, (event_id % 9)::DOUBLE AS d FROM e WHERE kind <> 'purchase'),
+l AS (SELECT station, list(struct_pack(t := us, p := p, d := d) ORDER BY us, event_id) AS rows FROM k GROUP BY station),
+i AS (SELECT rule, below, since, tokens, station, rows, struct_pack(armed := true, top := 0::DOUBLE, n := 0, last := -4611686018427387904::BIGINT, fired := []::{_FIRED}) AS a FROM l, g),
+f AS (SELECT rule, station, list_reduce(list_prepend(struct_pack(t := 0::BIGINT, p := 0::DOUBLE, d := 0::DOUBLE, a := a), list_transform(rows, lambda z: struct_pack(t := z.t, p := z.p, d := z.d, a := a))),
+  lambda s, z: struct_pack(t := z.t, p := z.p, d := z.d, a := CASE
+    WHEN z.p < 0.3 THEN {_stays("true", "0::DOUBLE", "0")}
+    WHEN z.p < 0.5 THEN {_stays("s.a.armed", "greatest(s.a.top, z.d)", "0")}
+    WHEN s.a.armed THEN {_fires("false")}
+    WHEN s.a.top >= since AND z.d <= below AND s.a.n + 1 >= tokens THEN {_fires("true")}
+    ELSE {_stays("false", "greatest(s.a.top, z.d)", "CASE WHEN s.a.top >= since AND z.d <= below THEN s.a.n + 1 ELSE 0 END")} END)).a.fired AS fired FROM i),
+r AS (SELECT rule, station, x.us AS us, x.onset AS onset, x.restart AS restart FROM (SELECT rule, station, unnest(fired) AS x FROM f))"""
+
+
+def _ruled(spark, sf_dir):
+    e = detections(spark, sf_dir)
+    t = e.where("kind <> 'purchase'").select("station", "event_id", "us", (F.col("value") % 100 / 100).alias("p"), (F.col("event_id") % 9).cast("double").alias("dt"))
+    a = e.where("kind = 'purchase'").select("station", F.col("event_id").alias("arrival"), F.col("us").alias("time"))
+    return t, a, rules.rule_triggers(t, ["station"], "us", "p", "dt", ["event_id"], GRID, GATE, HOUR)
+
+
+@query("rule_triggers", f"{RULES} SELECT rule::INT AS rule, station, us, onset, restart FROM r")
+def rule_triggers(spark, sf_dir):
+    """Triggers of thirteen token rules from one pass over each station's tokens."""
+    return _ruled(spark, sf_dir)[2].select("rule", "station", "us", "onset", "restart")
+
+
+@query(
+    "rule_scores",
+    f"""{RULES}, a AS (SELECT station, event_id AS arrival, us AS time FROM e WHERE kind = 'purchase'),
+s AS (SELECT g.rule, EXISTS (SELECT 1 FROM r WHERE r.rule = g.rule AND r.station = a.station AND r.us BETWEEN a.time - {EARLY} AND a.time + {LATE}) AS hit, EXISTS (SELECT 1 FROM k WHERE k.station = a.station AND k.p >= 0.5 AND k.us BETWEEN a.time - {EARLY} AND a.time + {LATE}) AS reached FROM a, g),
+o AS (SELECT rule, count(*) AS arrivals, count(*) FILTER (hit) AS detected, count(*) FILTER (NOT hit AND NOT reached) AS never_reached, count(*) FILTER (NOT hit AND reached) AS not_rearmed FROM s GROUP BY rule),
+u AS (SELECT rule, count(*) AS triggers, count(*) FILTER (restart) AS restarts, count(*) FILTER (NOT EXISTS (SELECT 1 FROM a WHERE a.station = r.station AND r.us BETWEEN a.time - {EARLY} AND a.time + {LONG})) AS unmatched FROM r GROUP BY rule)
+SELECT g.rule::INT AS rule, coalesce(arrivals, 0) AS arrivals, coalesce(detected, 0) AS detected, coalesce(never_reached, 0) AS never_reached, coalesce(not_rearmed, 0) AS not_rearmed, coalesce(triggers, 0) AS triggers, coalesce(restarts, 0) AS restarts, coalesce(unmatched, 0) AS unmatched, (SELECT count(*) FROM k) AS tokens FROM g LEFT JOIN o USING (rule) LEFT JOIN u USING (rule)""",
+)
+def rule_scores(spark, sf_dir):
+    """What thirteen token rules detect of the arrivals, what they miss and why, and their triggers that no arrival explains."""
+    t, a, fired = _ruled(spark, sf_dir)
+    fired = staged(fired, "rule-triggers")
+    return rules.rule_scores(t, a, fired, "station", "us", "p", GRID, EARLY, LATE, LONG)
+
+
 @query("scheduled_jobs", f"WITH {DETECTIONS} SELECT t.event_id, min(w.us) AS ran FROM e t LEFT JOIN e w ON w.station = t.station AND w.us >= t.us + {HOUR} WHERE t.kind = 'error' GROUP BY t.event_id")
 def scheduled_jobs(spark, sf_dir):
     """Jobs that run when their station's data reach their end: the first row an hour or more after the trigger, however
