@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremolo.functions import arrays, geo
-from tremolo.operators import fold, grid, locate
+from tremolo.operators import coverage, fold, grid, locate
 from tremolo.plans.joins import CAT, PAIRS, _pairs
 from tremolo.plans.registry import LAT, LON, detections, km_sql, place, query, r6, table
 from tremolo.plans.signals import X, _long, _sql, _x
+from tremolo.sources.shared import staged
 
 #: Alarms of the detections of one kind, which are rare enough for their stations' times to overlap by chance only.
 ALARM = f"""WITH {CAT.replace("kind <> 'purchase'", "kind = 'error'")}, {PAIRS}, m AS (SELECT a_id, a_station AS station, a_us AS us, a_id AS id FROM q UNION SELECT a_id, b_station, b_us, b_id FROM q),
@@ -234,3 +235,45 @@ def network_coverage(spark, sf_dir):
     first = d.groupBy("node", "subset").agg(F.min(F.struct("km", "s_suppkey")).alias("a"))
     second = d.join(first, ["node", "subset"]).where(F.struct("km", "s_suppkey") != F.col("a")).groupBy("node", "subset").agg(F.min("km").alias("km"))
     return second.groupBy("subset").agg(F.count("*").alias("covered"), r6(F.avg(geo.travel_time(F.col("km"), 10.0, 6.0) + 3)).alias("alert_s"), r6(F.max("km")).alias("worst_km"))
+
+
+REACH = 300.0
+_FAR = f"""WITH g AS (SELECT a * 13 + b AS node, 36.0::DOUBLE + a * 0.5::DOUBLE AS la, 26.0::DOUBLE + b::DOUBLE AS lo FROM (SELECT unnest(range(0, 13)) AS a), (SELECT unnest(range(0, 13)) AS b)),
+v AS (SELECT round_even(({LAT.format(k="c_custkey")} - 36) * 2, 0)::BIGINT * 13 + round_even({LON.format(k="c_custkey")} - 26, 0)::BIGINT AS node, count(*)::DOUBLE AS weight FROM customer GROUP BY 1),
+n AS (SELECT g.*, coalesce(weight, 0) AS w FROM g LEFT JOIN v USING (node)),
+s AS (SELECT s_nationkey AS subset, s_suppkey AS station, {LAT.format(k="s_suppkey")} AS sa, {LON.format(k="s_suppkey")} AS so FROM supplier),
+p AS (SELECT * FROM (SELECT subset, station, node, w, la, {km_sql("sa", "so", "la", "lo")} AS km, (so - lo) * 111.32::DOUBLE * cos(radians(la)) AS dx, (sa - la) * 110.57::DOUBLE AS dy FROM s, n) WHERE km <= {REACH}),
+t AS (SELECT *, sqrt(km * km + 100) AS hyp, ((degrees(atan2(dx, dy)) + 360) % 360) AS az FROM p),
+"""
+GEOMETRY = (
+    _FAR
+    + """k AS (SELECT subset, count(*) AS k FROM s GROUP BY subset),
+z AS (SELECT *, az - lag(az) OVER (PARTITION BY subset, node ORDER BY az, station) AS step FROM t),
+m AS (SELECT subset, node, w, count(*) AS n, list_sort(list(hyp / 6))[2] + 2 AS alert, max(step) AS step, min(az) + 360 - max(az) AS shut,
+  sum(dx * dx / hyp / hyp) * c1 + 1e-12 - pow(sum(-dx / hyp) * c2, 2) / (count(*) * c3 + 1e-12) AS a, sum(dy * dy / hyp / hyp) * c1 + 1e-12 - pow(sum(-dy / hyp) * c2, 2) / (count(*) * c3 + 1e-12) AS d,
+  sum(dx * dy / hyp / hyp) * c1 - sum(-dx / hyp) * c2 * sum(-dy / hyp) * c2 / (count(*) * c3 + 1e-12) AS b
+  FROM z, (SELECT 1 / pow(1.8, 2) + 1 / pow(1.75, 2) AS c1, 1 / (6 * pow(0.3, 2)) + 1 / (3.5 * pow(0.5, 2)) AS c2, 1 / pow(0.3, 2) + 1 / pow(0.5, 2) AS c3) GROUP BY subset, node, w, c1, c2, c3 HAVING count(*) >= 2),
+e AS (SELECT *, sqrt(5.991 / greatest((a + d - sqrt(pow(a - d, 2) + 4 * b * b)) / 2, 1e-12)) AS err FROM m),
+o AS (SELECT *, sum(w) OVER (PARTITION BY subset ORDER BY err, node ROWS UNBOUNDED PRECEDING) AS up, sum(w) OVER (PARTITION BY subset) AS all_w FROM e WHERE w > 0),
+l AS (SELECT subset, min(err) AS location_km FROM o WHERE up >= all_w / 2 GROUP BY subset),
+r AS (SELECT subset, sum(w) AS w, sum(w * alert) / sum(w) AS alert_s, sum(w * sqrt(greatest(pow(3.5 * alert, 2) - 100, 0))) / sum(w) AS blind_km, sum(w * CASE WHEN n = k THEN greatest(step, shut) ELSE step END) / sum(w) AS gap_deg, sum(w * greatest(step, shut)) / sum(w) AS round_deg FROM e JOIN k USING (subset) GROUP BY subset HAVING sum(w) > 0),
+x AS (SELECT s.subset, s.station AS lost, t.node, any_value(t.w) AS w, list_sort(list(t.hyp / 6))[2] + 2 AS alert FROM s JOIN t ON t.subset = s.subset AND t.station <> s.station GROUP BY ALL HAVING count(*) >= 2),
+y AS (SELECT s.subset, s.station, coalesce(sum(x.w), 0) AS w, CASE WHEN sum(x.w) > 0 THEN sum(x.w * x.alert) / sum(x.w) END AS alert FROM s LEFT JOIN x ON x.subset = s.subset AND x.lost = s.station GROUP BY ALL),
+q AS (SELECT subset, min(w) AS least, max(alert) AS latest FROM y GROUP BY subset)
+SELECT subset, k, round(coalesce(r.w, 0) / tot, 6) AS coverage, round(alert_s, 6) AS alert_s, round(blind_km, 6) AS blind_km, round(location_km, 3) AS location_km, round(gap_deg, 6) AS gap_deg, round(round_deg, 6) AS round_deg,
+  CASE WHEN k > 2 THEN round(least / tot, 6) ELSE 0 END::DOUBLE AS worst_coverage, CASE WHEN k > 2 THEN round(greatest(latest, alert_s), 6) END AS worst_alert_s
+FROM k LEFT JOIN r USING (subset) LEFT JOIN l USING (subset) JOIN q USING (subset), (SELECT sum(w) AS tot FROM n)"""
+)
+
+
+@query("network_geometry", GEOMETRY)
+def network_geometry(spark, sf_dir):
+    """How well each nation's stations watch a grid that is weighted by what has happened near its nodes."""
+    c = table(spark, sf_dir, "customer").select(*(x.alias(n) for x, n in zip(place(F.col("c_custkey")), ("lat", "lon"))))
+    v = c.groupBy((F.rint((F.col("lat") - 36) * 2) * 13 + F.rint(F.col("lon") - 26)).cast("long").alias("node")).agg(F.count("*").cast("double").alias("weight"))
+    g = spark.range(169).select(F.col("id").alias("node"), (36.0 + F.floor(F.col("id") / 13) * 0.5).alias("lat"), (26.0 + F.col("id") % 13).cast("double").alias("lon"))
+    nodes = staged(g.join(v, "node", "left").fillna(0.0), "nodes")
+    lat, lon = place(F.col("s_suppkey"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("subset"), F.col("s_suppkey").alias("station"), lat.alias("lat"), lon.alias("lon"))
+    r = coverage.subset_scores(staged(coverage.node_geometry(s, nodes, reach=REACH), "geometry"), s, nodes)
+    return r.select("subset", "k", *[F.round(c, 3 if c == "location_km" else 6).alias(c) for c in r.columns[2:]])
