@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tremolo.functions import geo, inference
-from tremolo.operators import ranges, regression, stats
+from tremolo.operators import ranges, regression, settings, stats
 from tremolo.plans.joins import CAT, MATCH, PAIRS, _catalogue, _detections, _km, _matched, _pairs
 from tremolo.plans.registry import DETECTIONS, LAT, LON, detections, km_sql, place, query, r6, table
+from tremolo.sources.shared import staged
 
 S, HOUR, DAY = 1_000_000, 3_600_000_000, 86_400_000_000
 
@@ -257,6 +258,61 @@ def matched_pick(spark, sf_dir):
     return x.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("off", "setting"))).where("k <= 3").select("source", "setting", "unmatched", "k")
 
 
+#: Settings of three detectors on seven networks, with their alarms and those on quiet windows.
+COUNTS = "SELECT l_linenumber::VARCHAR AS net, l_returnflag AS detector, l_suppkey % 97 AS place, l_suppkey % 89 / 8.0::DOUBLE AS level, count(*) FILTER (l_discount >= 0.05) - 0.25::DOUBLE * count(*) FILTER (l_discount = 0) AS corrected, count(*) FILTER (l_tax >= 0.06) AS unmatched, count(*) FILTER (l_tax = 0.08 AND l_quantity > 25) AS quiet FROM lineitem GROUP BY ALL"
+
+
+def _counts(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")
+    corrected = F.count_if(F.expr("l_discount >= 0.05")) - 0.25 * F.count_if(F.expr("l_discount = 0"))
+    keys = [F.col("l_linenumber").cast("string").alias("net"), F.col("l_returnflag").alias("detector"), (F.col("l_suppkey") % 97).alias("place"), (F.col("l_suppkey") % 89 / 8.0).alias("level")]
+    return l.groupBy(*keys).agg(corrected.alias("corrected"), F.count_if(F.expr("l_tax >= 0.06")).alias("unmatched"), F.count_if(F.expr("l_tax = 0.08 and l_quantity > 25")).alias("quiet"))
+
+
+CHOICES = f"""WITH c AS ({COUNTS}), s AS (SELECT net || detector AS source, place::VARCHAR || ' ' || level::VARCHAR AS setting, level, corrected, unmatched, CASE WHEN detector <> 'A' THEN quiet END AS quiet FROM c), b AS (SELECT quantile_disc(unmatched, 0.3) AS u, quantile_disc(corrected, 0.7) AS k FROM s),
+a AS (SELECT *, unmatched <= u AS few, corrected >= k AS good, quiet <= 1 AS still FROM s, b),
+r AS (SELECT 'equal_unmatched' AS rule, row_number() OVER (ORDER BY corrected DESC, unmatched, level DESC, source, setting) AS n, * FROM a WHERE few UNION ALL SELECT 'equal_detections', row_number() OVER (ORDER BY unmatched, corrected DESC, source, setting), * FROM a WHERE good
+  UNION ALL SELECT 'equal_quiet', row_number() OVER (ORDER BY corrected DESC, quiet, unmatched, source, setting), * FROM a WHERE still UNION ALL SELECT 'best_of_source', row_number() OVER (PARTITION BY source ORDER BY corrected DESC, unmatched, setting), * FROM a WHERE few),
+o AS (SELECT * FROM (SELECT unnest(['equal_unmatched', 'equal_detections', 'equal_quiet']) AS rule) LEFT JOIN (SELECT * FROM r WHERE rule <> 'best_of_source' AND n = 1) USING (rule)),
+p AS (SELECT 'best_of_source' AS rule, d.source, r.* EXCLUDE (rule, source) FROM (SELECT DISTINCT source FROM s) d LEFT JOIN (SELECT * FROM r WHERE rule = 'best_of_source' AND n = 1) r USING (source))
+SELECT rule, source, setting, level, corrected, unmatched, quiet FROM o UNION ALL SELECT rule, source, setting, level, corrected, unmatched, quiet FROM p"""
+
+
+@query("setting_choices", CHOICES)
+def setting_choices(spark, sf_dir):
+    """The settings chosen under equal alarms, equal detections and equal quiet alarms, and the best of every source."""
+    c = staged(_counts(spark, sf_dir), "settings")
+    s = c.select(F.concat("net", "detector").alias("source"), F.concat(F.col("place").cast("string"), F.lit(" "), F.col("level").cast("string")).alias("setting"), "level", "corrected", "unmatched", F.when(F.col("detector") != "A", F.col("quiet")).alias("quiet"))
+    b = s.agg(F.expr("percentile_disc(0.3) within group (order by unmatched)").alias("u"), F.expr("percentile_disc(0.7) within group (order by corrected)").alias("k")).first()
+    return settings.choices(s, b.u, b.k, 1)
+
+
+def _ratio_sql(column: str, rule: str) -> str:
+    """The closest of every family's settings for each of the first detector's, by looking at all of them."""
+    return f"""SELECT net, learned, family, '{rule}' AS rule, setting, count, CASE WHEN zero THEN 'zero count' WHEN wanted / count BETWEEN 0.8 AND 1.25 THEN 'matched' ELSE printf('not matched (ratio %.2f)', round_even(wanted * 100 / count, 0) / 100) END AS flag, ties > 1 AS tie FROM (
+SELECT *, row_number() OVER (PARTITION BY net, learned, family ORDER BY off, place, setting) AS k, count(*) OVER (PARTITION BY net, learned, family, off) AS ties FROM (
+SELECT m.net, m.learned, o.family, o.place, o.setting, m.{column} AS wanted, o.{column} AS count, m.{column} = 0 OR o.most = 0 AS zero, CASE WHEN m.{column} = 0 OR o.most = 0 THEN abs(m.{column} - o.{column}) WHEN o.{column} > 0 THEN round(abs(ln(m.{column} / o.{column})), 11) END AS off
+FROM m JOIN (SELECT *, max({column}) OVER (PARTITION BY net, family) AS most FROM o) o USING (net)) WHERE off IS NOT NULL) WHERE k = 1"""
+
+
+MATCHED = f"""WITH c AS ({COUNTS}), d AS (SELECT *, place * 1000 + (level * 8)::BIGINT AS spot FROM c), m AS (SELECT net, spot AS learned, unmatched, quiet FROM d WHERE detector = 'R'), o AS (SELECT net, detector AS family, spot AS place, spot AS setting, unmatched, quiet FROM d WHERE detector <> 'R'),
+b AS (SELECT m.net, m.learned, o.family, max(o.unmatched) FILTER (o.unmatched < m.unmatched) AS low, min(o.unmatched) FILTER (o.unmatched > m.unmatched) AS high FROM m JOIN o USING (net) GROUP BY ALL),
+t AS (SELECT b.*, o.setting, o.unmatched FROM b JOIN o ON o.net = b.net AND o.family = b.family AND o.unmatched IN (low, high) WHERE low IS NOT NULL AND high IS NOT NULL)
+{_ratio_sql("unmatched", "matched_unmatched")} UNION ALL {_ratio_sql("quiet", "matched_quiet")}
+UNION ALL SELECT net, learned, family, 'bracket_below', min(setting), low, 'bracket', count(*) > 1 FROM t WHERE unmatched = low GROUP BY net, learned, family, low
+UNION ALL SELECT net, learned, family, 'bracket_above', max(setting), high, 'bracket', count(*) > 1 FROM t WHERE unmatched = high GROUP BY net, learned, family, high"""
+
+
+@query("matched_settings", MATCHED)
+def matched_settings(spark, sf_dir):
+    """For every setting of one detector the settings of the others with as many alarms by ratio, on all and on quiet
+    windows, and those next below and above."""
+    c = staged(_counts(spark, sf_dir).withColumn("at", F.col("place") * 1000 + (F.col("level") * 8).cast("long")), "settings")
+    m = c.where("detector = 'R'").select("net", F.col("at").alias("learned"), "unmatched", "quiet")
+    o = c.where("detector <> 'R'").select("net", F.col("detector").alias("family"), F.col("at").alias("place"), F.col("at").alias("setting"), "unmatched", "quiet")
+    return settings.matched(m, o, ["net"], "unmatched", "matched_unmatched", bracket=True).unionByName(settings.matched(m, o, ["net"], "quiet", "matched_quiet"))
+
+
 GAIN = "f AS (SELECT m.mask, bit_count(m.mask) AS size, count(DISTINCT c.c_nationkey) AS found FROM (SELECT unnest(range(1, 32)) AS mask) m JOIN customer c ON (m.mask >> (c.c_nationkey % 5)::BIGINT) & 1 = 1 AND c.c_acctbal > 0 GROUP BY ALL)"
 
 
