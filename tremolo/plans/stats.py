@@ -330,6 +330,13 @@ def subset_powerset(spark, sf_dir):
     return f.groupBy("size").agg(F.max_by("mask", F.struct(F.col("found"), -F.col("mask"))).alias("best"), F.max("found").alias("found"), F.count("*").alias("subsets"))
 
 
+@query("subset_top_three", f"WITH {GAIN}, r AS (SELECT *, row_number() OVER (PARTITION BY size ORDER BY found DESC, mask) AS place FROM f) SELECT size::BIGINT AS size, place, mask, found FROM r WHERE place <= 3")
+def subset_top_three(spark, sf_dir):
+    """The three best subsets of each size."""
+    place = F.row_number().over(W.partitionBy("size").orderBy(F.desc("found"), "mask"))
+    return _subsets(spark, sf_dir).withColumn("place", place).where("place <= 3").select(F.col("size").cast("long").alias("size"), "place", "mask", "found")
+
+
 @query(
     "marginal_gain",
     f"WITH {GAIN}, b AS (SELECT unnest(range(0, 5)) AS bit), w AS (SELECT b.bit, f.found - coalesce(g.found, 0) AS gain FROM b JOIN f ON (f.mask >> b.bit) & 1 = 1 LEFT JOIN f g ON g.mask = f.mask - (1::BIGINT << b.bit)) SELECT bit, count(*) AS n, round(avg(gain), 6) AS gain FROM w GROUP BY bit",
