@@ -13,6 +13,7 @@ COPIES, CLOSER = 3, 100
 #: By query, the rows that its largest step may make for each row of events.
 LINEAR = {
     "catalogue_match_best": 6,
+    "nearest_pick": 6,
     # next
 }
 
