@@ -14,6 +14,7 @@ COPIES, CLOSER = 3, 100
 LINEAR = {
     "catalogue_match_best": 6,
     "nearest_pick": 6,
+    "paired_latency": 6,
     # next
 }
 
