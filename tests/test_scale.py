@@ -15,6 +15,7 @@ LINEAR = {
     "catalogue_match_best": 6,
     "nearest_pick": 6,
     "paired_latency": 6,
+    "score_left": 6,
     # next
 }
 
