@@ -16,6 +16,7 @@ LINEAR = {
     "nearest_pick": 6,
     "paired_latency": 6,
     "score_left": 6,
+    "first_after_latency": 6,
     # next
 }
 
