@@ -17,6 +17,7 @@ LINEAR = {
     "paired_latency": 6,
     "score_left": 6,
     "first_after_latency": 6,
+    "station_level": 6,
     # next
 }
 
