@@ -18,6 +18,7 @@ LINEAR = {
     "score_left": 6,
     "first_after_latency": 6,
     "station_level": 6,
+    "quiet_filter": 4,
     # next
 }
 
