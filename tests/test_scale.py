@@ -19,6 +19,7 @@ LINEAR = {
     "first_after_latency": 6,
     "station_level": 6,
     "quiet_filter": 4,
+    "visible_arrivals": 2,
     # next
 }
 
