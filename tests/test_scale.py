@@ -20,6 +20,7 @@ LINEAR = {
     "station_level": 6,
     "quiet_filter": 4,
     "visible_arrivals": 2,
+    "external_candidates": 6,
     # next
 }
 
