@@ -21,6 +21,7 @@ LINEAR = {
     "quiet_filter": 4,
     "visible_arrivals": 2,
     "external_candidates": 6,
+    "association_scorecard": 6,
     # next
 }
 
