@@ -22,6 +22,7 @@ LINEAR = {
     "visible_arrivals": 2,
     "external_candidates": 6,
     "association_scorecard": 6,
+    "chance_probability": 6,
     # next
 }
 
