@@ -23,6 +23,7 @@ LINEAR = {
     "external_candidates": 6,
     "association_scorecard": 6,
     "chance_probability": 6,
+    "classify_unmatched": 6,
     # next
 }
 
