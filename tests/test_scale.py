@@ -24,6 +24,7 @@ LINEAR = {
     "association_scorecard": 6,
     "chance_probability": 6,
     "classify_unmatched": 6,
+    "declare_events": 6,
     # next
 }
 
