@@ -25,6 +25,7 @@ LINEAR = {
     "chance_probability": 6,
     "classify_unmatched": 6,
     "declare_events": 6,
+    "associated_stations": 6,
     # next
 }
 
