@@ -26,6 +26,7 @@ LINEAR = {
     "classify_unmatched": 6,
     "declare_events": 6,
     "associated_stations": 6,
+    "exact_pair": 6,
     # next
 }
 
