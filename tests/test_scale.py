@@ -27,6 +27,7 @@ LINEAR = {
     "declare_events": 6,
     "associated_stations": 6,
     "exact_pair": 6,
+    "best_pair": 12,
     # next
 }
 
