@@ -28,6 +28,7 @@ LINEAR = {
     "associated_stations": 6,
     "exact_pair": 6,
     "best_pair": 12,
+    "explain_k_of_n": 12,
     # next
 }
 
