@@ -75,3 +75,9 @@ def test_pairs_of_events_and_sites_are_not_shuffled(spark, dense):
     got = df.toPandas()
     assert "hashpartitioning(cat_id" not in df._jdf.queryExecution().toString()
     assert rows(got) == rows(duck(driver.ORACLES["warnings_by_site"], dense))
+
+
+def test_errors_of_pairs_are_counted_not_collected(spark, dense):
+    df = driver.QUERIES["error_stats"](spark, dense)
+    assert rows(df.toPandas()) == rows(duck(driver.ORACLES["error_stats"], dense))
+    assert "median(abs" not in df._jdf.queryExecution().toString()
