@@ -29,6 +29,7 @@ LINEAR = {
     "exact_pair": 6,
     "best_pair": 12,
     "explain_k_of_n": 12,
+    "warning_summary": 4,
     # next
 }
 
