@@ -30,6 +30,7 @@ LINEAR = {
     "best_pair": 12,
     "explain_k_of_n": 12,
     "warning_summary": 4,
+    "shift_outcomes": 12,
     # next
 }
 
