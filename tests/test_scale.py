@@ -83,3 +83,24 @@ def test_errors_of_pairs_are_counted_not_collected(spark, dense):
     df = driver.QUERIES["error_stats"](spark, dense)
     assert rows(df.toPandas()) == rows(duck(driver.ORACLES["error_stats"], dense))
     assert "median(abs" not in df._jdf.queryExecution().toString()
+
+
+def test_closest_pairs_meet_their_neighbours_only(spark):
+    """Two groups of sites, some at one place, one of them of two far sites: the closest pair as of all pairs."""
+    from pyspark.sql import functions as F
+
+    from tremolo.functions import geo
+    from tremolo.operators import ranges
+    from tremolo.plans.registry import place
+
+    k = F.col("id") * 37
+    lat, lon = place(k)
+    s = spark.range(3000).select((F.col("id") % 1).alias("g"), k.alias("k"), lat.alias("lat"), lon.alias("lon"))
+    s = s.unionByName(spark.createDataFrame([(1, 5, 10.0, 10.0), (1, 9, -60.0, 170.0), (2, 1, 1.0, 1.0), (3, 4, 2.0, 2.0), (3, 2, 2.0, 2.0), (3, 3, 2.0, 2.0)], "g bigint, k bigint, lat double, lon double")).localCheckpoint()
+    df = ranges.closest_pairs(s, "g", "k")
+    got = {r.g: (r.a, r.b, r.km) for r in df.collect()}
+    assert most_rows(df) <= 30 * 3006
+    a, b = s.select("g", F.col("k").alias("a"), F.col("lat").alias("x"), F.col("lon").alias("y")), s.select("g", F.col("k").alias("b"), "lat", "lon")
+    pairs = a.join(b, "g").where("a < b").withColumn("km", geo.distance_km(F.col("x"), F.col("y"), F.col("lat"), F.col("lon")))
+    want = {r.g: (r.m.a, r.m.b, r.m.km) for r in pairs.groupBy("g").agg(F.min(F.struct("km", "a", "b")).alias("m")).collect()}
+    assert got == want and set(got) == {0, 1, 3}
