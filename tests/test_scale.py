@@ -104,3 +104,19 @@ def test_closest_pairs_meet_their_neighbours_only(spark):
     pairs = a.join(b, "g").where("a < b").withColumn("km", geo.distance_km(F.col("x"), F.col("y"), F.col("lat"), F.col("lon")))
     want = {r.g: (r.m.a, r.m.b, r.m.km) for r in pairs.groupBy("g").agg(F.min(F.struct("km", "a", "b")).alias("m")).collect()}
     assert got == want and set(got) == {0, 1, 3}
+
+
+def test_sizes_come_from_sums_of_parts(spark):
+    """An event's observations lie in several parts; no task takes them all, and the sizes are those of all."""
+    import numpy as np
+
+    from tremolo.operators import locate
+
+    k = np.arange(6000)
+    y, base, censored = 4.7 + k % 13 / 20, -0.3 * (1 + k % 3), k % 13 == 0
+    df = spark.createDataFrame([(7, float(a), float(b), bool(c)) for a, b, c in zip(y, base, censored)], "event bigint, y double, base double, censored boolean").repartition(5)
+    out = locate.size_of_events(df, "event")
+    plan = out._jdf.queryExecution().toString()
+    assert plan.index("FlatMapGroupsInPandas") < plan.index("MapInPandas", plan.index("FlatMapGroupsInPandas") + 30)
+    mean, sd, shares = locate.size_posterior(y, base, censored)
+    assert np.allclose(out.first()[1:], [6000, int((~censored).sum()), mean, sd, *shares], atol=1e-9)
