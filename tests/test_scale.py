@@ -120,3 +120,26 @@ def test_sizes_come_from_sums_of_parts(spark):
     assert plan.index("FlatMapGroupsInPandas") < plan.index("MapInPandas", plan.index("FlatMapGroupsInPandas") + 30)
     mean, sd, shares = locate.size_posterior(y, base, censored)
     assert np.allclose(out.first()[1:], [6000, int((~censored).sum()), mean, sd, *shares], atol=1e-9)
+
+
+def test_release_never_looks_at_all_stations():
+    """A network of many stations, half of them lagging, of which some leave and come back: a row may look at its own
+    station and at those that hold a message back, and what comes out is that of looking at all of them."""
+    from tremolo.operators import release
+
+    class Promises(dict):
+        def items(self):
+            raise AssertionError("looks at every station")
+
+    class Lagging(set):
+        def __iter__(self):
+            raise AssertionError("looks at every lagging station")
+
+    whole = release.Release(40)
+    whole.promised, whole.lagging = Promises(), Lagging()
+    out = [x for s in range(300) for x in whole.offer("hello", s, None, 0, None, 0)]
+    for k in range(3000):
+        s = k * 7 % 150 if k % 10 else k * 3 % 300
+        out += whole.offer("bye" if k % 97 == 0 else "hello" if k % 97 == 1 else "message", s, k, k, k, k + k % 5)
+    out += [x for s in range(300) for x in whole.offer("bye", s, None, 0, None, 4000)]
+    assert [x[1] for x in out if x[0] == "message"] == sorted({k for k in range(3000) if k % 97 > 1}) and {x[0] for x in out} == {"message", "lagging", "caught"}
