@@ -31,6 +31,8 @@ LINEAR = {
     "explain_k_of_n": 12,
     "warning_summary": 4,
     "shift_outcomes": 12,
+    "alarm_report": 6,
+    "alarm_table": 6,
     # next
 }
 

@@ -34,7 +34,8 @@ def lines(alarms: DataFrame, events: DataFrame, bands: list[float]) -> DataFrame
     without an event. Sections 0 to 2 are aggregates; 3 and 4 hold a line a row and stay distributed. A null size is in
     no band and shown as a question mark. Both tables are written once and read for each section. Empty tables give the counts, 0 and a dash, and no delay.
     """
-    alarms, s = staged(alarms, "report-alarms"), staged(scored(alarms, events), "report-events")
+    alarms = staged(alarms, "report-alarms")
+    s = staged(scored(alarms, events), "report-events")
     a = alarms.agg(F.count("*").alias("alarms"), F.count("event").alias("correct"))
     e = s.agg(F.count("*").alias("events"), F.count("alarm").alias("detected"))
     row = lambda n, name, v, of=None: F.struct(F.lit(n).cast("long").alias("us"), _padded(name, v, *([F.concat(tenths(100 * v, of), F.lit("%"))] if of is not None else [])).alias("line"))
@@ -85,11 +86,17 @@ def declared_table(alarms: DataFrame, detections: DataFrame, events: DataFrame)
     e = events.select("event", F.col("us").alias("event_us"), "size")
     j = alarms.join(e, "event", "left").join(d, "alarm", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<struct<us:bigint,station:bigint>>")))
     at = lambda k, c: F.get("seen", F.lit(k))[c]
-    hundredths = F.floor((at(1, "us") - at(0, "us")) / 10_000 + 0.5).cast("long")
+    names = F.array_join(F.transform("seen", lambda x: x["station"].cast("string")), " ")
+    return table_rows(j.select("alarm", "declared", "event_us", "size", names.alias("names"), at(0, "station").alias("a"), at(1, "station").alias("b"), (at(1, "us") - at(0, "us")).alias("apart")))
+
+
+def table_rows(alarms: DataFrame) -> DataFrame:
+    """The texts of ``declared_table`` from one row an alarm: alarm, declared, event_us and size (null: no event), names of
+    its stations, the first two (a, b) and the microseconds between them."""
+    hundredths = F.floor(F.col("apart") / 10_000 + 0.5).cast("long")
     difference = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
     text = lambda x: F.coalesce(x, F.lit(""))
-    size = _size()
-    return j.select(
-        "alarm", F.date_format(F.timestamp_micros("declared"), "yyyy-MM-dd HH:mm:ss").alias("alarm_utc"), text(F.when(F.col("event_us").isNotNull(), F.concat(size, F.lit(" "), hms(F.col("event_us"))))).alias("matched"),
-        F.array_join(F.transform("seen", lambda x: x["station"].cast("string")), " ").alias("stations"), text(at(0, "station").cast("string")).alias("station_a"), text(at(1, "station").cast("string")).alias("station_b"), text(difference).alias("dt_s"),
+    return alarms.select(
+        "alarm", F.date_format(F.timestamp_micros("declared"), "yyyy-MM-dd HH:mm:ss").alias("alarm_utc"), text(F.when(F.col("event_us").isNotNull(), F.concat(_size(), F.lit(" "), hms(F.col("event_us"))))).alias("matched"),
+        F.col("names").alias("stations"), text(F.col("a").cast("string")).alias("station_a"), text(F.col("b").cast("string")).alias("station_b"), text(difference).alias("dt_s"),
     )
