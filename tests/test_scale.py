@@ -34,6 +34,7 @@ LINEAR = {
     "alarm_report": 6,
     "alarm_table": 6,
     "rematch_times": 6,
+    "alarm_detections": 8,
     # next
 }
 
@@ -146,3 +147,23 @@ def test_release_never_looks_at_all_stations():
         out += whole.offer("bye" if k % 97 == 0 else "hello" if k % 97 == 1 else "message", s, k, k, k, k + k % 5)
     out += [x for s in range(300) for x in whole.offer("bye", s, None, 0, None, 4000)]
     assert [x[1] for x in out if x[0] == "message"] == sorted({k for k in range(3000) if k % 97 > 1}) and {x[0] for x in out} == {"message", "lagging", "caught"}
+
+
+def test_alarms_put_together_without_pairs_as_rows(spark, dense):
+    """Every alarm's choice is that of its candidates among all pairs."""
+    import numpy as np
+
+    from tremolo.operators import events, partners
+    from tremolo.plans.joins import _placed
+
+    e = _placed(spark, dense).toPandas()
+    us = e.us.to_numpy()
+    want = []
+    for k, r in enumerate(e.itertuples()):
+        km = partners.km_between(np.full(len(e), r.lat), np.full(len(e), r.lon), e.lat.to_numpy(), e.lon.to_numpy())
+        c = e[(e.id > r.id) & (e.station != r.station) & (km <= 150) & (np.abs(us - r.us) <= (km / 6 + 3) * 1e6)]
+        if len(c):
+            ids = events.consistent_choice(c.assign(at=c.us / 1e6))
+            want.append((r.id, c.station.nunique(), None if ids is None else ",".join(map(str, ids))))
+    got = [tuple(r) for r in driver.QUERIES["alarm_detections"](spark, dense).collect()]
+    assert sorted(got) == sorted(want) and max(x[1] for x in want) > 1
