@@ -35,6 +35,7 @@ LINEAR = {
     "alarm_table": 6,
     "rematch_times": 6,
     "alarm_detections": 8,
+    "locate_first_arrivals": 6,
     # next
 }
 
