@@ -194,3 +194,10 @@ def test_alarms_explained_without_pairs_as_rows(spark, dense):
 
     want = explain.explain(d, c, phases, [(100.0, 180.0), (20.0, 4.0), (5.0, 1.0)], 60.0, 2, 2400.0, (0, 3600)).toPandas()
     assert len(got) > 1000 and rows(got) == rows(want) and got["best"].notna().any()
+
+
+def test_requests_are_not_shuffled(spark, dense):
+    df = driver.QUERIES["pick_requests"](spark, dense)
+    got = df.toPandas()
+    assert len(got) and rows(got) == rows(duck(driver.ORACLES["pick_requests"], dense))
+    assert "hashpartitioning(cat_id" not in df._jdf.queryExecution().toString() and "SortMergeJoin" not in df._jdf.queryExecution().toString()
