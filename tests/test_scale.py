@@ -90,6 +90,35 @@ def test_errors_of_pairs_are_counted_not_collected(spark, dense):
     assert "median(abs" not in df._jdf.queryExecution().toString()
 
 
+def test_errors_of_pairs_are_never_rows(spark, dense, monkeypatch):
+    from tremolo.operators import ranges
+
+    def no_pairs(*_, **__):
+        raise AssertionError("pairs are made")
+
+    monkeypatch.setattr(ranges, "tolerance_join", no_pairs)
+    assert rows(driver.QUERIES["error_stats"](spark, dense).toPandas()) == rows(duck(driver.ORACLES["error_stats"], dense))
+
+
+def test_middle_offsets_are_those_of_all_pairs(spark):
+    """Spans of one row, times on a span's edge, equal times, a key without a name and one that is out of reach."""
+    import numpy as np
+
+    from tremolo.operators import offsets
+
+    base = [0, 5, 60, 60, 119, 120, 1000]
+    of = {"a": [0, 3, 59, 60, 70, 130], "b": [10, 125], None: [55, 61, 990, 1010], "far": [500]}
+    b = spark.createDataFrame([(x,) for x in base], "at bigint")
+    r = spark.createDataFrame([(k, x) for k, v in of.items() for x in v], "kind string, at bigint")
+    spans = offsets.spans_of(b, r, 10, "kind")
+    got = {x["kind"]: x for x in offsets.sums(spans, "kind", 10, 4).collect() if x["n"]}
+    off = {k: np.array([y - x for x in base for y in v if abs(y - x) <= 10]) for k, v in of.items()}
+    off = {k: v for k, v in off.items() if len(v)}
+    assert {k: (x["n"], int(x["total"]), int(x["size"]), x["inside"], round(x["square"] * 1e12)) for k, x in got.items()} == {k: (len(v), v.sum(), abs(v).sum(), (abs(v) <= 4).sum(), (v * v).sum()) for k, v in off.items()}
+    middle = {k: tuple(np.sort(abs(v))[[(len(v) - 1) // 2, len(v) // 2]]) for k, v in off.items()}
+    assert offsets.middle(spans, "kind", 10, {k: len(v) for k, v in off.items()}) == middle
+
+
 def test_closest_pairs_meet_their_neighbours_only(spark):
     """Two groups of sites, some at one place, one of them of two far sites: the closest pair as of all pairs."""
     from pyspark.sql import functions as F

@@ -57,23 +57,6 @@ def interpolated_all(df: DataFrame, value: str, places: dict[str, float], on: li
     return value_counts(df, value, on).groupBy(*on).agg(*[quantile(q).alias(name) for name, q in places.items()])
 
 
-def median_of_many(df: DataFrame, value: str, low: float, high: float, on: list[str], parts: int = 4096) -> DataFrame:
-    """Exact medians by key of values in [low, high] that are too many to be ordered or written: they are counted in
-    ``parts`` bins where they are made, and once more one by one in the bins that hold the middle. ``df`` is read twice."""
-    known = df.where(F.col(value).isNotNull()).withColumn("__bin", F.least(F.floor((F.col(value) - low) * (parts / (high - low))), F.lit(parts - 1)).cast("int"))
-    bins = known.groupBy(*on, "__bin").agg(F.count("*").alias("__n"))
-    w = W.partitionBy(*on)
-    bins = bins.withColumn("__below", F.sum("__n").over(w.orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).withColumn("__all", F.sum("__n").over(w))
-    first, second = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
-    inside = lambda k: (F.col("__below") <= k) & (k < F.col("__below") + F.col("__n"))
-    middle = bins.where(inside(first) | inside(second)).select(*on, "__bin", "__below", "__all")
-    counts = known.join(F.broadcast(middle), [*on, "__bin"]).groupBy(*on, "__bin", "__below", "__all", value).agg(F.count("*").alias("__n"))
-    inner = W.partitionBy(*on, "__bin").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.withColumn("__below", F.col("__below") + F.sum("__n").over(inner) - F.col("__n"))
-    at = lambda k: F.max(F.when(inside(k), F.col(value)))
-    return counts.groupBy(*on).agg(((at(first) + at(second)) / 2).alias("median"))
-
-
 def mean_ranks(df: DataFrame, value: str, on: list[str] | None = None) -> DataFrame:
     """Distinct values with their rank; ties share the mean of their places."""
     return value_counts(df, value, on).withColumn("rank", F.col("below") + (F.col("n") + 1) / F.lit(2.0))
