@@ -155,6 +155,65 @@ def test_real_events_are_not_merged():
     assert events.merged(pd.concat([a, frame(at(38.2, 28.3, 50), True)[:2]])) is None  # beyond the window
 
 
+def test_merged_tries_few_grids(monkeypatch):
+    """The choices of random pairs as of whole grids, of which only those that may fit are searched."""
+    from tremolo.operators import grid
+
+    rng, searched, tried, merges = np.random.default_rng(5), [], [], 0
+    source = grid.Observed.source
+    monkeypatch.setattr(grid.Observed, "source", lambda self, *a: searched.append(1) or source(self, *a))
+
+    def plain(theirs, own, most_rms=1.0):
+        fits = lambda use: tried.append(1) or locate.one_source_rms(pd.concat(use).reset_index(drop=True))
+        shared = sorted(set(theirs.station) & set(own.station))
+        give_up = 1 if len(theirs) >= 4 and fits([theirs]) <= most_rms else len(theirs)
+        for picked in itertools.product([False, True], repeat=len(shared)):
+            late = {s for s, p in zip(shared, picked) if p}
+            a, b = theirs[~theirs.station.isin(late)], own[~own.station.isin(set(shared) - late)]
+            for k in range(-1, len(a) + len(b)):
+                x, y = a.drop(a.index[k : k + 1]) if 0 <= k < len(a) else a, b.drop(b.index[k - len(a) : k - len(a) + 1]) if k >= len(a) else b
+                if len(late) + len(a) - len(x) <= give_up and len(x) + len(y) >= 4 and len(y) >= 2 and len(x) and (rms := fits([x, y])) <= most_rms:
+                    return x.station.tolist(), y.station.tolist(), rms
+        return None
+
+    for case in range(12):
+        place = np.c_[rng.uniform(37.7, 38.3, 6), rng.uniform(27.7, 28.3, 6)]
+        km = locate.km_between(np.array([38.0]), np.array([28.0]), place[:, 0], place[:, 1])[0]
+        f = pd.DataFrame({"station": range(6), "lat": place[:, 0], "lon": place[:, 1], "p_time": np.hypot(km, 10) / 6 + rng.normal(0, 0.4, 6)})
+        a, b = f[:4].copy(), f[3 - case % 2 :].copy()
+        a.loc[case % 4, "p_time"] -= case % 3 * 5.0
+        b["p_time"] += case % 2 * (10.0 + 7 * (b["station"] - 3))
+        got, want = events.merged(pd.concat([a.assign(own=False), b.assign(own=True)])), plain(a, b)
+        assert (got is None) == (want is None)
+        if got is not None:
+            merges += 1
+            assert got[:2] == want[:2] and abs(got[2] - want[2]) < 1e-6
+    assert merges >= 4 and len(searched) < len(tried) / 2
+
+
+def test_verdicts_hold_no_frame_for_each_event(spark, monkeypatch):
+    """Verdicts by the batch as one by one, nulls and far picks among them; ``assess`` itself is not called in tasks."""
+    rng = np.random.default_rng(6)
+    made = []
+    for e in range(30):
+        n = int(rng.integers(1, 5))
+        place = np.c_[rng.uniform(37.7, 38.3, n), rng.uniform(27.7, 28.3, n)]
+        way = np.hypot(locate.km_between(np.array([38.0]), np.array([28.0]), place[:, 0], place[:, 1])[0], 10)
+        late = rng.choice([0.0, 0.0, 0.0, 12.0, 60.0], n)
+        for k in range(n):
+            known = rng.random() < 0.5
+            made.append((e, k, *map(float, place[k]), float(way[k] / 6), float(way[k] / 3.5 + late[k]), float(math.log(way[k])) if known else None, 0.3 if known else None, [None, 0.001, 0.5][e % 3]))
+    names = ["event", *events.PICKS]
+    df = spark.createDataFrame(made, "event bigint, station bigint, lat double, lon double, p_time double, s_time double, log_km double, log_sd double, chance double")
+    frame = pd.DataFrame(made, columns=names)
+    want = {e: events.assess(part) for e, part in frame.groupby("event")}
+    got = {r["event"]: r.asDict() for r in events.assessments(df, "event").collect()}
+    same = lambda x, y: x == y or (x is not None and y is not None and not isinstance(x, str) and abs(x - y) < 1e-9)
+    assert set(got) == set(want) and all(same(got[e][c], v) for e, w in want.items() for c, v in w.items())
+    assert len({w["verdict"] for w in want.values()}) == 4
+    assert "FlatMapGroupsInPandas" not in events.assessments(df, "event")._jdf.queryExecution().toString()
+
+
 def test_disagreeing_pair_needs_an_objection():
     rows = pd.DataFrame({"station": [1, 2], "lat": [38.0, 38.1], "lon": [28.0, 28.0], "p_time": [10.0, 11.0], "s_time": [12.0, 25.0], "log_km": [None, None], "log_sd": [None, None], "chance": [None, None]})
     assert events.assess(rows)["verdict"] == "unclassified"
