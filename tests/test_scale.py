@@ -119,6 +119,29 @@ def test_middle_offsets_are_those_of_all_pairs(spark):
     assert offsets.middle(spans, "kind", 10, {k: len(v) for k, v in off.items()}) == middle
 
 
+def test_quantiles_read_their_table_once(spark):
+    """The table is counted once: what is left reads the staged counts only, and ranges are told by blocks of bounds."""
+    from pyspark.sql import functions as F
+
+    from tremolo.operators import stats
+
+    df = driver.QUERIES["quantiles"](spark, SF)
+    assert "lineitem" not in " ".join(df.inputFiles()) and rows(df.toPandas()) == rows(duck(driver.ORACLES["quantiles"]))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    x = spark.range(1000).select((F.col("id") * 7 % 300).alias("v")).mapInPandas(count, "v bigint")
+    got = stats.places_all(x, "v", {"a": (0.25, "between"), "b": (0.5, "floor"), "c": (0.9, "even")}).collect()[0]
+    v = sorted(i * 7 % 300 for i in range(1000))
+    assert tuple(got) == (v[249] + (v[250] - v[249]) * 0.75, v[499], v[899]) and read.value == 1000
+    numbered = stats.in_ranges(spark.range(500).select("id"), ["id"]).collect()
+    assert [r["__range"] for r in sorted(numbered)] == sorted(r["__range"] for r in numbered) and len({r["__range"] for r in numbered}) > 2
+
+
 def test_closest_pairs_meet_their_neighbours_only(spark):
     """Two groups of sites, some at one place, one of them of two far sites: the closest pair as of all pairs."""
     from pyspark.sql import functions as F

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tremolo.sources.shared import staged
+
 
 def value_counts(df: DataFrame, value: str, on: list[str] | None = None) -> DataFrame:
     """Distinct values per key with ``n`` rows, ``below`` rows of smaller values and ``total``.
 
     Values are dealt into ranges of the order (keys, value), so that a key with very many distinct values, or a table
-    without keys, is summed by many tasks: inside the ranges first, then over the ranges' totals."""
+    without keys, is summed by many tasks: inside the ranges first, then over the ranges' totals. Counts are staged, so that
+    ``df`` is read once."""
     on = on or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count("*").alias("n"))
+    counts = staged(df.where(F.col(value).isNotNull()).groupBy(*on, value).agg(F.count("*").alias("n")), "counts")
     dealt = in_ranges(counts, [*on, value])
     inner = F.sum("n").over(W.partitionBy(*on, "__range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     sums = dealt.groupBy(*on, "__range").agg(F.sum("n").alias("__n"))
@@ -35,8 +40,15 @@ def in_ranges(df: DataFrame, order: list[str], name: str = "__range") -> DataFra
     bounds = [sample[i] for i in range(len(sample) // parts, len(sample), max(1, len(sample) // parts))]
     kinds = [df.schema[c].dataType for c in order]
     here = F.struct(*order)
-    literals = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, order)]) for b in bounds]
-    return df.withColumn(name, F.size(F.filter(F.array(*literals), lambda b: b <= here)) if literals else F.lit(0))
+    literal = lambda b: F.struct(*[F.lit(v).cast(k).alias(c) for c, v, k in zip(order, b, kinds)])
+    below = lambda array: F.size(F.filter(array, lambda b: b <= here))
+    if not bounds:
+        return df.withColumn(name, F.lit(0))
+    # first the block of bounds, then the place in it: a row meets some of them only
+    block = math.isqrt(len(bounds) - 1) + 1
+    blocks = [F.array(*map(literal, bounds[i : i + block])) for i in range(0, len(bounds), block)]
+    heads = below(F.array(*map(literal, bounds[::block])))
+    return df.withColumn(name, F.when(heads == 0, 0).otherwise((heads - 1) * block + below(F.element_at(F.array(*blocks), F.greatest(heads, F.lit(1))))))
 
 
 def interpolated(df: DataFrame, value: str, q: float, on: list[str] | None = None) -> DataFrame:
@@ -46,15 +58,23 @@ def interpolated(df: DataFrame, value: str, q: float, on: list[str] | None = Non
 
 def interpolated_all(df: DataFrame, value: str, places: dict[str, float], on: list[str] | None = None) -> DataFrame:
     """Several quantiles by name, from the same counts: no group's values are held together."""
+    return places_all(df, value, {name: (q, "between") for name, q in places.items()}, on)
+
+
+def places_all(df: DataFrame, value: str, places: dict[str, tuple[float, str]], on: list[str] | None = None) -> DataFrame:
+    """Several (q, way) by name, from the same counts: values at place ``q (n - 1)``, ``between`` the two around it, or at its
+    ``floor`` or the nearest place, halves to ``even``."""
     on = on or []
 
-    def quantile(q):
+    def quantile(q, way):
         at = F.lit(q) * (F.col("total") - 1)
         value_at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("n")), F.col(value)))
+        if way != "between":
+            return value_at(F.floor(at) if way == "floor" else F.bround(at).cast("long"))
         low, high = value_at(F.floor(at)), value_at(F.ceil(at))
         return low + (high - low) * F.max(at - F.floor(at))
 
-    return value_counts(df, value, on).groupBy(*on).agg(*[quantile(q).alias(name) for name, q in places.items()])
+    return value_counts(df, value, on).groupBy(*on).agg(*[quantile(*place).alias(name) for name, place in places.items()])
 
 
 def mean_ranks(df: DataFrame, value: str, on: list[str] | None = None) -> DataFrame:
