@@ -260,6 +260,21 @@ def test_sizes_reckoned_anew(spark, seed):
     assert fold.ordered_fold(df.where("false"), ["event"], ["at", "k"], sizes.report_step("event", model), f"event long, {sizes.REPORT}").count() == 0
 
 
+def test_sizes_of_short_keys_by_the_batch(spark):
+    """Many short events, one without a key, and batches that cut them: the rows of the fold key by key."""
+    data = [(None if e == 4 else e, *x, k) for e in range(9) for k, x in enumerate(_told(40 + e)[: 3 + 5 * e])]
+    schema = "event long, what string, at long, station long, lat double, lon double, tau double, peak double, noise double, km double, error double, k long"
+    df = spark.createDataFrame([*data, (1, "peak", 5, None, None, None, 1.0, float("nan"), 1.0, None, None, -1)], schema)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        want = fold.ordered_fold(df, ["event"], ["at", "k"], sizes.report_step("event", review.MODEL), f"event long, {sizes.REPORT}").toPandas()
+        got = sizes.reports(df, "event", ["at", "k"], review.MODEL).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(want) > 20 and sorted(map(str, got.round(9).itertuples(index=False))) == sorted(map(str, want.round(9).itertuples(index=False)))
+
+
 H = 3_600_000_000
 
 

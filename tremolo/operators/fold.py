@@ -44,6 +44,28 @@ def ordered_fold(
     return df.repartition(*tasks, *on).sortWithinPartitions(*on, *order).mapInPandas(run, schema)
 
 
+def ordered_offers(df: DataFrame, on: str, order: list[str], columns: list[str], fresh: Callable[[], Any], schema: str) -> DataFrame:
+    """``ordered_fold`` of short keys: each begins with ``fresh()``, whose ``offer`` takes ``columns`` of a row (None: null or not a
+    number) and gives an output row without the key, or None. Lists and output frames are made by the batch, not by the key."""
+    names = [on, *[c.split()[0] for c in schema.split(", ")[1:]]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for rows in batches:
+            lists = [[None if x is None or x != x else x for x in rows[c].tolist()] for c in (on, *columns)]
+            out = []
+            for k, *row in zip(*lists):
+                if state is None or k != key:
+                    key, state = k, fresh()
+                if (said := state.offer(*row)) is not None:
+                    out.append((k, *said))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*dict.fromkeys([on, *order, *columns])).repartition(tasks, on).sortWithinPartitions(on, *order).mapInPandas(run, schema)
+
+
 def min_gap_step(at: str, gap: int, columns: list[str]):
     """Keep a row if it is more than ``gap`` after the last *kept* one."""
 

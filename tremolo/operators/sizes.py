@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 
-from tremolo.operators.locate import SIZES, km_between, log_normal_cdf
+from tremolo.operators import fold
+from tremolo.operators.locate import EARTH_KM, SIZES, log_normal_cdf
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,27 @@ class Relation:
         return self.constant + self.log_km * r + sum(g * max(0.0, r - math.log10(k)) for g, k in self.beyond)
 
 
+@lru_cache
+def _curve(r: Relation) -> np.ndarray:
+    """The part of a relation that changes with the size alone."""
+    return r.slope * SIZES + r.above * np.maximum(0.0, SIZES - r.knot)
+
+
+@lru_cache
+def _weights(bounds: tuple[float, ...]) -> np.ndarray:
+    """Columns whose products with probabilities of ``SIZES`` are mean, mean square and the shares of the classes."""
+    at = [0, *(round((b - 1.0) / 0.01) for b in bounds), len(SIZES)]
+    place = np.arange(len(SIZES))
+    return np.stack([SIZES, SIZES**2, *(((a <= place) & (place < b)).astype(float) for a, b in zip(at, at[1:]))], 1)
+
+
+def _km(lat: float, lon: float, lat2: float, lon2: float) -> float:
+    """``km_between`` of two places."""
+    a, c = math.radians(lat), math.radians(lat2)
+    h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin(math.radians(lon2 - lon) / 2) ** 2
+    return 2 * EARTH_KM * math.asin(min(1.0, math.sqrt(h)))
+
+
 @dataclass(frozen=True)
 class Model:
     """Relations by window, the slope of sizes, and what is known of stations: terms by (station, tau), noise. Stations with
@@ -56,7 +80,7 @@ class Model:
         if r is None or not noise > 0 or abs(term) > self.most_term or (usual is not None and not usual * self.least_noise <= noise <= usual * self.most_noise):
             return None
         up = peak > 0 and peak >= r.least_snr * noise
-        mean = r.at(km) + term + r.slope * SIZES + r.above * np.maximum(0.0, SIZES - r.knot)
+        mean = r.at(km) + term + _curve(r)
         z = (math.log10(peak if up else r.least_snr * noise) - mean) / r.sigma
         return (-0.5 * z * z - math.log(r.sigma) - 0.5 * math.log(2 * math.pi) if up else log_normal_cdf(z)), up
 
@@ -65,12 +89,10 @@ class Model:
         above = sum(up for _, up in found)
         if not above:
             return None
-        log = -self.b_value * math.log(10) * SIZES + sum(x for x, _ in found)
+        log = sum((x for x, _ in found), -self.b_value * math.log(10) * SIZES)
         p = np.exp(log - log.max())
-        p /= p.sum()
-        mean = float(p @ SIZES)
-        shares = [float(x.sum()) for x in np.split(p, [round((b - 1.0) / 0.01) for b in self.bounds])]
-        return mean, math.sqrt(max(0.0, float(p @ SIZES**2) - mean * mean)), *shares, len(found), above
+        mean, square, *shares = (p @ _weights(self.bounds) / p.sum()).tolist()
+        return mean, math.sqrt(max(0.0, square - mean * mean)), *shares, len(found), above
 
 
 REPORT = "at bigint, mean double, sd double, p_small double, p_medium double, p_large double, stations bigint, above bigint, tau double, distances string, first double, first_at bigint"
@@ -102,7 +124,7 @@ class Report:
     def _value(self, station, value: tuple, place: tuple | None):
         """A station's part of the likelihood, kept until its value or distance changes."""
         tau, peak, noise, lat, lon = value
-        km = float(km_between(*(np.array([x], float) for x in (*place, lat, lon)))[0, 0]) if place and lat is not None else None if place else self.km.get(station)
+        km = _km(*place, lat, lon) if place and lat is not None else None if place else self.km.get(station)
         if km is None:
             return None
         key = (tau, peak, noise, km)
@@ -145,6 +167,10 @@ class Report:
         return at, *size, max(v[0] for v in used.values()), source, self.first, self.first_at
 
 
+#: What is told of an event.
+TOLD = ["what", "at", "station", "lat", "lon", "tau", "peak", "noise", "km", "error"]
+
+
 def report_step(on: str, model: Model, most_error: float = 20.0, least_change: float = 0.1):
     """Step of a fold over what is told of each event in order (``on``, what, at, station, lat, lon, tau, peak, noise, km,
     error): a size whenever it changed by ``least_change`` or the number of values did.
@@ -158,7 +184,7 @@ def report_step(on: str, model: Model, most_error: float = 20.0, least_change: f
     def step(state, rows):
         state, out = state or Report(model, most_error, least_change), []
         none = lambda c: [None if pd.isna(x) else x for x in rows[c]]
-        for row in zip(*(none(c) for c in ("what", "at", "station", "lat", "lon", "tau", "peak", "noise", "km", "error"))):
+        for row in zip(*(none(c) for c in TOLD)):
             if (said := state.offer(*row)) is not None:
                 out.append(said)
         frame = pd.DataFrame(out, columns=_COLUMNS)
@@ -166,3 +192,9 @@ def report_step(on: str, model: Model, most_error: float = 20.0, least_change: f
         return state, frame
 
     return step
+
+
+def reports(told: DataFrame, on: str, order: list[str], model: Model, most_error: float = 20.0, least_change: float = 0.1) -> DataFrame:
+    """``report_step`` folded over a table: ``on`` and the columns ``REPORT``."""
+    kind = told.schema[on].dataType.simpleString()
+    return fold.ordered_offers(told, on, order, TOLD, lambda: Report(model, most_error, least_change), f"`{on}` {kind}, {REPORT}")
