@@ -36,6 +36,7 @@ LINEAR = {
     "rematch_times": 6,
     "alarm_detections": 8,
     "locate_first_arrivals": 6,
+    "locate_check": 6,
     # next
 }
 
@@ -142,6 +143,40 @@ def test_quantiles_read_their_table_once(spark):
     assert [r["__range"] for r in sorted(numbered)] == sorted(r["__range"] for r in numbered) and len({r["__range"] for r in numbered}) > 2
 
 
+def test_pairs_at_the_edge_of_their_window():
+    """Compatible pairs as by distances, among them some at the edge to the microsecond, at one place and at one time; stations of
+    one row, of some and of very many; rows out of reach are not looked at."""
+    import numpy as np
+    import pandas as pd
+
+    from tremolo.operators import partners
+
+    rng = np.random.default_rng(3)
+    lat, lon = rng.uniform(37, 39, 120).round(2), rng.uniform(27, 29, 120).round(2)
+    lat[1:10], lon[1:10] = lat[0], lon[0]
+    station = np.r_[np.arange(60), rng.integers(0, 30, 50), np.full(10, 99)]
+    us = rng.integers(0, 60_000_000, 120)
+    edge = [int(min(300, partners.km_between(lat[k], lon[k], lat[k + 1], lon[k + 1]) / 6 + 3) * 1e6) for k in range(20, 30, 2)]
+    us[21:31:2] = us[20:30:2] + edge
+    us[23], us[40] = us[23] + 1, us[41]
+    at = np.argsort(us, kind="stable")
+    span = pd.DataFrame({"id": rng.permutation(120), "station": station, "us": us, "lat": lat, "lon": lon}).iloc[at].reset_index(drop=True)
+    for speed, most in ((6.0, 300.0), (2.0, 3000.0)):
+        f = partners.Compatible(span, speed, 3.0, most)
+        km = partners.km_between(f.lat[:, None], f.lon[:, None], f.lat[None], f.lon[None])
+        want = (f.id[:, None] < f.id[None]) & (f.station[:, None] != f.station[None]) & (np.abs(f.us[:, None] - f.us[None]) <= np.minimum(most, km / speed + 3) * 1e6)
+        order, starts = partners.by_station(f.station, slice(0, 120))
+        told, chord = f(slice(0, 120), order)
+        assert (told == want[:, order]).all() and want.sum() > 100 and np.abs(partners.chord_km(np.maximum(chord, 0)) - km[:, order]).max() < 1e-3
+        assert (partners.any_of_station(told, starts) == np.logical_or.reduceat(told, starts, axis=1)).all()
+        few = order[:40]
+        assert (partners.any_of_station(told[:, :40], by := np.flatnonzero(np.r_[True, np.diff(f.station[few]) != 0])) == np.logical_or.reduceat(told[:, :40], by, axis=1)).all()
+    far = span.assign(us=np.arange(120) * 10_000_000)
+    f = partners.Compatible(far, 6.0, 3.0, 300.0)
+    near = f.near(slice(60, 62), slice(30, 92))
+    assert 2 < near.stop - near.start < 30
+
+
 def test_closest_pairs_meet_their_neighbours_only(spark):
     """Two groups of sites, some at one place, one of them of two far sites: the closest pair as of all pairs."""
     from pyspark.sql import functions as F
