@@ -125,3 +125,45 @@ def test_records_once_numberings_again_and_unknown_stations(spark):
     lines = {r.station: (r.station_line, r.data_line) for r in frames.resume_commands(got).collect()}
     assert lines == {"AAA": ("STATION AAA XX", "DATA 000003"), "BBB": ("STATION BBB XX", "DATA 000005")}
     assert frames.delivered(found.limit(0)).count() == 0 and frames.delivered(found.where(F.col("kind") == "error")).count() == 0
+
+
+def test_tasks_grow_with_bytes_not_with_connections(tmp_path):
+    """Many short connections share a task, a long one has many; all pieces come in few batches, each byte once."""
+    data = {f"one/{i}": bytes([i % 251]) * (10 + i % 3) for i in range(300)} | {"two/7": bytes(range(256)) * 20}
+    for name, content in data.items():
+        _write(tmp_path / name, content, [0, len(content) // 2, len(content)])
+    reader = frames._LogReader({"path": f"file://{tmp_path}", "rangeBytes": "2000", "pieceBytes": "100"})
+    parts = reader.partitions({"two/7": 20}, reader.latestOffset())
+    assert len(parts) == -(-(sum(map(len, data.values())) - 20) // 2000)
+    found = {name: bytearray(content[:20] if name == "two/7" else b"") for name, content in data.items()}
+    for p in parts:
+        batches = list(reader.read(p))
+        assert [len(b) for b in batches[:-1]] == [frames.PIECES_AT_ONCE] * (len(batches) - 1)
+        for row in (r for b in batches for r in b.to_pylist()):
+            got = found[f"{row['server']}/{row['connection']}"]
+            assert row["position"] == len(got)
+            got += row["bytes"]
+    assert found == data
+
+
+def test_records_of_integers_by_the_batch_are_those_by_themselves(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    rows = [([draw.randrange(-(2**31), 2**31) for _ in range(draw.choice([0, 1, 2, 112]))], draw.randrange(-30_610_224_000_000_000, 253_402_300_800_000_000), draw.choice(["A", "ABCDE", ""])) for _ in range(300)]
+    rows += [([1], t, "X") for t in (0, -1, 86_399_999_999, 951_782_400_000_000, 253_402_300_799_999_999)]
+    samples = pa.array([r[0] for r in rows], pa.list_(pa.int32()))
+    for low, high in ((0, len(rows)), (100, 150)):
+        some = rows[low:high]
+        got = records.encode_integers(samples.slice(low, high - low), np.array([r[1] for r in some]), [r[2].encode() for r in some])
+        assert [x.tobytes() for x in got] == [records.encode(s, records.INT32, t, station=c) for s, t, c in some]
+    mixed = spark.createDataFrame([([5, 6], 3, 10, "AB"), ([5, 7], 10, 20, "CD"), ([8], 1, 30, "EF")], "samples array<int>, encoding int, start_us bigint, code string")
+    assert [bytes(r.record) for r in records.encode_records(mixed, ("start_us",)).orderBy("start_us").collect()] == [records.encode(r.samples, r.encoding, r.start_us, station=r.code) for r in mixed.orderBy("start_us").collect()]
+
+
+def test_delivered_without_values_carries_no_samples(spark):
+    table = [("s", c, 520 * k, "data", n, None, records.encode([n], records.INT32, t * 1_000_000, station="AAA")) for k, (c, n, t) in enumerate([(0, 1, 1), (0, 2, 2), (1, 2, 2), (1, 3, 3)])]
+    got = frames.delivered(spark.createDataFrame(table, frames.FRAMES), values=())
+    assert got.columns == ["server", "network", "station", "sequence", "connection", "offset"]
+    assert sorted((r.connection, r.sequence) for r in got.collect()) == [(0, 1), (0, 2), (1, 3)]

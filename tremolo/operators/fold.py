@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -66,6 +67,24 @@ def ordered_offers(df: DataFrame, on: str, order: list[str], columns: list[str],
     return df.select(*dict.fromkeys([on, *order, *columns])).repartition(tasks, on).sortWithinPartitions(on, *order).mapInPandas(run, schema)
 
 
+def ordered_kept(df: DataFrame, on: list[str], order: list[str], columns: list[str], fresh: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """Rows that ``fresh()``, made for each key, says True of when it is given ``columns`` of the key's rows in order (None: null).
+    Rows are kept by the Arrow batch, however short keys are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, keep = None, None
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in on))
+            kept = []
+            for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in columns))):
+                if keep is None or k != key:
+                    key, keep = k, fresh()
+                kept.append(keep(*row))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return df.repartition(*on).sortWithinPartitions(*on, *order).mapInArrow(run, df.schema)
+
+
 def min_gap_step(at: str, gap: int, columns: list[str]):
     """Keep a row if it is more than ``gap`` after the last *kept* one."""
 
@@ -241,23 +260,35 @@ def reorder_steps(channel: str, lo: str, hi: str, key: str, patience: int, most:
     return step, end
 
 
+def live_dedup(bits: int = 24, last: int | None = None, newest: dict | None = None) -> Callable[..., bool]:
+    """Whether to keep a row of a wrapping number, a time (None or not a number: none) and a channel: see ``live_dedup_step``."""
+    span, half = 1 << bits, 1 << (bits - 1)
+    newest = {} if newest is None else newest
+
+    def keep(n, t, c=None) -> bool:
+        nonlocal last
+        timed = t is not None and t == t
+        ok = last is None or 1 <= (n - last) % span < half or (timed and (c not in newest or t > newest[c]))
+        if ok:
+            last = n
+            if timed:
+                newest[c] = max(newest.get(c, t), t)
+        return ok
+
+    keep.state = lambda: (last, newest)
+    return keep
+
+
 def live_dedup_step(sequence: str, start: str, columns: list[str], bits: int = 24, channel: str | None = None):
     """Keep rows whose wrapping number is after the last kept one; a row that is not is kept, as a restarted numbering,
     if its data are newer than all kept before of its ``channel`` (a key numbers the rows of all its channels). Rows
     without a time are never newer."""
-    span, half = 1 << bits, 1 << (bits - 1)
 
     def step(state, rows):
-        last, newest = state or (None, {})
-        keep = []
-        for n, t, c in zip(rows[sequence].tolist(), rows[start].tolist(), rows[channel].tolist() if channel else [None] * len(rows)):
-            ok = last is None or 1 <= (n - last) % span < half or (t == t and (c not in newest or t > newest[c]))
-            keep.append(ok)
-            if ok:
-                last = n
-                if t == t:
-                    newest[c] = max(newest.get(c, t), t)
-        return (last, newest), rows.loc[keep, columns]
+        keep = live_dedup(bits, *(state or ()))
+        channels = rows[channel].tolist() if channel else [None] * len(rows)
+        kept = [keep(*row) for row in zip(rows[sequence].tolist(), rows[start].tolist(), channels)]
+        return keep.state(), rows.loc[kept, columns]
 
     return step
 

@@ -66,5 +66,5 @@ def delivered_records(spark, sf_dir):
 @query("resume_commands", f"WITH {_NUMBERS}, l AS (SELECT station, arg_max(sequence, event_id) AS last FROM n GROUP BY station) SELECT station, printf('DATA %06X', (last + 1) % 16777216) AS data_line FROM l")
 def resume_commands(spark, sf_dir):
     """The command with which every station goes on after a broken connection."""
-    r = frames.resume_commands(frames.delivered(_received(spark, sf_dir)))
+    r = frames.resume_commands(frames.delivered(_received(spark, sf_dir), values=()))
     return r.select(F.conv("station", 36, 10).cast("long").alias("station"), "data_line")

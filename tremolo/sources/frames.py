@@ -31,6 +31,8 @@ from tremolo.operators import fold
 from tremolo.sources import records
 
 PIECE = 4096
+#: Pieces that a reading task gives out together.
+PIECES_AT_ONCE = 256
 PIECES = "server string, connection bigint, position bigint, bytes binary"
 FRAMES = "server string, connection bigint, offset bigint, kind string, sequence int, more boolean, record binary"
 _FRAME = regex.compile(rb"SL(?P<data>[0-9A-Fa-f]{6})(?P<record>.{512})|SLINFO (?P<info>[* ])(?P<told>.{512})|(?P<error>ERROR[^\n]{0,250}\n)|(?P<end>END)", regex.DOTALL)
@@ -57,9 +59,11 @@ def split(data: bytes, start: int = 0) -> tuple[list[tuple], int, bool]:
 # ---- the bytes --------------------------------------------------------------------------------------------------------
 
 
-class _Range(InputPartition):
-    def __init__(self, server: str, connection: str, low: int, high: int):
-        self.server, self.connection, self.low, self.high = server, connection, low, high
+class _Ranges(InputPartition):
+    """Bytes of some connections: (server, connection, first, end)."""
+
+    def __init__(self, spans: list[tuple[str, str, int, int]]):
+        self.spans = spans
 
 
 class _LogReader(DataSourceStreamReader):
@@ -86,22 +90,44 @@ class _LogReader(DataSourceStreamReader):
         return {name: min(end, self.until) for name, end in ends.items()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        spans = [(*name.split("/"), low, min(low + self.each, high)) for name, high in sorted(end.items()) for low in range(start.get(name, 0), high, self.each)]
-        return [_Range(*span) for span in spans] or [_Range("", "", 0, 0)]
-
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        p = partition
-        folder = posixpath.join(self.root, p.server, p.connection)
-        reached = p.low
-        for _, first, size in self._segments(folder) if p.low < p.high else []:
-            low, high = max(reached, first), min(p.high, first + size)
+        """Tasks of ``rangeBytes``: as many as the bytes need, however many connections there are."""
+        parts, room = [], 0
+        for name, high in sorted(end.items()):
+            low = start.get(name, 0)
+            while low < high:
+                if not room:
+                    parts.append([])
+                    room = self.each
+                n = min(room, high - low)
+                parts[-1].append((*name.split("/"), low, low + n))
+                low, room = low + n, room - n
+        return [_Ranges(p) for p in parts] or [_Ranges([])]
+
+    def read(self, partition: _Ranges) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for p in partition.spans:
+            for row in self._pieces(*p):
+                rows.append(row)
+                if len(rows) == PIECES_AT_ONCE:
+                    yield self._batch(rows)
+                    rows = []
+        if rows:
+            yield self._batch(rows)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        server, connection, position, data = zip(*rows)
+        return pa.RecordBatch.from_pydict({"server": server, "connection": pa.array(connection, pa.int64()), "position": pa.array(position, pa.int64()), "bytes": pa.array(data, pa.binary())})
+
+    def _pieces(self, server: str, connection: str, reached: int, end: int) -> Iterator[tuple]:
+        folder = posixpath.join(self.root, server, connection)
+        for _, first, size in self._segments(folder):
+            low, high = max(reached, first), min(end, first + size)
             if low >= high:
                 continue
             with self.system.open_input_file(posixpath.join(folder, f"{first:020d}")) as f:
                 f.seek(low - first)
                 for at in range(low, high, self.piece):
-                    data = f.read(min(self.piece, high - at))
-                    yield pa.RecordBatch.from_pydict({"server": [p.server], "connection": [int(p.connection)], "position": [at], "bytes": pa.array([data], pa.binary())})
+                    yield server, int(connection), at, f.read(min(self.piece, high - at))
             reached = high
 
 
@@ -223,8 +249,8 @@ def frames(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("server", "connection").transformWithStateInPandas(FrameProcessor(), FRAMES, "append", "None")
 
 
-def delivered(found: DataFrame, stations: DataFrame | None = None) -> DataFrame:
-    """Records of data frames, each once: server, network, station, sequence, connection, offset, start_us, samples, reason.
+def delivered(found: DataFrame, stations: DataFrame | None = None, values: tuple[str, ...] = ("start_us", "samples", "reason")) -> DataFrame:
+    """Records of data frames, each once: server, network, station, sequence, connection, offset and ``values`` of the record.
 
     A station numbers its own frames, whatever the connection. A number not after the last is a repeat unless its data
     are newer than all of their channel. ``stations`` (network, station; distinct) leaves out those not asked for. Records
@@ -233,11 +259,9 @@ def delivered(found: DataFrame, stations: DataFrame | None = None) -> DataFrame:
     r = records.decode_records(found.where("kind = 'data'").select(*keep, "record"), keep)
     if stations is not None:
         r = r.join(stations.select("network", "station"), ["network", "station"], "left_semi")
-    out = ["server", "network", "station", "sequence", "connection", "offset", "start_us", "samples", "reason"]
-    r = r.withColumn("__at", F.when(F.col("reason") == "", F.col("start_us")))
-    kinds = {f.name: f.dataType.simpleString() for f in r.schema.fields}
-    step = fold.live_dedup_step("sequence", "__at", out, channel="channel")
-    return fold.ordered_fold(r, ["network", "station"], ["connection", "offset"], step, ", ".join(f"{c} {kinds[c]}" for c in out))
+    out = ["server", "network", "station", "sequence", "connection", "offset", *values]
+    r = r.withColumn("__at", F.when(F.col("reason") == "", F.col("start_us"))).select(*out, "channel", "__at")
+    return fold.ordered_kept(r, ["network", "station"], ["connection", "offset"], ["sequence", "__at", "channel"], fold.live_dedup).select(*out)
 
 
 def resume_commands(received: DataFrame) -> DataFrame:
