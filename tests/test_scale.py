@@ -288,3 +288,50 @@ def test_requests_are_not_shuffled(spark, dense):
     got = df.toPandas()
     assert len(got) and rows(got) == rows(duck(driver.ORACLES["pick_requests"], dense))
     assert "hashpartitioning(cat_id" not in df._jdf.queryExecution().toString() and "SortMergeJoin" not in df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("n, seconds, stations, spread", [(600, 60, 40, 1.0), (900, 400, 900, 1.0), (60, 40_000, 4, 1.0), (500, 900, 300, 9.0), (1, 1, 1, 1.0)])
+def test_partners_in_single_numbers_are_those_in_double(n, seconds, stations, spread):
+    """Also at pairs on the edge of what one source can explain, at times beyond the longest, and of no rows."""
+    import numpy as np
+    import pandas as pd
+
+    from tremolo.operators import partners
+
+    draw = np.random.default_rng(n)
+    station = draw.integers(0, stations, n)
+    lat, lon = 36 + station * 7919 % 601 / 100 * spread, 26 + station * 104_729 % 1201 / 100 * spread
+    us = draw.integers(0, seconds * 1_000_000, n)
+    # a third of the rows lie as far from the first one as a wave needs, to the microsecond
+    edge = np.arange(n) % 3 == 1
+    us[edge] = us[0] + np.floor(np.minimum(300, partners.km_between(lat[0], lon[0], lat[edge], lon[edge]) / 6 + 3) * 1e6).astype(np.int64) + draw.integers(0, 2, edge.sum())
+    span = pd.DataFrame({"id": draw.permutation(n), "station": station, "us": us, "lat": lat, "lon": lon}).sort_values("us", kind="stable")
+    fits = partners.Compatible(span, 6.0, 3.0, 300.0)
+    id_, s, t, a, b = (span[c].to_numpy() for c in ("id", "station", "us", "lat", "lon"))
+    km = partners.km_between(a[:, None], b[:, None], a[None], b[None])
+    want = (id_[:, None] < id_[None]) & (s[:, None] != s[None]) & (np.abs(t[:, None] - t[None]) <= np.minimum(300.0, km / 6 + 3) * 1e6)
+    own, others = slice(n // 4, n // 2 + 1), slice(0, n)
+    for x, y in ((slice(0, n), others), (own, others), (np.arange(0, n, 2), np.arange(n)[::-1]), (np.arange(0), np.arange(0)), (slice(0, 0), others)):
+        told, _ = fits.told(x, y)
+        assert (told == want[x][:, y]).all()
+    assert (fits.stations(want[own], others) == [len(set(s[r])) for r in want[own]]).all()
+
+
+def test_alarms_say_what_is_asked(spark):
+    import numpy as np
+
+    from tremolo.operators import partners
+
+    draw = np.random.default_rng(5)
+    table = [(i, int(s), int(t), float(36 + s * 7919 % 601 / 100), float(26 + s * 104_729 % 1201 / 100)) for i, (s, t) in enumerate(zip(draw.integers(0, 30, 400), draw.integers(0, 2_000_000_000, 400)))]
+    rows_ = spark.createDataFrame(table, "id bigint, station bigint, us bigint, lat double, lon double")
+    want = {}
+    for i, s, t, la, lo in table:
+        found = [(q, u, float(partners.km_between(la, lo, a, b))) for j, q, u, a, b in table if j > i and q != s]
+        found = [(q, u, km) for q, u, km in found if abs(u - t) <= min(300.0, km / 6 + 3) * 1e6]
+        if found:
+            q, u, km = zip(*found)
+            want[i] = {"others": len(set(q)), "first": min(q), "last": max(q), "last_us": max(u), "km": round(min(km), 9)}
+    for ask in (("others", "first", "last", "last_us", "km"), ("others",), ("last_us",), ("km", "others")):
+        got = {r["a_id"]: {k: round(v, 9) if k == "km" else v for k, v in r.asDict().items() if k in ask} for r in partners.alarms(rows_, ask).collect()}
+        assert got == {i: {k: v for k, v in w.items() if k in ask} for i, w in want.items()}
