@@ -335,3 +335,9 @@ def test_alarms_say_what_is_asked(spark):
     for ask in (("others", "first", "last", "last_us", "km"), ("others",), ("last_us",), ("km", "others")):
         got = {r["a_id"]: {k: round(v, 9) if k == "km" else v for k, v in r.asDict().items() if k in ask} for r in partners.alarms(rows_, ask).collect()}
         assert got == {i: {k: v for k, v in w.items() if k in ask} for i, w in want.items()}
+
+
+def test_no_task_holds_all_leads_for_their_median(spark, dense):
+    df = driver.QUERIES["warning_summary"](spark, dense)
+    assert "median(" not in df._jdf.queryExecution().toString()
+    assert rows(df.toPandas()) == rows(duck(driver.ORACLES["warning_summary"], dense))
