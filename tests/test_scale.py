@@ -341,3 +341,15 @@ def test_no_task_holds_all_leads_for_their_median(spark, dense):
     df = driver.QUERIES["warning_summary"](spark, dense)
     assert "median(" not in df._jdf.queryExecution().toString()
     assert rows(df.toPandas()) == rows(duck(driver.ORACLES["warning_summary"], dense))
+
+
+def test_rows_of_a_site_stand_together_over_many_events(spark, tmp_path):
+    """What repeats is written as repeats: a row of the result takes a fraction of what its six columns hold."""
+    spark.range(3000).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("SELECT id * 7919 AS event_id, id % 40 AS user_id, timestamp_micros(id * 1000003) AS ts, if(id % 2 = 0, 'purchase', 'click') AS event_type, 100.0D + id % 300 AS value FROM range(1200)").write.parquet(f"{tmp_path}/events.parquet")
+    big = spark.read.parquet(f"{tmp_path}/events.parquet").where("event_type = 'purchase' and value >= 200").count()
+    driver.QUERIES["warnings_by_site"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out").toPandas()
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert len(got) == big * 3000 and big == 400 and size < len(got)
+    assert (got.groupby("cat_id").nearest.apply(lambda x: sorted(x) == list(range(1, 3001)))).all() and got.groupby("s_suppkey").nearest.nunique().eq(1).all()
