@@ -353,3 +353,17 @@ def test_rows_of_a_site_stand_together_over_many_events(spark, tmp_path):
     size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
     assert len(got) == big * 3000 and big == 400 and size < len(got)
     assert (got.groupby("cat_id").nearest.apply(lambda x: sorted(x) == list(range(1, 3001)))).all() and got.groupby("s_suppkey").nearest.nunique().eq(1).all()
+
+
+def test_requests_stand_together_by_events(spark, tmp_path):
+    """The next rows of a file are of the same few hundred events, whatever their number, so that their names repeat."""
+    import pandas as pd
+
+    os.symlink(f"{SF}/supplier.parquet", tmp_path / "supplier.parquet")
+    spark.sql("""SELECT id AS event_id, id % 500 AS user_id, timestamp_micros(86400000000 + id * 10000000) AS ts, 'purchase' AS event_type, 250.0D AS value FROM range(3000)
+        UNION ALL SELECT 10000 + id, id, timestamp_micros(id), 'click', 1.0D FROM range(2000)""").write.parquet(f"{tmp_path}/events.parquet")
+    driver.QUERIES["pick_requests"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    parts = [pd.read_parquet(p) for p in (tmp_path / "out").glob("*.parquet")]
+    got, most = pd.concat(parts), max(parts, key=len)
+    assert got.groupby("station").cat_id.nunique().eq(3000).all() and len(got) == 3000 * got.station.nunique() > 100_000
+    assert max(most.cat_id.iloc[i : i + 2048].nunique() for i in range(0, len(most), 2048)) <= 1100
